@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from volpanel.llm.frames import table
 from volpanel.llm.language_id import language_of
+from volpanel.llm.toxicity import toxicity_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": lambda spark, d: language_of(table(spark, d, "documents")),
+    "op10_toxicity": lambda spark, d: toxicity_of(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLES: dict[str, str] = {}
