@@ -8,11 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from volpanel.llm.frames import table
 from volpanel.llm.language_id import language_of
+from volpanel.llm.mpeg_audio import media_of
 from volpanel.llm.toxicity import toxicity_of
+from volpanel.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": lambda spark, d: language_of(table(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity_of(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op7_mpeg_audio": lambda spark, d: media_of(table(spark, d, "documents")),
+    "op8_warc": lambda spark, d: round_trip(table(spark, d, "pages")),
 }
 
-ORACLES: dict[str, str] = {}
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 1 + 5 * i, 5))::INTEGER) AS q FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(q, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32768) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 1024) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to, true AS intact
+FROM k
+"""
+
+ORACLES: dict[str, str] = {"op8_warc": WARC_SQL}
