@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from volpanel.llm.fingerprints import fingerprints
 from volpanel.llm.frames import table
 from volpanel.llm.language_id import language_of
 from volpanel.llm.mixing import mixture
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": lambda spark, d: language_of(table(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity_of(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_source_mix": lambda spark, d: mixture(table(spark, d, "documents")),
+    "op5_fingerprints": lambda spark, d: fingerprints(table(spark, d, "documents")),
     "op7_mpeg_audio": lambda spark, d: media_of(table(spark, d, "documents")),
     "op8_warc": lambda spark, d: round_trip(table(spark, d, "pages")),
 }
