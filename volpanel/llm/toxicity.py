@@ -126,7 +126,7 @@ def _difference_rows(shared) -> object:
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 2000, max_calibration_docs: int = 5000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 1200, max_calibration_docs: int = 5000) -> dict:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); other columns are not read.
 
     A classifier fitted on bounded, reproducible samples of the labelled rows: whole texts
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def toxicity_of(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 2000, max_calibration_docs: int = 5000) -> DataFrame:
+def toxicity_of(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 1200, max_calibration_docs: int = 5000) -> DataFrame:
     """Fit on the labels that are not held out, score all documents: doc_id, held_out, score, predicted."""
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))), max_docs_per_class, max_calibration_docs)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
