@@ -11,6 +11,7 @@ from volpanel.llm.frames import table
 from volpanel.llm.language_id import language_of
 from volpanel.llm.mixing import mixture
 from volpanel.llm.mpeg_audio import media_of
+from volpanel.llm.sentencepiece_fst import tokens_of
 from volpanel.llm.toxicity import toxicity_of
 from volpanel.llm.warc import round_trip
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": lambda spark, d: toxicity_of(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_source_mix": lambda spark, d: mixture(table(spark, d, "documents")),
     "op5_fingerprints": lambda spark, d: fingerprints(table(spark, d, "documents")),
+    "op6_sentencepiece": lambda spark, d: tokens_of(table(spark, d, "documents")),
     "op7_mpeg_audio": lambda spark, d: media_of(table(spark, d, "documents")),
     "op8_warc": lambda spark, d: round_trip(table(spark, d, "pages")),
 }
