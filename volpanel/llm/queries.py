@@ -11,11 +11,13 @@ from volpanel.llm.frames import table
 from volpanel.llm.language_id import language_of
 from volpanel.llm.mixing import mixture
 from volpanel.llm.mpeg_audio import media_of
+from volpanel.llm.secrets import secrets_of
 from volpanel.llm.sentencepiece_fst import tokens_of
 from volpanel.llm.toxicity import toxicity_of
 from volpanel.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": lambda spark, d: secrets_of(table(spark, d, "documents")),
     "op9_language_id": lambda spark, d: language_of(table(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity_of(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_source_mix": lambda spark, d: mixture(table(spark, d, "documents")),
