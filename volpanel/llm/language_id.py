@@ -136,6 +136,20 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (any columns, with text) that have a language, with ``least`` score or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("text").to_pylist()
+            for low, high in K.slices([t or "" for t in raw]):
+                pred, score = score_texts(shared.value, raw[low:high])
+                yield batch.slice(low, high - low).filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_of(docs: DataFrame, max_train_docs: int = 3000) -> DataFrame:
     """Fit on the documents that are not held out, predict for all: doc_id, held_out, lang_pred, score."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), max_train_docs)

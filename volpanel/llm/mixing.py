@@ -115,3 +115,19 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
 def mixture(documents: DataFrame) -> DataFrame:
     """Mix documents (doc_id, text, source) by words, with quality weights from their texts."""
     return mix(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("weight")))
+
+
+def mixed(documents: DataFrame) -> DataFrame:
+    """The mix itself: the rows of ``documents``, each as often as it is taken.
+
+    A document that the budget takes in part comes with its first words, and n_chars to match.
+    """
+    share = mixture(documents).groupBy(F.col("doc_id").alias("id")).agg(F.max("size").alias("size"), F.max("epochs").alias("epochs"), F.max("taken").alias("taken"))
+    share = share.select("id", "size", "epochs", (F.col("taken") - F.col("epochs") * F.col("size")).alias("part"))
+    copies = F.col("epochs") + (F.col("part") > 0).cast("long")
+    taken = documents.join(share, F.col("doc_id").eqNullSafe(F.col("id"))).where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    cut_short = (F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size"))
+    words = F.split("text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
+    text = F.when(cut_short, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(F.col("text"))
+    n_chars = F.when(cut_short, F.length("new").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return taken.withColumn("new", text).select(*[n_chars.alias(c) if c == "n_chars" else F.col("new").alias(c) if c == "text" else F.col(c) for c in documents.columns])

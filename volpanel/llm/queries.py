@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from volpanel.llm.fingerprints import fingerprints
 from volpanel.llm.frames import table
+from volpanel.llm.jaccard_join import linked
 from volpanel.llm.language_id import language_of
 from volpanel.llm.licenses import licenses_of
 from volpanel.llm.mixing import mixture
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": lambda spark, d: toxicity_of(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_source_mix": lambda spark, d: mixture(table(spark, d, "documents")),
     "op3_licenses": lambda spark, d: licenses_of(table(spark, d, "documents")),
+    "op4_jaccard_join": lambda spark, d: linked(table(spark, d, "documents")),
     "op5_fingerprints": lambda spark, d: fingerprints(table(spark, d, "documents")),
     "op6_sentencepiece": lambda spark, d: tokens_of(table(spark, d, "documents")),
     "op7_mpeg_audio": lambda spark, d: media_of(table(spark, d, "documents")),
