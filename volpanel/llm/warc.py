@@ -17,55 +17,43 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volpanel.llm.frames import stored
+from volpanel.llm.frames import cut, stored
 
 CHUNK = 1 << 16
 BATCH_BYTES = 1 << 22
+LEVEL = 1
 CHUNKS = "archive int, record_id string, page_id long, chunk_no int, last boolean, sha1_so_far string, data binary"
-RECORDS = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string, intact boolean"
+RECORDS = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string, intact boolean, whole boolean"
 FIXED_DATE = "2024-01-01T00:00:00Z"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = b"\r\n\r\n"
 
 
-def base32_of_hex(digest: Column) -> Column:
-    """RFC 4648 base 32 of a hex string of 40 digits: four letters from every five digits."""
-    letters = []
-    for i in range(8):
-        value = F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(ALPHABET), F.shiftright(value, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
-    return F.concat(*letters)
-
-
 def record_uuid(page_id: int | None, digest: str, copy: int) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}:{copy}"))
 
 
 def plan(pages: DataFrame) -> DataFrame:
-    """Thin table (page_id, payload_digest, keeper), one row per distinct page and payload.
+    """Thin table (page_id, sha1, keeper), one row per distinct page and payload.
 
     Of the pages with equal payloads that of the largest page_id is kept, the others refer
     to it.  Only digests are shuffled; Spark can split a hot digest, since the keepers come
     from a partial aggregate and the join back may be skewed.
     """
-    thin = _with_digest(pages).select("page_id", "payload_digest", "payload_bytes").distinct()
-    keepers = thin.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keeper"))
-    kept = thin.join(keepers, ["payload_digest", "payload_bytes"])
-    return kept.select("page_id", "payload_digest", "keeper")
+    thin = cut(_with_digest(pages).select("page_id", "sha1", F.octet_length("html").alias("bytes")).distinct())
+    keepers = thin.groupBy("sha1", "bytes").agg(F.max("page_id").alias("keeper"))
+    return thin.join(keepers, ["sha1", "bytes"]).select("page_id", "sha1", "keeper")
 
 
 def _with_digest(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
-    return pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.coalesce(F.col("url"), F.lit("")).alias("url"),
-        html.alias("html"),
-        base32_of_hex(F.sha1(F.encode(html, "UTF-8"))).alias("payload_digest"),
-        F.octet_length(html).cast("long").alias("payload_bytes"),
-    )
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"))
+
+
+def base32(sha1: str) -> str:
+    return base64.b32encode(bytes.fromhex(sha1)).decode()
 
 
 def _header(url: str, page_id: int | None, copy: int, digest: str, size: int, refers_to: int | None) -> bytes:
@@ -87,7 +75,7 @@ def _header(url: str, page_id: int | None, copy: int, digest: str, size: int, re
 
 def _chunks(head: bytes, payload: memoryview) -> Iterator[tuple[int, bool, str, bytes]]:
     """(chunk_no, last, sha1_so_far, data) of one record, made one chunk at a time."""
-    sha1, gzip = hashlib.sha1(), zlib.compressobj(6, zlib.DEFLATED, 31)
+    sha1, gzip = hashlib.sha1(), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     yield 0, False, sha1.hexdigest(), gzip.compress(head) + gzip.flush(zlib.Z_SYNC_FLUSH)
     number = 0
     for number, low in enumerate(range(0, len(payload), CHUNK), 1):
@@ -103,9 +91,9 @@ def write_chunks(pages: DataFrame, archives: int = 64) -> DataFrame:
     Rows of equal id and payload: the later ones (by url) are revisits of the first.  Rows
     with a null id are responses, each on its own.
     """
-    columns = ["page_id", "url", "html", "payload_digest", "copy", "refers_to"]
-    own = Window.partitionBy("page_id", "payload_digest").orderBy("url")
-    known = _with_digest(pages).join(plan(pages), ["page_id", "payload_digest"]).withColumn("copy", F.row_number().over(own).cast("long") - 1)
+    columns = ["page_id", "url", "html", "sha1", "copy", "refers_to"]
+    own = Window.partitionBy("page_id", "sha1").orderBy("url")
+    known = _with_digest(pages).join(plan(pages), ["page_id", "sha1"]).withColumn("copy", F.row_number().over(own).cast("long") - 1)
     known = known.withColumn("refers_to", F.when((F.col("page_id") != F.col("keeper")) | (F.col("copy") > 0), F.col("keeper")))
     lost = _with_digest(pages.where(F.col("page_id").isNull())).withColumn("copy", F.monotonically_increasing_id()).withColumn("refers_to", F.lit(None).cast("long"))
 
@@ -115,7 +103,8 @@ def write_chunks(pages: DataFrame, archives: int = 64) -> DataFrame:
             held = 0
             html = batch.column("html")
             for i in range(batch.num_rows):
-                page_id, url, digest, copy, refers_to = (batch.column(c)[i].as_py() for c in ("page_id", "url", "payload_digest", "copy", "refers_to"))
+                page_id, url, sha1, copy, refers_to = (batch.column(c)[i].as_py() for c in ("page_id", "url", "sha1", "copy", "refers_to"))
+                digest = base32(sha1)
                 payload = memoryview(html[i].as_buffer())
                 record = record_uuid(page_id, digest, copy)
                 head = _header(url, page_id, copy, digest, len(payload), refers_to)
@@ -136,39 +125,67 @@ def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in CHUNKS.split(", ")])
 
 
+RECORD_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of a stream of chunk rows, hashed chunk by chunk as they arrive.
+
+    A record of which the stream lacks the begin or the end comes with ``whole`` false.
+    """
+    now: dict | None = None
+    for batch in batches:
+        out = []
+        columns = [batch.column(c) for c in ("record_id", "page_id", "chunk_no", "last", "sha1_so_far", "data")]
+        for i in range(batch.num_rows):
+            record, page_id, number, last, so_far, data = (c[i].as_py() for c in columns)
+            if now is not None and (now["id"] != record or now["chunks"] != number):
+                out.append(_part(now["id"]))
+                now = None
+            if number == 0:
+                gzip = zlib.decompressobj(31)
+                now = {"id": record, "page": page_id, "gzip": gzip, "sha1": hashlib.sha1(), "bytes": 0, "chunks": 0, "ok": True, **_read_header(gzip.decompress(data))}
+            elif now is None:
+                if last:
+                    out.append(_part(record))
+                continue
+            else:
+                plain = now["gzip"].decompress(data)
+                if last:
+                    now["ok"] &= plain == END
+                else:
+                    now["sha1"].update(plain)
+                    now["bytes"] += len(plain)
+            now["chunks"] += 1
+            now["ok"] &= now["sha1"].hexdigest() == so_far
+            if last:
+                out.append(_record(now))
+                now = None
+        if out:
+            yield _record_batch(out)
+    if now is not None:
+        yield _record_batch([_part(now["id"])])
+
+
+def _part(record: str) -> tuple:
+    return record, None, None, None, None, None, None, False
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RECORD_TYPES, strict=True)], [c.split()[0] for c in RECORDS.split(", ")])
+
+
 def read_chunks(chunks: DataFrame) -> DataFrame:
-    """Records from chunk rows, streamed: each payload is hashed chunk by chunk as it arrives.
+    """Records of a chunk table, read as it lies: writers leave a record's chunks in a row.
 
+    Only records that a file split cuts in two are brought together by a shuffle.
     ``intact`` is false if a chunk's digest, the whole digest or the length does not agree
     with the headers.
     """
-    dealt = chunks.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: dict = {}
-        for batch in batches:
-            out = []
-            columns = [batch.column(c) for c in ("record_id", "page_id", "chunk_no", "last", "sha1_so_far", "data")]
-            for i in range(batch.num_rows):
-                record, page_id, number, last, so_far, data = (c[i].as_py() for c in columns)
-                if number == 0:
-                    gzip = zlib.decompressobj(31)
-                    now = {"id": record, "page": page_id, "gzip": gzip, "sha1": hashlib.sha1(), "bytes": 0, "ok": True, **_read_header(gzip.decompress(data))}
-                else:
-                    plain = now["gzip"].decompress(data)
-                    if last:
-                        now["ok"] &= plain == END
-                    else:
-                        now["sha1"].update(plain)
-                        now["bytes"] += len(plain)
-                now["ok"] &= now["sha1"].hexdigest() == so_far
-                if last:
-                    out.append(_record(now))
-            if out:
-                types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in RECORDS.split(", ")])
-
-    return dealt.mapInArrow(run, RECORDS)
+    found = cut(chunks.mapInArrow(_stream, RECORDS))
+    torn = found.where(~F.col("whole")).select("record_id").distinct()
+    again = chunks.join(torn, "record_id", "left_semi").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    return found.where("whole").unionByName(again.mapInArrow(_stream, RECORDS))
 
 
 def _read_header(data: bytes) -> dict:
@@ -189,7 +206,7 @@ def _record(r: dict) -> tuple:
         digest, size = base64.b32encode(r["sha1"].digest()).decode(), r["bytes"]
     else:
         digest, size = r["digest"], r["size"]
-    return r["id"], r["page"], size, digest, r["type"], r["refers_to"], r["ok"] and digest == r["digest"] and size == r["size"] and r["bytes"] == r["block"]
+    return r["id"], r["page"], size, digest, r["type"], r["refers_to"], r["ok"] and digest == r["digest"] and size == r["size"] and r["bytes"] == r["block"], True
 
 
 def round_trip(pages: DataFrame, archives: int = 64) -> DataFrame:
