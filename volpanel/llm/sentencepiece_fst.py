@@ -9,7 +9,7 @@ The transducer is the composition of three machines, compiled from a model file:
   together leaves the border between them (so each input has one accepted path, which is
   what the merges give).
 
-An input is composed with it position by position, and the tropical-semiring shortest path
+An input is composed with it as far as needed, and the tropical-semiring shortest path
 (least weight, by addition along a path and minimum over paths) gives its ids.  Where no
 piece holds the two characters on either side of a border, every path passes through it, so
 the input falls into independent parts there; their shortest paths are remembered.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from volpanel.llm.textkernel import slices
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 LONG = 64
 
 
@@ -57,14 +58,14 @@ class Transducer:
         self.is_byte = np.array([k == "byte" for k in model["kinds"]])
         plain = [p if k == "piece" else "" for p, k in zip(self.names, model["kinds"], strict=True)]
         self.spelling = [bytes([int(p[3:5], 16)]) if k == "byte" else q.replace(SPACE, " ").encode() for p, q, k in zip(self.names, plain, model["kinds"], strict=True)]
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.traces: dict[str, list | None] = {}
-        self.follows: dict[int, dict[int | None, bool]] = {}
-        self.known_pairs = 0
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.follows: dict[int, bool] = {}
+        self.parts: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.arcs = {p: i for p, i in self.ids.items() if self.trace(p) is not None}
+        # Arcs by their text: the id of a piece that merging can build, or -1 on the way to longer ones.
+        self.arcs = {p[:n]: -1 for p in self.ids for n in range(1, len(p) + 1)}
+        self.arcs.update((p, i) for p, i in self.ids.items() if self.trace(p) is not None)
 
     # -- the order of merges ---------------------------------------------------------------
 
@@ -107,52 +108,59 @@ class Transducer:
 
     # -- shortest path ---------------------------------------------------------------------
 
-    def shortest_path(self, text: str) -> tuple[int, ...]:
+    def shortest_path(self, text: str) -> bytes:
         """Ids of the path of least weight for one part of a normalised input.
 
-        ``states[i]`` has the states at position i: the last piece, with the least weight
-        to it and the state before.  Byte arcs lead to the state None, which all may follow.
+        The composition is built as far as the search goes.  A sequence in which every
+        piece may follow the one before is what merging gives for its text; so each
+        position has one state that can be reached, and one path is accepted.  The search
+        takes long arcs first, those that leave the least weight to go, and turns back
+        from positions that no arc leaves (``dead``).
         """
-        n = len(text)
-        states: list[dict] = [{} for _ in range(n + 1)]
-        states[0][None] = (0, None, ())
-        arcs, prefixes = self.arcs, self.prefixes
-        for i in range(n):
-            if not states[i]:
-                continue
-            here = states[i]
-            for j in range(i + 1, n + 1):
-                span = text[i:j]
-                if span not in prefixes:
-                    break
-                piece = arcs.get(span)
+        n, size = len(text), len(self.names)
+        arcs, follows, single = self.arcs, self.follows, self.ids
+        at, before = 0, -1
+        path: list[tuple] = []  # (position, piece before it, arcs from it not yet tried, ids of the arc taken)
+        dead: set[int] = set()
+        while at < n:
+            options = []
+            for j in range(at + 1, n + 1):
+                piece = arcs.get(text[at:j])
                 if piece is None:
-                    continue
-                allowed = self.follows.get(piece)
-                if allowed is None:
-                    allowed = self.follows[piece] = {None: True}
-                best, source = None, None
-                for last, (weight, _, _) in here.items():
-                    if best is None or weight < best:
-                        fits = allowed.get(last)
+                    break
+                if piece >= 0:
+                    options.append((j, piece))
+            if text[at] not in single:
+                options.append((at + 1, -1))
+            while True:
+                taken = None
+                while options:
+                    j, piece = options.pop()
+                    if j in dead:
+                        continue
+                    if before >= 0 and piece >= 0:
+                        fits = follows.get(before * size + piece)
                         if fits is None:
-                            fits = allowed[last] = self.may_follow(last, piece)
-                            self.known_pairs += 1
-                        if fits:
-                            best, source = weight, last
-                if best is not None:  # the only arc of this piece to this position
-                    states[j][piece] = (best + 1, (i, source), (piece,))
-            if text[i] not in self.ids:
-                spelt = tuple(self.byte_ids.get(b, self.unknown) for b in text[i].encode()) if self.byte_ids else (self.unknown,)
-                weight, last = min(((w, s) for s, (w, _, _) in here.items()), key=lambda s: s[0])
-                if weight + len(spelt) < states[i + 1].get(None, (n * 4 + 1,))[0]:
-                    states[i + 1][None] = (weight + len(spelt), (i, last), spelt)
-        at, last = n, min(states[n], key=lambda s: states[n][s][0])
-        out: list[int] = []
-        while at:
-            _, (at, last), ids = states[at][last]
-            out[:0] = ids
-        return tuple(out)
+                            fits = self.may_follow(before, piece)
+                            if len(follows) < 2 * REMEMBERED:
+                                follows[before * size + piece] = fits
+                        if not fits:
+                            continue
+                    taken = j, piece
+                    break
+                if taken:
+                    break
+                dead.add(at)
+                at, before, options, _ = path.pop()
+            ids = (taken[1],) if taken[1] >= 0 else self.bytes_of(text[at])
+            path.append((at, before, options, ids))
+            at, before = taken
+        out = [i for step in path for i in step[3]]
+        return pack(f"<{len(out)}i", *out)
+
+    def bytes_of(self, character: str) -> tuple[int, ...]:
+        """Byte pieces of a character that is no piece; in a model without them, the unknown piece."""
+        return tuple(self.byte_ids.get(b, self.unknown) for b in character.encode()) if self.byte_ids else (self.unknown,)
 
     def parts_of(self, chunk: str) -> Iterator[str]:
         low = 0
@@ -163,20 +171,15 @@ class Transducer:
         yield chunk[low:]
 
     def chunk_ids(self, chunk: str) -> bytes:
-        ids: list[int] = []
+        out = []
         for part in self.parts_of(chunk):
             path = self.parts.get(part)
             if path is None:
                 path = self.shortest_path(part)
-                if len(part) <= LONG:
-                    if len(self.parts) >= REMEMBERED:
-                        self.parts.clear()
-                    if self.known_pairs > 3 * REMEMBERED:
-                        self.follows.clear()
-                        self.known_pairs = 0
+                if len(part) <= LONG and len(self.parts) < REMEMBERED:
                     self.parts[part] = path
-            ids += path
-        return np.array(ids, "<i4").tobytes()
+            out.append(path)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian 32-bit integers."""
@@ -187,9 +190,7 @@ class Transducer:
             ids = seen.get(chunk)
             if ids is None:
                 ids = self.chunk_ids(chunk)
-                if len(chunk) <= LONG:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
+                if len(chunk) <= LONG and len(seen) < REMEMBERED:
                     seen[chunk] = ids
             out.append(ids)
         return b"".join(out)
