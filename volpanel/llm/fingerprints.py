@@ -93,9 +93,11 @@ def classes(docs: DataFrame) -> DataFrame:
     # A bounded filter ahead of the shuffle: the slots, SLOTS at most, that any such hash falls in.
     slots = buckets.select(F.pmod("a", F.lit(SLOTS)).alias("slot")).distinct()
     likely = hashed.join(F.broadcast(slots), F.pmod("a", F.lit(SLOTS)) == F.col("slot"), "left_semi")
-    members = likely.join(buckets, ["a", "b"])
-    heads = members.where(F.col("doc_id") == F.col("leader")).groupBy("a", "b").agg(F.min("form").alias("head"))
-    compared = members.join(heads, ["a", "b"]).select("doc_id", "leader", F.when(F.col("form") != F.col("head"), F.sha2(F.col("form"), 256)).alias("odd"))
+    # The leaders' forms, found by id; so the one join by hash stands alone on its shuffle and can be split.
+    leaders = buckets.select(F.pmod(F.xxhash64("leader"), F.lit(SLOTS)).alias("place")).distinct()
+    near = likely.join(F.broadcast(leaders), F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) == F.col("place"), "left_semi").select("doc_id", F.col("form").alias("head"))
+    heads = near.join(buckets.withColumnRenamed("leader", "doc_id"), "doc_id").groupBy("doc_id", "a", "b").agg(F.min("head").alias("head"))
+    compared = likely.join(heads.withColumnRenamed("doc_id", "leader"), ["a", "b"]).select("doc_id", "leader", F.when(F.col("form") != F.col("head"), F.sha2(F.col("form"), 256)).alias("odd"))
     other = compared.where(F.col("odd").isNotNull())
     apart = other.join(other.groupBy("leader", "odd").agg(F.min("doc_id").alias("class_id")), ["leader", "odd"]).select("doc_id", "class_id")
     return compared.where(F.col("odd").isNull()).select("doc_id", F.col("leader").alias("class_id")).unionByName(apart)
