@@ -1 +1 @@
-
+"""Entry points: the registered queries and spark-submit jobs."""

@@ -1 +1 @@
-
+"""DataFrame to DataFrame operators on panels keyed by (asset, date)."""

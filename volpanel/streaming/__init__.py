@@ -1 +1 @@
-
+"""Structured Streaming forms of the walk-forward forecasts."""
