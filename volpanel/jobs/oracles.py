@@ -111,9 +111,9 @@ days AS (
   FROM ticks WHERE price > 0 GROUP BY ALL)"""
 DIMENSION = "dim AS (SELECT * FROM (VALUES ('click', 'index', 'traffic'), ('view', 'index', 'traffic'), ('purchase', 'high_beta', 'sales'), ('signup', 'high_beta', 'growth'), ('logout', 'defensive', 'traffic')) AS d(asset, category, sector))"
 PARAMETERS = """
-params AS (SELECT a.asset, v.model, v.omega::DOUBLE AS omega, v.alpha::DOUBLE AS alpha, v.gamma::DOUBLE AS gamma, v.beta::DOUBLE AS beta, v.lambda::DOUBLE AS lambda, true AS converged
+params AS (SELECT a.asset, v.model, v.omega::DOUBLE AS omega, v.alpha::DOUBLE AS alpha, v.gamma::DOUBLE AS gamma, v.beta::DOUBLE AS beta, v.lam::DOUBLE AS "lambda", true AS converged
   FROM (SELECT DISTINCT asset FROM bars) a, (VALUES ('EWMA', NULL, NULL, NULL, NULL, 0.94), ('GARCH', 0.05, 0.08, NULL, 0.90, NULL),
-    ('EGARCH', 1.03 - ln(10000.0), 0.10, -0.05, 0.90, NULL), ('GJR-GARCH', 0.05, 0.03, 0.10, 0.90, NULL)) AS v(model, omega, alpha, gamma, beta, lambda)),
+    ('EGARCH', 1.03 - ln(10000.0), 0.10, -0.05, 0.90, NULL), ('GJR-GARCH', 0.05, 0.03, 0.10, 0.90, NULL)) AS v(model, omega, alpha, gamma, beta, lam)),
 persist AS (SELECT *, CASE model WHEN 'GARCH' THEN alpha + beta WHEN 'EGARCH' THEN beta WHEN 'GJR-GARCH' THEN alpha + beta + gamma / 2 END AS persistence FROM params)"""
 
 
@@ -144,7 +144,7 @@ ORACLES: dict[str, str] = {
     "reference_series": "SELECT date_trunc('hour', ts)::TIMESTAMP AS date, round(avg(value), 6) AS reference, count(*) AS ticks FROM events GROUP BY ALL",
     "coverage": _with(*P, then="SELECT asset, count(*) AS n_rows, date_diff('day', min(date), max(date))::INTEGER AS span_days, round(100.0 * count(*) / (date_diff('day', min(date), max(date)) * 8760 / 365.0), 6) AS coverage_pct, count(CASE WHEN abs(log_return) > 1.0 THEN 1 END) AS n_extreme FROM panel GROUP BY asset"),
     "category_counts": _with(BARS, DIMENSION, then="SELECT category, panel.asset, count(*) AS n_rows FROM panel LEFT JOIN dim USING (asset) GROUP BY ALL"),
-    "brand_bars": _with(BRANDS, then=f"SELECT asset, date, {_r('open high low close')}, ticks FROM days"),
+    "brand_bars": _with(BRANDS, then=f"SELECT asset, date, {_r('open high low close', 8)}, ticks FROM days"),
     "brand_returns": _with(BRANDS, then="SELECT asset, date, round(log_return, 6) AS log_return FROM (SELECT asset, date, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY date)) AS log_return FROM days) WHERE log_return IS NOT NULL"),
     "series_profile": _with(*P, then="SELECT asset, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date FROM panel GROUP BY asset"),
     "missing_counts": _with(BARS, DIRTY, then=" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_missing FROM dirty" for c in ("asset", "date", "open", "high", "low", "close", "seq"))),
@@ -164,7 +164,7 @@ ORACLES: dict[str, str] = {
     "garch_filter": _with(*V, then=f"SELECT asset, date, {_r('garch')} FROM paths WHERE date < {OOS}"),
     "egarch_filter": _with(*V, then=f"SELECT asset, date, {_r('egarch')} FROM paths WHERE date < {OOS}"),
     "gjr_filter": _with(*V, then=f"SELECT asset, date, {_r('gjr_garch')} FROM paths WHERE date < {OOS}"),
-    "param_table": _with(BARS, PARAMETERS, then=f"SELECT asset, model, {_r('omega alpha gamma beta lambda', 9)}, converged FROM params"),
+    "param_table": _with(BARS, PARAMETERS, then=f"SELECT asset, model, {_r('omega alpha gamma beta', 9)}, round(\"lambda\", 9) AS \"lambda\", converged FROM params"),
     "persistence": _with(BARS, PARAMETERS, then=f"SELECT asset, model, {_r('persistence')} FROM persist"),
     "info_criteria": _with(*V, then=f"SELECT asset, round(ll, 4) AS log_likelihood, round(6 - 2 * (ll - n * ln(100.0)), 4) AS aic, round(3 * ln(n) - 2 * (ll - n * ln(100.0)), 4) AS bic FROM (SELECT asset, count(*) AS n, sum(-0.5 * (1.8378770664093453 + ln(garch) + realized_var_proxy / garch)) AS ll FROM paths WHERE date < {OOS} GROUP BY asset)"),
     "fit_diagnostics": _with(BARS, PARAMETERS, then="SELECT asset, model, round(persistence, 6) AS persistence, CASE model WHEN 'EWMA' THEN '' WHEN 'GARCH' THEN 'stationary' WHEN 'EGARCH' THEN 'stationary; leverage' ELSE CASE WHEN round(persistence, 9) > 0.98 THEN 'near unit root; leverage' ELSE 'stationary; leverage' END END AS labels FROM persist"),

@@ -146,7 +146,7 @@ QUERIES: dict[str, Query] = {
     "reference_series": lambda s, d: rounded(prep.reference_series(source.event_ticks(s, d))),
     "coverage": lambda s, d: rounded(prep.coverage(panel(s, d), per_year=8760, extreme=1.0)),
     "category_counts": lambda s, d: prep.category_counts(prep.pooled(panel(s, d), DIMENSION)),
-    "brand_bars": lambda s, d: rounded(source.ohlc(source.brand_ticks(s, d), "day")),
+    "brand_bars": lambda s, d: rounded(source.ohlc(source.brand_ticks(s, d), "day"), 8),
     "brand_returns": lambda s, d: rounded(prep.returns(source.ohlc(source.brand_ticks(s, d), "day"), "year").select("asset", "date", "log_return")),
     # audits
     "series_profile": lambda s, d: quality.series_profile(panel(s, d)),
