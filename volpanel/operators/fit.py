@@ -72,7 +72,7 @@ def information_criteria(table: DataFrame) -> DataFrame:
 
 def diagnostics(table: DataFrame) -> DataFrame:
     """Labels of each fit: persistence, signs of the parameters, leverage."""
-    p = persistence(F.col("model"), F.col("alpha"), F.col("gamma"), F.col("beta"))
+    p = F.round(persistence(F.col("model"), F.col("alpha"), F.col("gamma"), F.col("beta")), 12)
     labels = [
         F.when(p >= 1, "explosive").when(p > 0.98, "near unit root").when(p.isNotNull(), "stationary"),
         F.when(F.col("model").isin("GARCH", "GJR-GARCH") & (F.col("omega") <= 0), "omega not positive"),
