@@ -157,7 +157,8 @@ def predict(table: DataFrame, trained: DataFrame) -> DataFrame:
 
 def linear_gate(table: DataFrame, slope: float = 0.5) -> DataFrame:
     """A gate with fixed weights as pure expressions: softmax of minus ``slope`` times each scaled trailing error."""
-    logits = {m: F.exp(-slope * F.col(f"{m}_rmse_60")) for m in MODELS}
+    least = F.least(*(F.col(f"{m}_rmse_60") for m in MODELS))
+    logits = {m: F.exp(-slope * (F.col(f"{m}_rmse_60") - least)) for m in MODELS}
     total = logits["ewma"] + logits["garch"] + logits["egarch"] + logits["gjr_garch"]
     out = table.select("*", *((x / total).alias(f"{m}_neural_weight") for m, x in logits.items()))
     variance = sum((F.col(f"{m}_neural_weight") * F.col(m) for m in MODELS[1:]), F.col("ewma_neural_weight") * F.col("ewma"))
