@@ -13,6 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster sets it.
 
@@ -20,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _OWN.setdefault(app, _OWN.get(app) or tempfile.mkdtemp(prefix="spark-shared-"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -59,3 +62,8 @@ def bounded_sample(ids: DataFrame, id_col: str, rows: int) -> DataFrame:
     return (
         ids.select(id_col).distinct().orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(rows)
     )
+
+
+def small_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", most: int = 100_000) -> DataFrame:
+    """Join with a table of a few numbers a key: broadcast behind a count of its rows, else by a shuffle."""
+    return big.join(F.broadcast(small) if small.count() <= most else small, on, how)

@@ -7,16 +7,19 @@ lists, which are scanned.  The boundary is where the keys of a light set would c
 than the postings and the expected scan of its lists, from the sizes and list lengths of
 the corpus.  Sets near the boundary do both, so no pair is missed.
 
-Equal sets are one representative.  In each key's list, members are verified against the
-list's least; then only pairs of members that are still in different components are, so a
-large group of near copies costs a star and not its square.  Every pair that shares a key
-is either verified or already connected: the components are exact.
+Equal sets are one representative.  In each key's list, members are paired with one of
+them; then only members that are still in different components are paired, so a large
+group of near copies costs stars and not its square.  Pairs whose sizes, places in the
+lists or parity bitmaps rule out a link are dropped for that; the sets of the others are
+made again from their texts and compared.  Every pair that shares a key is ruled out,
+compared or already connected: the components are exact.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +35,8 @@ WORDS = 4
 PERCENT = 85
 SLOTS = 1 << 16
 MOST_LIGHT = 26
+BITS = 1024
+NEAR_SLOTS = 1 << 18
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,17 +74,23 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (kind 0: id, size, two hashes of its set), then shingle counts by slot (kind 1)."""
-    names = ["kind", "a", "n", "s1", "s2"]
+    names = ["kind", "a", "n", "s1", "s2", "bits"]
+    words = BITS // 64
     counts = np.zeros(SLOTS, np.int64)
     for ids, raw in K.texts_of(batches, "doc_id"):
         grams, ends = shingles([x or "" for x in raw])
         counts += np.bincount((grams >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
         edges = np.concatenate([[0], ends])
         sums = [np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])[edges]) for x in (K.mix(grams), K.mix(grams ^ SECOND))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(raw), np.int32)), pa.array(ids, pa.int64()), pa.array(np.diff(edges).astype(np.int32)), *(pa.array(K.as_long(s)) for s in sums)], names)
+        # Bit (hash mod BITS) is the parity of the shingles there: two sets differ in at least as many shingles as bits.
+        bits = np.zeros(len(raw) * words, np.uint64)
+        cell = np.repeat(np.arange(len(raw)), np.diff(edges)) * words + ((grams >> np.uint64(6)) % np.uint64(words)).astype(np.int64)
+        np.bitwise_xor.at(bits, cell, np.uint64(1) << (grams & np.uint64(63)))
+        bitmap = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * words), pa.array(K.as_long(bits)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(raw), np.int32)), pa.array(ids, pa.int64()), pa.array(np.diff(edges).astype(np.int32)), *(pa.array(K.as_long(s)) for s in sums), bitmap], names)
     slots = np.flatnonzero(counts)
     zero = np.zeros(len(slots), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), np.int32)), pa.array(slots), pa.array(zero.astype(np.int32)), pa.array(counts[slots]), pa.array(zero)], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), np.int32)), pa.array(slots), pa.array(zero.astype(np.int32)), pa.array(counts[slots]), pa.array(zero), pa.nulls(len(slots), pa.list_(pa.int64()))], names)
 
 
 def subsets(size: int, percent: int = PERCENT) -> int:
@@ -139,12 +150,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(K.as_long(grams)))], ["id", "grams"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow to link."""
+    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("bits").alias("left"))
+    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("right"))
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("left")[i].bitwiseXOR(F.col("right")[i])) for i in range(BITS // 64)))
+    met = pairs.join(right, "b").join(left, "a")
+    return met.where((100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn"))).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link; the sets are made for the documents in ``pairs`` alone."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    # A bounded filter keeps most other texts from the shuffle: NEAR_SLOTS numbers at most.
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEAR_SLOTS))
+    likely = texts.join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+    sets, path = stored(likely.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, grams array<long>"))
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
-    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b").distinct()
+    linked_pairs = pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b").distinct()
+    out = cut(linked_pairs)
+    discard(texts.sparkSession, path)
+    return out
 
 
 def _fit(n: str, m: str, percent: int):
@@ -152,6 +180,15 @@ def _fit(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _room(n: str, place: str, m: str, other: str, percent: int):
+    """Whether a pair whose first common shingle has these places may still overlap enough.
+
+    The first key that a linked pair shares passes; a subset key (place -1) always does.
+    """
+    overlap = F.least(F.col(n) - F.greatest(place, F.lit(0)), F.col(m) - F.greatest(other, F.lit(0)))
+    return (100 + percent) * overlap >= percent * (F.col(n) + F.col(m))
+
+
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Components of ``docs`` (doc_id, text) under the join: doc_id, n_shingles, component_id.
 
@@ -162,8 +199,8 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured, _ = stored(texts.mapInArrow(_measure, "kind int, a long, n int, s1 long, s2 long"))
-    own = measured.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "s1", "s2")
+    measured, _ = stored(texts.mapInArrow(_measure, "kind int, a long, n int, s1 long, s2 long, bits array<long>"))
+    own = measured.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "s1", "s2", "bits")
     slots = measured.where("kind = 1").groupBy(F.col("a").alias("slot")).agg(F.sum("s1").alias("n")).toPandas()
     counts = np.zeros(SLOTS, np.int64)  # at most SLOTS numbers, whatever the corpus
     counts[slots["slot"]] = slots["n"]
@@ -174,44 +211,42 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # Representatives of equal sets.
     filled = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    heads = filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = cut(filled.join(heads, ["n", "s1", "s2"]).select("doc_id", "rep", "n").distinct())
+    heads = cut(filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
+    named = filled.join(heads, ["n", "s1", "s2"])
+    reps = cut(named.select("doc_id", "rep", "n").distinct())
+    maps = named.where(F.col("doc_id") == F.col("rep")).select("rep", "n", "bits").dropDuplicates(["rep", "n"])
 
     posted, posted_path = stored(texts.mapInArrow(_post(counts, light, percent), "key long, doc_id long, place int"))
     shared = posted.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     lists = posted.join(shared, "key").join(reps, "doc_id").groupBy("key", "rep", "n").agg(F.min("place").alias("place"))
     lists, lists_path = stored(lists)
     discard(spark, posted_path)
-    least = lists.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    size_of = reps.select(F.col("rep").alias("low"), F.col("n").alias("low_n")).distinct()
-    stars = lists.join(least, "key").where(F.col("rep") > F.col("low")).select(F.col("low"), F.col("rep").alias("b"), F.col("n")).distinct()
-    stars = cut(stars.join(size_of, "low").where(_fit("n", "low_n", percent)).select(F.col("low").alias("a"), "b").distinct())
-
-    # Sets of the documents in any list of two; a bounded filter keeps other texts from the shuffle.
-    wanted = cut(lists.join(least, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    likely = texts.join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
-    sets, sets_path = stored(likely.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, grams array<long>"))
-    first = cut(_verified(stars, sets, percent))
+    # Each list has a leader of its own, so a member of many lists meets many others of a group.
+    draw = F.xxhash64("rep", "key")
+    least = lists.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(draw).alias("drawn")).where("low < high").select("key", "drawn")
+    lead = lists.join(least, "key").where(draw == F.col("drawn")).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"))
+    stars = lists.join(lead, "key").where((F.col("rep") != F.col("a")) & _fit("n", "an", percent) & _room("n", "place", "an", "ap", percent))
+    stars = stars.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    stars = cut(_possible(stars, maps, percent))
+    first = _verified(stars, texts, percent)
     label = components(first)
 
     # Pairs of one list that are not connected yet.
     placed = lists.join(least, "key", "left_semi").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     groups = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    mixed = groups.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", "size").alias("top")).where("low < high").select("key", "top")
     open_lists, open_path = stored(placed.join(mixed, "key"))
-    cells = open_lists.select("key", "c").distinct()
-    meet = cells.select("key", F.col("c").alias("ca")).join(cells.select("key", F.col("c").alias("cb")), "key").where("ca < cb")
-    one = open_lists.select("key", F.col("c").alias("ca"), F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"))
-    two = open_lists.select("key", F.col("c").alias("cb"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"))
-    overlap = F.least(F.col("xn") - F.greatest("xp", F.lit(0)), F.col("yn") - F.greatest("yp", F.lit(0)))
-    cross = meet.join(one, ["key", "ca"]).join(two, ["key", "cb"]).where(_fit("xn", "yn", percent) & ((100 + percent) * overlap >= percent * (F.col("xn") + F.col("yn"))))
+    # Members outside a list's largest component against all of the list.
+    one = open_lists.where("c != top").select("key", F.col("c").alias("xc"), F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"))
+    two = open_lists.select("key", "top", F.col("c").alias("yc"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"))
+    once = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("x") < F.col("y")))
+    cross = one.join(two, (one["key"] == two["key"]) & once & _fit("xn", "yn", percent) & _room("xn", "xp", "yn", "yp", percent))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = cut(_verified(rest, sets, percent))
+    second = _verified(cut(_possible(rest, maps, percent)), texts, percent)
     label = cut(components(first.unionByName(second)))
-    for path in (lists_path, sets_path, open_path):
+    for path in (lists_path, open_path):
         discard(spark, path)
 
-    named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id", "n").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = own.join(named, ["doc_id", "n"], "left")
+    placed = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id", "n").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    out = own.drop("bits").join(placed, ["doc_id", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

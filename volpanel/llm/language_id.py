@@ -141,11 +141,9 @@ def accepted(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column("text").to_pylist()
-            for low, high in K.slices([t or "" for t in raw]):
-                pred, score = score_texts(shared.value, raw[low:high])
-                yield batch.slice(low, high - low).filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)]))
+        for part, raw in K.parts_of(batches):
+            pred, score = score_texts(shared.value, raw)
+            yield part.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

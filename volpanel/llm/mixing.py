@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volpanel.llm.frames import cut
+from volpanel.llm.frames import cut, small_join
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     # Read several times below, so the texts are measured once; a few numbers a document.
     rows = cut(docs.select("doc_id", F.to_json(F.struct("source")).alias("group"), "source", "size", key.alias("key")))
     budget = F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")
-    goal = (
+    goal = cut(
         targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("budget", budget)
@@ -95,15 +95,14 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     for level in range(LEVELS):
         inside = rows.withColumn("fine", _cells(F.col("key"), level))
         if level:
-            inside = inside.join(edge, (inside["group"] == edge["group"]) & (_cells(F.col("key"), level - 1) == edge["cell"])).select(inside["group"], "fine", "size", "left")
-            sums = inside.groupBy("group", "fine").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
-        else:
-            sums = inside.groupBy("group", "fine").agg(F.sum("size").alias("size")).join(edge.select("group", "left"), "group")
+            inside = small_join(inside, edge, "group").where(_cells(F.col("key"), level - 1) == F.col("cell"))
+        sums = small_join(inside.groupBy("group", "fine").agg(F.sum("size").alias("size")), edge.select("group", "left"), "group")
         past = F.coalesce(F.sum("size").over(Window.partitionBy("group").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        edge = sums.withColumn("past", past).where((F.col("past") <= F.col("left")) & (F.col("left") < F.col("past") + F.col("size"))).select("group", F.col("fine").alias("cell"), (F.col("left") - F.col("past")).alias("left"))
+        ends = sums.withColumn("past", past).where((F.col("past") <= F.col("left")) & (F.col("left") < F.col("past") + F.col("size")))
+        edge = cut(ends.select("group", F.col("fine").alias("cell"), (F.col("left") - F.col("past")).alias("left")))
     # Without an edge (a source without words) nothing is left to take.
     ends = edge.withColumnRenamed("left", "rest")
-    placed = rows.join(goal.join(ends, "group", "left"), "group").withColumn("fine", _cells(F.col("key"), LEVELS - 1))
+    placed = small_join(rows, cut(goal.join(ends, "group", "left")), "group").withColumn("fine", _cells(F.col("key"), LEVELS - 1))
     at_edge = F.coalesce(F.col("fine") == F.col("cell"), F.lit(False))
     order = Window.partitionBy("group").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.coalesce(F.sum("size").over(order), F.lit(0))
@@ -124,7 +123,7 @@ def mixed(documents: DataFrame) -> DataFrame:
     """
     share = mixture(documents).groupBy(F.col("doc_id").alias("id")).agg(F.max("size").alias("size"), F.max("epochs").alias("epochs"), F.max("taken").alias("taken"))
     share = share.select("id", "size", "epochs", (F.col("taken") - F.col("epochs") * F.col("size")).alias("part"))
-    copies = F.col("epochs") + (F.col("part") > 0).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(0)
     taken = documents.join(share, F.col("doc_id").eqNullSafe(F.col("id"))).where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut_short = (F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size"))
     words = F.split("text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volpanel.llm.textkernel import slices
+from volpanel.llm.textkernel import parts_of
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -231,13 +231,11 @@ def encode(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.machine()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for low, high in slices([t or "" for t in texts]):
-                coded = [machine.encode(t or "") for t in texts[low:high]]
-                offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), batch.column("text").slice(low, high - low), ids], ["doc_id", "text", "ids"])
+        for part, raw in parts_of(batches):
+            coded = [machine.encode(t or "") for t in raw]
+            offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], ["doc_id", "text", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
 

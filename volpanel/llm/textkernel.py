@@ -135,11 +135,25 @@ def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
+ROWS_AT_ONCE = 512
+
+
 def texts_of(batches: Iterable, *columns: str) -> Iterator[tuple]:
-    """(values of other columns..., texts) of each slice; null texts come as None in ``raw``."""
+    """(values of other columns..., texts) of each slice of some hundred rows; null texts come as None."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, ROWS_AT_ONCE)
+            raw = part.column("text").to_pylist()
+            others = [part.column(c).to_pylist() for c in columns]
+            for low, high in slices([t or "" for t in raw]):
+                yield (*[o[low:high] for o in others], raw[low:high])
+
+
+def parts_of(batches: Iterable) -> Iterator[tuple]:
+    """(record batch, texts) of each slice of some hundred rows."""
     for batch in batches:
-        text = batch.column("text")
-        raw = text.to_pylist()
-        others = [batch.column(c).to_pylist() for c in columns]
-        for low, high in slices([t or "" for t in raw]):
-            yield (*[o[low:high] for o in others], raw[low:high])
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, ROWS_AT_ONCE)
+            raw = part.column("text").to_pylist()
+            for low, high in slices([t or "" for t in raw]):
+                yield part.slice(low, high - low), raw[low:high]
