@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from volpanel.functions import kernels
 from volpanel.operators import ensemble, features, fit, gate, leakage, metrics, prep, quality, recursion, research
-from volpanel.operators.blocks import BLOCK, indexed, own_rows, with_halo
+from volpanel.operators.blocks import by_block, indexed, own_rows, with_halo
 from volpanel.sources import bars
 from volpanel.sources.schema import BAR_COLUMNS, MODELS, Parameters
 from volpanel.streaming import walk_forward
@@ -65,7 +65,7 @@ def test_index_and_halo_are_independent_of_block_size(spark):
     rows = indexed(frame, "day")
     want = None
     for size in (7, 50, 4096):
-        mean = own_rows(with_halo(rows, 5, size).withColumn("m", F.avg("close").over(BLOCK.rowsBetween(-5, -1))))
+        mean = own_rows(with_halo(rows, 5, size).withColumn("m", F.avg("close").over(by_block().rowsBetween(-5, -1))))
         got = mean.orderBy("asset", "t").select("asset", "t", F.round("m", 9)).collect()
         want = want or got
         assert got == want and len(got) == 130 + 113

@@ -8,11 +8,14 @@ as many small ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
-BLOCK = Window.partitionBy("asset", "block").orderBy("t")
+
+def by_block() -> WindowSpec:
+    """Rows of one block of an asset in order."""
+    return Window.partitionBy("asset", "block").orderBy("t")
 
 
 def indexed(panel: DataFrame, unit: str = "month") -> DataFrame:
@@ -32,7 +35,7 @@ def indexed(panel: DataFrame, unit: str = "month") -> DataFrame:
 def with_halo(panel: DataFrame, halo: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``block`` and ``own``; the last ``halo`` rows of a block also come, not own, with the next.
 
-    Frames over ``BLOCK`` that reach at most ``halo`` rows back see what they would in the
+    Frames over ``by_block`` that reach at most ``halo`` rows back see what they would in the
     whole asset.  Keep only ``own`` rows afterwards.
     """
     at = F.col("t") - 1

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volpanel.operators.blocks import BLOCK, own_rows, with_halo
+from volpanel.operators.blocks import by_block, own_rows, with_halo
 from volpanel.sources.schema import MODELS
 
 LOOKBACK = 60
@@ -24,7 +24,7 @@ def trailing_rmse(paths: DataFrame, lookback: int = LOOKBACK, models: tuple[str,
 
     Rows, not days; the row itself is never in the frame.
     """
-    frame = BLOCK.rowsBetween(-lookback, -1)
+    frame = by_block().rowsBetween(-lookback, -1)
     out = with_halo(paths, lookback)
     for m in models:
         error = (F.col(m) - F.col(target)) * (F.col(m) - F.col(target))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volpanel.operators.blocks import BLOCK, own_rows, with_halo
+from volpanel.operators.blocks import by_block, own_rows, with_halo
 from volpanel.operators.ensemble import full, out_of_sample
 from volpanel.sources.schema import FEATURES, MODELS
 
@@ -20,18 +20,18 @@ def gating_features(paths: DataFrame, oos: str, lookback: int = 60) -> DataFrame
     """
     r2 = F.col("log_return") * F.col("log_return")
     out = with_halo(paths, lookback)
-    frame = BLOCK.rowsBetween(-lookback, -1)
+    frame = by_block().rowsBetween(-lookback, -1)
     for m in MODELS:
         error = (F.col(m) - F.col("realized_var_proxy")) * (F.col(m) - F.col("realized_var_proxy"))
         out = out.withColumn(f"{m}_rmse_60", full(F.sqrt(F.avg(error).over(frame)), frame, lookback, "realized_var_proxy"))
     for k in VOL_WINDOWS:
-        back = BLOCK.rowsBetween(-k, -1)
+        back = by_block().rowsBetween(-k, -1)
         out = out.withColumn(f"realized_vol_{k}", full(F.sqrt(F.avg(r2).over(back)), back, k, "log_return"))
-    inner = BLOCK.rowsBetween(-4, 0)
+    inner = by_block().rowsBetween(-4, 0)
     out = out.withColumn("_rv5", full(F.sqrt(F.avg(r2).over(inner)), inner, 5, "log_return"))
-    spread = BLOCK.rowsBetween(-30, -1)
+    spread = by_block().rowsBetween(-30, -1)
     out = out.withColumn("vol_of_vol_30", full(F.stddev_samp("_rv5").over(spread), spread, 30, "_rv5"))
-    out = out.withColumn("return_sign_lag1", F.when(F.lag("log_return").over(BLOCK) < 0, 1).otherwise(0))
+    out = out.withColumn("return_sign_lag1", F.when(F.lag("log_return").over(by_block()) < 0, 1).otherwise(0))
     return out_of_sample(own_rows(out.drop("_rv5")), oos).select("asset", "date", "t", *FEATURES)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volpanel.operators.blocks import BLOCK, own_rows, with_halo
+from volpanel.operators.blocks import by_block, own_rows, with_halo
 from volpanel.operators.ensemble import out_of_sample
 from volpanel.sources.schema import MODELS, TARGETS
 
@@ -25,7 +25,7 @@ def oos_table(paths: DataFrame, oos: str) -> DataFrame:
 
 def first_k(paths: DataFrame, oos: str, k: int = 3) -> DataFrame:
     """The first k out-of-sample rows of each asset with the return before, by position."""
-    with_previous = own_rows(with_halo(paths, 1).withColumn("previous_return", F.lag("log_return").over(BLOCK)))
+    with_previous = own_rows(with_halo(paths, 1).withColumn("previous_return", F.lag("log_return").over(by_block())))
     rows = out_of_sample(with_previous, oos)
     first = rows.groupBy("asset").agg(F.min("t").alias("first_t"))
     return rows.join(first, "asset").where(F.col("t") < F.col("first_t") + k).withColumn("position", (F.col("t") - F.col("first_t") + 1)).drop("first_t")

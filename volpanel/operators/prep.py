@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volpanel.operators.blocks import BLOCK, indexed, own_rows, with_halo
+from volpanel.operators.blocks import by_block, indexed, own_rows, with_halo
 
 PARKINSON_SCALE = 4 * 0.6931471805599453  # 4 ln 2
 
@@ -35,7 +35,7 @@ def returns(bars: DataFrame, unit: str = "month") -> DataFrame:
     A return spans any gap of time between two bars of an asset; bars without a positive
     close are left out first.
     """
-    r = F.ln(F.col("close") / F.lag("close").over(BLOCK))
+    r = F.ln(F.col("close") / F.lag("close").over(by_block()))
     priced = indexed(bars.where(F.col("close") > 0), unit)
     panel = own_rows(with_halo(priced, 1).withColumn("log_return", r)).where(F.col("t") > 1).withColumn("t", F.col("t") - 1)
     return panel.withColumn("realized_var_proxy", F.col("log_return") * F.col("log_return")).withColumn("parkinson_var_proxy", parkinson(F.col("high"), F.col("low")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volpanel.operators.blocks import BLOCK, own_rows, with_halo
+from volpanel.operators.blocks import by_block, own_rows, with_halo
 from volpanel.operators.metrics import finite
 
 PRICES = ("open", "high", "low", "close")
@@ -93,7 +93,7 @@ def extreme_counts(panel: DataFrame, threshold: float = 0.10) -> DataFrame:
 
 def sequence_audit(panel: DataFrame, expected: DataFrame) -> DataFrame:
     """By asset: dates strictly increasing along ``t``, unique, and as many as ``expected`` (asset, n_expected)."""
-    steps = own_rows(with_halo(panel.select("asset", "date", "t"), 1).withColumn("step_ok", F.coalesce(F.lag("date").over(BLOCK) < F.col("date"), F.lit(True))))
+    steps = own_rows(with_halo(panel.select("asset", "date", "t"), 1).withColumn("step_ok", F.coalesce(F.lag("date").over(by_block()) < F.col("date"), F.lit(True))))
     found = steps.groupBy("asset").agg(F.count("*").alias("n_rows"), F.min("step_ok").alias("increasing"), F.max("t").alias("last_t"))
     return found.join(expected, "asset", "left").select("asset", "n_rows", "increasing", (F.col("last_t") == F.col("n_rows")).alias("unique"), F.coalesce(F.col("n_rows") == F.col("n_expected"), F.lit(False)).alias("count_ok"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volpanel.functions.kernels import egarch_step
-from volpanel.operators.blocks import BLOCK, own_rows, with_halo
+from volpanel.operators.blocks import by_block, own_rows, with_halo
 from volpanel.sources.schema import Parameters
 
 SCAN_ROWS = 32
@@ -62,7 +62,7 @@ def seeds(panel: DataFrame, oos: str) -> DataFrame:
 
 
 def _with_terms(panel: DataFrame, oos: str, p: Parameters) -> DataFrame:
-    r = F.lag("log_return").over(BLOCK)
+    r = F.lag("log_return").over(by_block())
     terms = {"_ewma": (1 - p.lam) * r * r, "_garch": p.garch[0] + p.garch[1] * r * r, "_gjr": p.gjr[0] + (p.gjr[1] + F.when(r < 0, p.gjr[2]).otherwise(0.0)) * r * r}
     ahead = with_halo(panel, 1)
     for name, term in terms.items():

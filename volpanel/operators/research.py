@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volpanel.operators.blocks import BLOCK, own_rows, with_halo
+from volpanel.operators.blocks import by_block, own_rows, with_halo
 from volpanel.operators.ensemble import trailing_rmse
 
 NORMAL_TAIL = {0.01: 2.3263478740408408, 0.05: 1.6448536269514722}
@@ -30,7 +30,7 @@ def diebold_mariano(losses: DataFrame, first: str, second: str, lags: int = 5) -
     """
     d = losses.select("asset", "t", (F.col(first) - F.col(second)).alias("d"))
     mean = d.groupBy("asset").agg(F.avg("d").alias("mean_d"), F.count("*").alias("n"))
-    centred = own_rows(with_halo(d.join(mean, "asset").withColumn("e", F.col("d") - F.col("mean_d")), lags).withColumns({f"p{k}": F.col("e") * F.lag("e", k).over(BLOCK) for k in range(1, lags + 1)}))
+    centred = own_rows(with_halo(d.join(mean, "asset").withColumn("e", F.col("d") - F.col("mean_d")), lags).withColumns({f"p{k}": F.col("e") * F.lag("e", k).over(by_block()) for k in range(1, lags + 1)}))
     sums = centred.groupBy("asset").agg(F.first("mean_d").alias("mean_d"), F.first("n").alias("n"), F.avg(F.col("e") * F.col("e")).alias("g0"), *(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(1, lags + 1)))
     variance = reduce(lambda a, k: a + 2 * (1 - k / (lags + 1)) * F.col(f"s{k}") / F.col("n"), range(1, lags + 1), F.col("g0"))
     return sums.select("asset", "n", "mean_d", variance.alias("nw_variance")).withColumn("dm_stat", F.when(F.col("nw_variance") > 0, F.col("mean_d") / F.sqrt(F.col("nw_variance") / F.col("n"))))
@@ -39,7 +39,7 @@ def diebold_mariano(losses: DataFrame, first: str, second: str, lags: int = 5) -
 def var_backtest(forecasts: DataFrame, model: str, level: float = 0.05) -> DataFrame:
     """Value-at-risk exceptions of one model by asset, with Kupiec's and Christoffersen's likelihood ratios."""
     hit = (F.col("log_return") < -NORMAL_TAIL[level] * F.sqrt(F.col(model))).cast("int")
-    rows = own_rows(with_halo(forecasts.withColumn("hit", hit), 1).withColumn("before", F.lag("hit").over(BLOCK)))
+    rows = own_rows(with_halo(forecasts.withColumn("hit", hit), 1).withColumn("before", F.lag("hit").over(by_block())))
 
     def pair(a: int, b: int) -> Column:
         return F.sum(((F.col("before") == a) & (F.col("hit") == b)).cast("long"))
