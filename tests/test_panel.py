@@ -198,7 +198,7 @@ def test_stream_equals_batch_in_several_runs(spark, panel, paths, tmp_path):
     want = ensemble.combine(ensemble.weights(ensemble.trailing_rmse(paths))).orderBy("asset", "date").toPandas()
     assert len(got) == len(want)
     for c in (*MODELS, "static_ensemble_variance"):
-        assert np.allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, equal_nan=True)
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, err_msg=c)
 
 
 def test_empty_panel(spark):

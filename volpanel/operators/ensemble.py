@@ -33,8 +33,8 @@ def trailing_rmse(paths: DataFrame, lookback: int = LOOKBACK, models: tuple[str,
 
 
 def weights(table: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
-    """Add ``{model}_weight``: 1 / max(rmse, 1e-12), normalised."""
-    inverse = {m: 1 / F.greatest(F.col(f"{m}_rmse"), F.lit(EPSILON)) for m in models}
+    """Add ``{model}_weight``: 1 / max(rmse, 1e-12), normalised; null where an error is."""
+    inverse = {m: 1 / F.when(F.col(f"{m}_rmse").isNotNull(), F.greatest(f"{m}_rmse", F.lit(EPSILON))) for m in models}
     total = reduce(lambda a, b: a + b, inverse.values())
     return table.select("*", *((x / total).alias(f"{m}_weight") for m, x in inverse.items()))
 
