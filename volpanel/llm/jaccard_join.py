@@ -150,13 +150,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(K.as_long(grams)))], ["id", "grams"])
 
 
+def _near(left: str, n: str, right: str, m: str, percent: int):
+    """Whether two bitmaps differ in no more bits than sets of these sizes may in shingles."""
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(BITS // 64)))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m))
+
+
 def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps allow to link."""
     left = reps.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("bits").alias("left"))
     right = reps.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("right"))
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("left")[i].bitwiseXOR(F.col("right")[i])) for i in range(BITS // 64)))
-    met = pairs.join(right, "b").join(left, "a")
-    return met.where((100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn"))).select("a", "b").distinct()
+    return pairs.join(right, "b").join(left, "a").where(_near("left", "an", "right", "bn", percent)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -235,14 +239,14 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = lists.join(least, "key", "left_semi").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     groups = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", "size").alias("top")).where("low < high").select("key", "top")
-    open_lists, open_path = stored(placed.join(mixed, "key"))
+    open_lists, open_path = stored(placed.join(mixed, "key").join(maps, ["rep", "n"]))
     # Members outside a list's largest component against all of the list.
-    one = open_lists.where("c != top").select("key", F.col("c").alias("xc"), F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"))
-    two = open_lists.select("key", "top", F.col("c").alias("yc"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"))
+    one = open_lists.where("c != top").select("key", F.col("c").alias("xc"), F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("bits").alias("xb"))
+    two = open_lists.select("key", "top", F.col("c").alias("yc"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("bits").alias("yb"))
     once = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("x") < F.col("y")))
-    cross = one.join(two, (one["key"] == two["key"]) & once & _fit("xn", "yn", percent) & _room("xn", "xp", "yn", "yp", percent))
+    cross = one.join(two, (one["key"] == two["key"]) & once & _fit("xn", "yn", percent) & _room("xn", "xp", "yn", "yp", percent) & _near("xb", "xn", "yb", "yn", percent))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = _verified(cut(_possible(rest, maps, percent)), texts, percent)
+    second = _verified(cut(rest), texts, percent)
     label = cut(components(first.unionByName(second)))
     for path in (lists_path, open_path):
         discard(spark, path)
