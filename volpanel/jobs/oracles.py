@@ -210,3 +210,34 @@ ORACLES: dict[str, str] = {
     name: _with(*V, then=f"SELECT asset, column_name, false AS changed_at_t, true AS changed_after_t FROM (SELECT asset FROM oos GROUP BY asset HAVING count(*) > 1) CROSS JOIN (VALUES {', '.join(f'({c!r})' for c in columns)}) AS c(column_name)")
     for name, columns in _leak_columns.items()
 }
+
+#: The same SQL over the panel that grows, its bounds from the data.
+WIDE_BARS = """
+wide_bounds AS (SELECT min(ts)::DATE AS first, max(ts)::DATE AS last, date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1 AS days FROM events WHERE value > 0),
+bars AS (
+  SELECT 'user ' || user_id AS asset, date_trunc('hour', ts)::TIMESTAMP AS date, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS ticks
+  FROM events WHERE value > 0 GROUP BY ALL
+  UNION ALL
+  SELECT 'ALL', date_trunc('minute', ts)::TIMESTAMP AS date, arg_min(value, ts), max(value), min(value), arg_max(value, ts), count(*)
+  FROM events WHERE value > 0 GROUP BY ALL),
+numbered AS"""
+
+
+def _wide(sql: str) -> str:
+    def start(k: int) -> str:
+        return f"(SELECT (first + (days * {k} // 8)::INTEGER)::TIMESTAMP FROM wide_bounds)"
+
+    def end(k: int) -> str:
+        return f"(SELECT (first + (days * {k} // 8)::INTEGER)::TIMESTAMP - INTERVAL 1 SECOND FROM wide_bounds)"
+
+    bounds = {OOS: start(4), "2024-01-22 23:59:59": end(6), "2024-01-23 00:00:00": start(6), "2024-01-26 23:59:59": end(7), "2024-01-27 00:00:00": start(7), "2024-01-31 23:59:59": end(8)}
+    for m in MODELS:  # DuckDB's greatest passes over nulls; a missing error gives no weights
+        sql = sql.replace(f"greatest({m}_rmse, 1e-12)", f"(CASE WHEN {m}_rmse IS NOT NULL THEN greatest({m}_rmse, 1e-12) END)")
+    sql = sql.replace(BARS.strip().split("numbered AS")[0] + "numbered AS", WIDE_BARS.strip())
+    for old, new in bounds.items():
+        sql = sql.replace(old if old.startswith("TIMESTAMP") else f"TIMESTAMP '{old}'", new)
+    return sql
+
+
+WIDE = ("log_returns", "oos_table", "inverse_rmse_ensemble", "forecast_metrics", "gating_features", "time_split", "gate_fixed")
+ORACLES |= {f"wide_{name}": _wide(ORACLES[name]) for name in WIDE}

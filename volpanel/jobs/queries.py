@@ -135,6 +135,35 @@ def _gate_build(p: DataFrame) -> DataFrame:
     return gate.linear_gate(f.dropna(subset=[*FEATURES]))
 
 
+def wide_panel(spark: SparkSession, d: str) -> DataFrame:
+    """A panel that grows with the tables: users by hour, and the hot asset ``ALL`` by minute."""
+    return prep.returns(source.wide_bars(spark, d), "day")
+
+
+def wide_calendar(spark: SparkSession, d: str) -> Calendar:
+    """Calendar bounds from the days of the priced events."""
+    days = source.user_ticks(spark, d).where("price > 0").agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    return Calendar.between(*days) if days[0] else CALENDAR
+
+
+def wide_paths(spark: SparkSession, d: str) -> tuple[DataFrame, Calendar]:
+    calendar = wide_calendar(spark, d)
+    return recursion.variance_paths(wide_panel(spark, d), calendar.oos, FROZEN), calendar
+
+
+def wide_gate(spark: SparkSession, d: str) -> DataFrame:
+    p, c = wide_paths(spark, d)
+    return gate.time_split(gate.dataset(features.gating_features(p, c.oos), forecast.oos_table(p, c.oos)), c)
+
+
+def _on_wide(build: Callable[[DataFrame, str], DataFrame]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        p, c = wide_paths(spark, d)
+        return build(p, c.oos)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     # preparation
     "ohlc_bars": lambda s, d: rounded(source.event_bars(s, d)),
@@ -228,6 +257,14 @@ QUERIES: dict[str, Query] = {
     "lookback_grid": lambda s, d: rounded(research.lookback_grid(affine(s, d).withColumns({"egarch": F.lit(None).cast("double")}), OOS), 5),
     "regime_losses": lambda s, d: rounded((lambda p: research.regime_losses(features.gating_features(p, OOS), forecast.oos_table(p, OOS), MODELS))(paths(s, d)), 5),
     "option_prices": lambda s, d: rounded(research.at_the_money(ensemble.out_of_sample(affine(s, d), OOS), "garch"), 6),
+    # a panel that grows with the tables
+    "wide_log_returns": lambda s, d: rounded(wide_panel(s, d).select("asset", "date", "log_return", "realized_var_proxy")),
+    "wide_oos_table": _on_wide(lambda p, oos: rounded(forecast.oos_table(p, oos).drop("t"))),
+    "wide_inverse_rmse_ensemble": _on_wide(lambda p, oos: rounded(ensemble.inverse_rmse_ensemble(p, oos).select("asset", "date", "static_ensemble_variance", "static_ensemble_volatility"))),
+    "wide_forecast_metrics": _on_wide(lambda p, oos: rounded(metrics.forecast_metrics(forecast.oos_table(p, oos), list(MODELS), list(TARGETS)).drop("qlike_yf_clamped"), 5)),
+    "wide_gating_features": _on_wide(lambda p, oos: rounded(features.gating_features(p, oos).drop("t"))),
+    "wide_time_split": lambda s, d: wide_gate(s, d).groupBy("asset", F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("n_rows")),
+    "wide_gate_fixed": lambda s, d: rounded((lambda t: gate.linear_gate(gate.scaled(t, gate.scaler(t))))(wide_gate(s, d)).select("asset", "date", *(f"{m}_neural_weight" for m in MODELS), "neural_ensemble_variance"), 5),
     # streaming
     "stream_walk_forward": lambda s, d: rounded(ensemble.out_of_sample(streamed(s, d), OOS).select("asset", "date", *MODELS, "static_ensemble_variance")),
 }

@@ -47,3 +47,15 @@ def brand_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("asset"))
     price = F.try_divide("l_extendedprice", "l_quantity")
     return lines.join(parts, "l_partkey").select("asset", F.col("l_shipdate").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), price.alias("price"))
+
+
+def user_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream by user: assets grow with the tables."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("asset"), F.col("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
+
+
+def wide_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of every user, and minute bars of all events as one hot asset, ``ALL``."""
+    ticks = user_ticks(spark, sf_dir)
+    return ohlc(ticks).unionByName(ohlc(ticks.withColumn("asset", F.lit("ALL")), "minute"))

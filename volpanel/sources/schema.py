@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -29,6 +30,14 @@ class Calendar:
     validation: tuple[str, str] = ("2024-01-23 00:00:00", "2024-01-26 23:59:59")
     test: tuple[str, str] = ("2024-01-27 00:00:00", "2024-01-31 23:59:59")
 
+    @classmethod
+    def between(cls, first: datetime.date, last: datetime.date) -> Calendar:
+        """The first half of the days in sample; of the others, two quarters train, one validation, one test."""
+        days = (last - first).days + 1
+        starts = [first + datetime.timedelta(days=days * k // 8) for k in (4, 6, 7)] + [last + datetime.timedelta(days=1)]
+        train, validation, test = ((f"{a} 00:00:00", f"{b - datetime.timedelta(days=1)} 23:59:59") for a, b in zip(starts, starts[1:], strict=False))
+        return cls(train[0], train, validation, test)
+
 
 @dataclass(frozen=True)
 class Parameters:
