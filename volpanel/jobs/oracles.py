@@ -239,5 +239,6 @@ def _wide(sql: str) -> str:
     return sql
 
 
+ORACLES["lookback_grid_all"] = _with(*V, then=" UNION ALL ".join(f"SELECT asset, {k} AS lookback, '{m}' AS model, round(avg(e), 5) AS mean_rmse FROM (SELECT asset, date, {_rmse(m, k)} AS e FROM paths) WHERE date >= {OOS} GROUP BY asset" for k in (30, 60, 90) for m in MODELS))
 WIDE = ("log_returns", "oos_table", "inverse_rmse_ensemble", "forecast_metrics", "gating_features", "time_split", "gate_fixed")
 ORACLES |= {f"wide_{name}": _wide(ORACLES[name]) for name in WIDE}

@@ -85,7 +85,12 @@ def raw_bars(spark: SparkSession, d: str) -> DataFrame:
 
 def fitted(spark: SparkSession, d: str) -> DataFrame:
     inside = prep.before(panel(spark, d), OOS)
-    return fit.fit(inside, rounds=25)
+    return fit.fit(inside)
+
+
+def fitted_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """The parameter table of the fits themselves, failed and unconverged ones included."""
+    return fit.with_ewma(fitted(spark, d), source.event_bars(spark, d), FROZEN.lam)
 
 
 def frozen_parameters(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +125,7 @@ def streamed(spark: SparkSession, d: str) -> DataFrame:
 def trained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = gate_rows(spark, d)
     ready = gate.scaled(rows, gate.scaler(rows))
-    return ready, gate.train(ready, epochs=40)
+    return ready, gate.train(ready)
 
 
 def losses(spark: SparkSession, d: str) -> DataFrame:
@@ -206,6 +211,10 @@ QUERIES: dict[str, Query] = {
     "info_criteria": lambda s, d: rounded(fit.information_criteria(scored_parameters(s, d)).select("asset", "log_likelihood", "aic", "bic"), 4),
     "fit_diagnostics": lambda s, d: rounded(fit.diagnostics(frozen_parameters(s, d)).select("asset", "model", "persistence", "labels")),
     "fit_summary": lambda s, d: fit.summary(frozen_parameters(s, d)),
+    "fitted_param_table": lambda s, d: fitted_parameters(s, d),
+    "fitted_persistence": lambda s, d: fitted_parameters(s, d).select("asset", "model", fit.persistence(F.col("model"), F.col("alpha"), F.col("gamma"), F.col("beta")).alias("persistence")),
+    "fitted_diagnostics": lambda s, d: fit.diagnostics(fitted_parameters(s, d)).select("asset", "model", "persistence", "labels", "converged", "status"),
+    "fitted_summary": lambda s, d: fit.summary(fitted_parameters(s, d)),
     # out-of-sample forecasts
     "warm_start": lambda s, d: rounded(forecast.warm_start(paths(s, d), OOS)),
     "ewma_oos": lambda s, d: rounded(ensemble.out_of_sample(affine(s, d), OOS).select("asset", "date", "ewma")),
@@ -255,6 +264,7 @@ QUERIES: dict[str, Query] = {
     "diebold_mariano": lambda s, d: rounded(research.diebold_mariano(losses(s, d), "ewma", "garch"), 4),
     "var_backtest": lambda s, d: rounded(research.var_backtest(ensemble.out_of_sample(affine(s, d), OOS), "garch"), 5),
     "lookback_grid": lambda s, d: rounded(research.lookback_grid(affine(s, d).withColumns({"egarch": F.lit(None).cast("double")}), OOS), 5),
+    "lookback_grid_all": lambda s, d: rounded(research.lookback_grid(paths(s, d), OOS, models=MODELS), 5),
     "regime_losses": lambda s, d: rounded((lambda p: research.regime_losses(features.gating_features(p, OOS), forecast.oos_table(p, OOS), MODELS))(paths(s, d)), 5),
     "option_prices": lambda s, d: rounded(research.at_the_money(ensemble.out_of_sample(affine(s, d), OOS), "garch"), 6),
     # a panel that grows with the tables

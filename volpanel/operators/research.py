@@ -59,13 +59,13 @@ def var_backtest(forecasts: DataFrame, model: str, level: float = 0.05) -> DataF
     return c.select("asset", "n", x.alias("n_exceptions"), kupiec.alias("lr_kupiec"), (-2 * (bound - free)).alias("lr_christoffersen"))
 
 
-def lookback_grid(paths: DataFrame, oos: str, lookbacks: tuple[int, ...] = (30, 60, 90)) -> DataFrame:
+def lookback_grid(paths: DataFrame, oos: str, lookbacks: tuple[int, ...] = (30, 60, 90), models: tuple[str, ...] = ("ewma", "garch")) -> DataFrame:
     """Mean out-of-sample trailing errors for several windows: long table (asset, lookback, model, mean_rmse)."""
     parts = []
     for k in lookbacks:
         rows = trailing_rmse(paths, k).where(F.col("date") >= F.lit(oos).cast("timestamp_ntz"))
-        cells = [F.struct(F.lit(m).alias("model"), F.avg(f"{m}_rmse").alias("mean_rmse")).alias(m) for m in ("ewma", "garch")]
-        parts.append(rows.groupBy("asset").agg(*cells).select("asset", F.lit(k).alias("lookback"), F.explode(F.array("ewma", "garch")).alias("c")).select("asset", "lookback", "c.*"))
+        cells = [F.struct(F.lit(m).alias("model"), F.avg(f"{m}_rmse").alias("mean_rmse")).alias(m) for m in models]
+        parts.append(rows.groupBy("asset").agg(*cells).select("asset", F.lit(k).alias("lookback"), F.explode(F.array(*models)).alias("c")).select("asset", "lookback", "c.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
