@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.llm import textkernel as K
-from volpanel.llm.frames import bounded_sample, held_out
+from volpanel.llm.frames import bounded_sample, discard, held_out, stored
 
 DISCOUNT = 0.6
 SHARED = 6.0  # shared counts that each order adds, as the next lower order would have them
 BEGINNINGS = (4, 5, 7)  # letters of a word that stand for it in the lower orders
 CLEAR = 1.0  # the log-likelihood difference from which a single word speaks for toxicity
 LEVELS = [f"k{i}" for i in range(len(BEGINNINGS) + 1)]
+COLUMNS = ["left", *LEVELS, "pair", "n0", "n1"]
 START = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -55,29 +56,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, at, inverse = np.unique(_bigram(left, keys[-1]), return_index=True, return_inverse=True)
         ones = np.bincount(inverse, label, minlength=len(at)).astype(np.int64)
         total = np.bincount(inverse, minlength=len(at)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(K.as_long(x[at])) for x in (left, *keys)] + [pa.array(total - ones), pa.array(ones)], ["left", *LEVELS, "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(K.as_long(x[at])) for x in (left, *keys, _bigram(left, keys[-1]))] + [pa.array(total - ones), pa.array(ones)], COLUMNS)
 
 
-def _by_key(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, at = np.unique(keys, return_inverse=True)
-    return unique, np.stack([np.bincount(at, n, minlength=len(unique)) for n in (n0, n1)])
+def _order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One order of the models from its rows (key, n0, n1): sorted keys, discounted counts by class, the classes' shares."""
+    keys = table.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    less = np.stack([np.maximum(table.column(c).to_numpy()[order] - DISCOUNT, 0) for c in (1, 2)])
+    total = less.sum()
+    share = less.sum(1) / total if total and less.sum(1).all() else np.array([0.5, 0.5])
+    return keys[order], less.astype(np.float32), share
 
 
-def models(left: np.ndarray, keys: list[np.ndarray], n0: np.ndarray, n1: np.ndarray) -> dict:
-    """Tables of all orders, lowest first, from one row per distinct bigram: keys, and discounted counts by class."""
-    tables = []
-    for key in keys:
-        pairs, at = np.unique(_bigram(left, key), return_index=True)
-        _, seen = _by_key(_bigram(left, key), n0, n1)
-        tables.append(_by_key(key[at], *(seen > 0)))
-    tables.append(_by_key(_bigram(left, keys[-1]), n0, n1))
+def models(bigrams: DataFrame) -> dict:
+    """Tables of all orders, lowest first, from one row per distinct bigram: counted and summed in Spark.
+
+    Of a lower order's key, each class counts the distinct left neighbours.  The driver gets
+    (key, n0, n1) of one order at a time.
+    """
     orders = []
-    for unique, counts in tables:
-        less = np.maximum(counts - DISCOUNT, 0)
-        total = less.sum()
-        share = less.sum(1) / total if total and less.sum(1).all() else np.array([0.5, 0.5])
-        keep = less.any(0)
-        orders.append((unique[keep], less[:, keep].astype(np.float32), share))
+    for level in LEVELS:
+        seen = bigrams.groupBy("left", level).agg(*(F.max((F.col(n) > 0).cast("long")).alias(n) for n in ("n0", "n1")))
+        orders.append(_order(seen.groupBy(level).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()))
+    orders.append(_order(bigrams.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()))
     return {"orders": orders}
 
 
@@ -126,7 +128,7 @@ def _difference_rows(shared) -> object:
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 1200, max_calibration_docs: int = 5000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 2000, max_calibration_docs: int = 5000) -> dict:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); other columns are not read.
 
     A classifier fitted on bounded, reproducible samples of the labelled rows: whole texts
@@ -139,12 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 1200, max_
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(3))
     parts = [bounded_sample(one.where((fold > 0) & (F.col("toxic") == c)), "doc_id", max_docs_per_class).withColumn("toxic", F.lit(c).cast("long")) for c in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id")
-    columns = ["left", *LEVELS, "n0", "n1"]
-    counted = sample.select("toxic", "text").mapInArrow(_count, ", ".join(f"{c} long" for c in columns))
-    bigrams = counted.groupBy(*columns[:-2]).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    left, *keys, n0, n1 = (bigrams.column(c).to_numpy() for c in columns)
-    model = models(left.view(np.uint64), [k.view(np.uint64) for k in keys], n0, n1)
-    del bigrams, left, keys, n0, n1
+    counted = sample.select("toxic", "text").mapInArrow(_count, ", ".join(f"{c} long" for c in COLUMNS))
+    bigrams, path = stored(counted.groupBy(*COLUMNS[:-2]).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    model = models(bigrams)
+    discard(docs.sparkSession, path)
     others = one.where(fold == 0)
     ids = others.join(F.broadcast(bounded_sample(others, "doc_id", max_calibration_docs)), "doc_id")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def toxicity_of(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 1200, max_calibration_docs: int = 5000) -> DataFrame:
+def toxicity_of(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 2000, max_calibration_docs: int = 5000) -> DataFrame:
     """Fit on the labels that are not held out, score all documents: doc_id, held_out, score, predicted."""
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))), max_docs_per_class, max_calibration_docs)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
