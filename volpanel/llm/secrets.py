@@ -2,7 +2,7 @@
 
 The field tags tokens as outside, begin or inside of a secret from their shape, the words
 and signs around them and features of the file; Viterbi decodes it.  Tokens that cannot be
-secrets (short or plain words, words with other than ASCII signs) are clamped to "outside", so
+secrets (short or plain words away from a cue word, words with other than ASCII signs) are clamped to "outside", so
 that a text falls into short chains, which are decoded side by side: an exact decoding of
 the whole.  The field learns from what the fixed patterns find in a bounded sample, without
 seeing the patterns, and so finds their like where a pattern fails.
@@ -104,15 +104,7 @@ def _features(t: _Tokens) -> tuple[np.ndarray, np.ndarray]:
     count = {k: s[ends] - s[starts] for k, s in per.items()}
     change = t.sums(np.concatenate([[False], kind[1:] != kind[:-1]]))
     mixed = (size >= 16) & (count["upper"] > 0) & (count["lower"] > 0) & (change[ends] - change[np.minimum(starts + 1, ends)] >= 3)
-    free = np.flatnonzero((count["other"] == 0) & (size >= 8) & ((count["digit"] > 0) | mixed))
-    if not len(free):
-        return np.zeros((0, len(CODES)), np.int64), free
-    s, e, n = starts[free], ends[free], size[free]
-    c = {k: v[free] for k, v in count.items()}
-    hexes = t.sums(np.concatenate([HEX, [False]])[t.codes])
-    all_hex = hexes[e] - hexes[s] == n
-    only = np.select([c["digit"] == n, all_hex & (c["digit"] > 0), all_hex, (c["upper"] + c["lower"]) == n], [0, 1, 2, 3], 4)
-    # Words and signs around.
+    # Words around.
     lowered = K.Batch.__new__(K.Batch)
     lowered.codes, lowered.starts, lowered.n, lowered._prefix = t.batch.codes + np.where(kind == 2, 32, 0).astype("<u4"), t.batch.starts, t.batch.n, None
     cue = np.zeros(len(starts), np.int64)
@@ -122,6 +114,17 @@ def _features(t: _Tokens) -> tuple[np.ndarray, np.ndarray]:
     same = np.concatenate([[False], t.owner[1:] == t.owner[:-1]])
     before = np.where(same, np.concatenate([[0], cue[:-1]]), 0)
     before2 = np.where(same, np.concatenate([[0], before[:-1]]), 0)
+    # Beside a cue word any shape may be a secret: letters alone, short ones, the first words of a passphrase.
+    beside = (before > 0) | (before2 > 0)
+    free = np.flatnonzero((count["other"] == 0) & (beside | (size >= 8) & ((count["digit"] > 0) | mixed)))
+    if not len(free):
+        return np.zeros((0, len(CODES)), np.int64), free
+    s, e, n = starts[free], ends[free], size[free]
+    c = {k: v[free] for k, v in count.items()}
+    hexes = t.sums(np.concatenate([HEX, [False]])[t.codes])
+    all_hex = hexes[e] - hexes[s] == n
+    only = np.select([c["digit"] == n, all_hex & (c["digit"] > 0), all_hex, (c["upper"] + c["lower"]) == n], [0, 1, 2, 3], 4)
+    # Signs around.
     gap_start = np.where(same, np.concatenate([[0], ends[:-1]]), t.batch.starts[t.owner])[free]
     signs = [t.sums(_any_of(t.codes, x)) for x in ("=:", "\"'", "\n", "\t !#$%&*()[]{}<>|,;?")]
     gap = sum(((x[s] - x[gap_start] > 0).astype(np.int64) << b for b, x in enumerate(signs)), np.zeros(len(free), np.int64))
@@ -210,7 +213,7 @@ def _gold(t: _Tokens, free: np.ndarray, texts: list[str], base: list[list]) -> n
     return labels
 
 
-ALPHABETS = (DIGITS + LOWER + UPPER, DIGITS + LOWER + UPPER + "+/", DIGITS + UPPER, DIGITS + "abcdef", DIGITS + LOWER + "-_")
+ALPHABETS = (DIGITS + LOWER + UPPER, DIGITS + LOWER + UPPER + "+/", DIGITS + UPPER, DIGITS + "abcdef", DIGITS + LOWER + "-_", LOWER + UPPER)
 SEPARATORS = (' = "', ": ", "=", " is ", " ", " => '", '": "', " := ")
 
 
@@ -332,8 +335,19 @@ def train(data: list[bytes], rounds: int = 150) -> dict:
     return {"weights": weights.astype(np.float32), "moves": moves + barred}
 
 
+def covered(start: int, end: int, spans: list[tuple[str, int, int]]) -> bool:
+    """Whether spans, ordered by start, together hold all of a stretch."""
+    for _, low, high in spans:
+        if low <= start:
+            start = max(start, high)
+    return start >= end
+
+
 def scan_texts(model: dict, raw: list[str | None]) -> tuple[list[list], list[list]]:
-    """Base spans, and all spans (the base ones and the field's), text by text."""
+    """Base spans, and all spans (the base ones and the field's), text by text.
+
+    A span of the field that goes beyond the base spans is kept whole and may overlap them.
+    """
     texts = [x or "" for x in raw]
     t = _Tokens(texts)
     base = base_spans(texts, t.batch)
@@ -353,7 +367,7 @@ def scan_texts(model: dict, raw: list[str | None]) -> tuple[list[list], list[lis
             start, end = int(t.starts[free[b]] - t.batch.starts[i]), int(t.ends[free[e]] - t.batch.starts[i])
             while end > start + 1 and texts[i][end - 1] in ".-":
                 end -= 1
-            if all(end <= s or start >= x for _, s, x in base[i]):
+            if not covered(start, end, base[i]):
                 every[i].append(("crf", start, end))
         for i in set(t.owner[free[begins]].tolist()):
             every[i].sort(key=lambda s: (s[1], KINDS.index(s[0])))
