@@ -72,25 +72,29 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return grams, np.searchsorted(of, np.arange(batch.n), "right")
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(width: int):
     """A row per document (kind 0: id, size, two hashes of its set), then shingle counts by slot (kind 1)."""
-    names = ["kind", "a", "n", "s1", "s2", "bits"]
-    words = BITS // 64
-    counts = np.zeros(SLOTS, np.int64)
-    for ids, raw in K.texts_of(batches, "doc_id"):
-        grams, ends = shingles([x or "" for x in raw])
-        counts += np.bincount((grams >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
-        edges = np.concatenate([[0], ends])
-        sums = [np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])[edges]) for x in (K.mix(grams), K.mix(grams ^ SECOND))]
-        # Bit (hash mod BITS) is the parity of the shingles there: two sets differ in at least as many shingles as bits.
-        bits = np.zeros(len(raw) * words, np.uint64)
-        cell = np.repeat(np.arange(len(raw)), np.diff(edges)) * words + ((grams >> np.uint64(6)) % np.uint64(words)).astype(np.int64)
-        np.bitwise_xor.at(bits, cell, np.uint64(1) << (grams & np.uint64(63)))
-        bitmap = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * words), pa.array(K.as_long(bits)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(raw), np.int32)), pa.array(ids, pa.int64()), pa.array(np.diff(edges).astype(np.int32)), *(pa.array(K.as_long(s)) for s in sums), bitmap], names)
-    slots = np.flatnonzero(counts)
-    zero = np.zeros(len(slots), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), np.int32)), pa.array(slots), pa.array(zero.astype(np.int32)), pa.array(counts[slots]), pa.array(zero), pa.nulls(len(slots), pa.list_(pa.int64()))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "a", "n", "s1", "s2", "bits"]
+        words = BITS // 64
+        counts = np.zeros(SLOTS, np.int64)
+        for ids, raw in K.texts_of(batches, "doc_id"):
+            grams, ends = shingles([x or "" for x in raw], width)
+            counts += np.bincount((grams >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+            edges = np.concatenate([[0], ends])
+            sums = [np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])[edges]) for x in (K.mix(grams), K.mix(grams ^ SECOND))]
+            # Bit (hash mod BITS) is the parity of the shingles there: two sets differ in at least as many shingles as bits.
+            bits = np.zeros(len(raw) * words, np.uint64)
+            cell = np.repeat(np.arange(len(raw)), np.diff(edges)) * words + ((grams >> np.uint64(6)) % np.uint64(words)).astype(np.int64)
+            np.bitwise_xor.at(bits, cell, np.uint64(1) << (grams & np.uint64(63)))
+            bitmap = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * words), pa.array(K.as_long(bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(raw), np.int32)), pa.array(ids, pa.int64()), pa.array(np.diff(edges).astype(np.int32)), *(pa.array(K.as_long(s)) for s in sums), bitmap], names)
+        slots = np.flatnonzero(counts)
+        zero = np.zeros(len(slots), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), np.int32)), pa.array(slots), pa.array(zero.astype(np.int32)), pa.array(counts[slots]), pa.array(zero), pa.nulls(len(slots), pa.list_(pa.int64()))], names)
+
+    return run
 
 
 def subsets(size: int, percent: int = PERCENT) -> int:
@@ -112,13 +116,13 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int = PERCENT)
     return at
 
 
-def _post(counts: np.ndarray, light: int, percent: int):
+def _post(counts: np.ndarray, light: int, percent: int, width: int):
     """Keys of the documents: (key, doc_id, place); of a subset the place is -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = least_overlap(light + 1, percent)  # the least partner of a set beyond the boundary
         for ids, raw in K.texts_of(batches, "doc_id"):
-            grams, ends = shingles([x or "" for x in raw])
+            grams, ends = shingles([x or "" for x in raw], width)
             edges = np.concatenate([[0], ends])
             size = np.diff(edges)
             owner = np.repeat(np.arange(len(raw)), size)
@@ -143,11 +147,14 @@ def _post(counts: np.ndarray, light: int, percent: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, raw in K.texts_of(batches, "doc_id"):
-        grams, ends = shingles([x or "" for x in raw])
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(K.as_long(grams)))], ["id", "grams"])
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, raw in K.texts_of(batches, "doc_id"):
+            grams, ends = shingles([x or "" for x in raw], width)
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(K.as_long(grams)))], ["id", "grams"])
+
+    return run
 
 
 def _near(left: str, n: str, right: str, m: str, percent: int):
@@ -163,13 +170,13 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(_near("left", "an", "right", "bn", percent)).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (a, b) whose sets link; the sets are made for the documents in ``pairs`` alone."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     # A bounded filter keeps most other texts from the shuffle: NEAR_SLOTS numbers at most.
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEAR_SLOTS))
     likely = texts.join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
-    sets, path = stored(likely.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, grams array<long>"))
+    sets, path = stored(likely.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, grams array<long>"))
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
@@ -193,17 +200,17 @@ def _room(n: str, place: str, m: str, other: str, percent: int):
     return (100 + percent) * overlap >= percent * (F.col(n) + F.col(m))
 
 
-def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Components of ``docs`` (doc_id, text) under the join: doc_id, n_shingles, component_id.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of
-    4-word shingles (of fewer words: the whole sequence).  Null and empty texts have an
+    shingles of ``words`` words (of fewer words: the whole sequence).  Null and empty texts have an
     empty set and are linked with nothing; a null id gets a null component.  Rows of equal
     id are each in the component of their own text.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured, _ = stored(texts.mapInArrow(_measure, "kind int, a long, n int, s1 long, s2 long, bits array<long>"))
+    measured, _ = stored(texts.mapInArrow(_measure(words), "kind int, a long, n int, s1 long, s2 long, bits array<long>"))
     own = measured.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "s1", "s2", "bits")
     slots = measured.where("kind = 1").groupBy(F.col("a").alias("slot")).agg(F.sum("s1").alias("n")).toPandas()
     counts = np.zeros(SLOTS, np.int64)  # at most SLOTS numbers, whatever the corpus
@@ -220,7 +227,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = cut(named.select("doc_id", "rep", "n").distinct())
     maps = named.where(F.col("doc_id") == F.col("rep")).select("rep", "n", "bits").dropDuplicates(["rep", "n"])
 
-    posted, posted_path = stored(texts.mapInArrow(_post(counts, light, percent), "key long, doc_id long, place int"))
+    posted, posted_path = stored(texts.mapInArrow(_post(counts, light, percent, words), "key long, doc_id long, place int"))
     shared = posted.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     lists = posted.join(shared, "key").join(reps, "doc_id").groupBy("key", "rep", "n").agg(F.min("place").alias("place"))
     lists, lists_path = stored(lists)
@@ -232,7 +239,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = lists.join(lead, "key").where((F.col("rep") != F.col("a")) & _fit("n", "an", percent) & _room("n", "place", "an", "ap", percent))
     stars = stars.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     stars = cut(_possible(stars, maps, percent))
-    first = _verified(stars, texts, percent)
+    first = _verified(stars, texts, percent, words)
     label = components(first)
 
     # Pairs of one list that are not connected yet.
@@ -246,7 +253,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     once = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("x") < F.col("y")))
     cross = one.join(two, (one["key"] == two["key"]) & once & _fit("xn", "yn", percent) & _room("xn", "xp", "yn", "yp", percent) & _near("xb", "xn", "yb", "yn", percent))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = _verified(cut(rest), texts, percent)
+    second = _verified(cut(rest), texts, percent, words)
     label = cut(components(first.unionByName(second)))
     for path in (lists_path, open_path):
         discard(spark, path)
