@@ -33,12 +33,29 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "BSD": "Released under the BSD License.",
+    "ISC": "Released under the ISC License.",
+    "Unlicense": "Released under the Unlicense.",
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
 
+#: Of the short notices, the words without which a span is not theirs: names and versions.
+REQUIRED = {
+    "MIT": "mit", "BSD": "bsd", "ISC": "isc", "Unlicense": "unlicense", "Apache-2.0": "apache 2 0", "MPL-2.0": "mozilla 2 0",
+    "GPL-2.0": "gnu 2", "GPL-3.0": "gnu 3", "GPL-notice": "gnu 3", "LGPL-2.1": "lesser 2 1", "LGPL-3.0": "lesser 3", "AGPL-3.0": "affero 3",
+    "CC-BY-4.0": "cc by 4 0", "CC-BY-SA-4.0": "cc by sa 4 0", "CC-BY-NC-4.0": "cc by nc 4 0",
+}
+
 
 class _Words:
     """Words of a batch and their winnowed fingerprints."""
@@ -75,7 +92,8 @@ def compile_index(templates: dict[str, str]) -> dict:
     grams, at = K.ngrams(w.words, w.owner, GRAM)
     order = np.argsort(grams, kind="stable")
     words = [w.words[w.firsts[i] : w.firsts[i + 1]] for i in range(len(names))]
-    return {"names": names, "prints": grams[order], "template": w.owner[at[order]], "place": at[order] - w.firsts[w.owner[at[order]]], "words": words}
+    needed = [_Words([REQUIRED.get(n, "") if templates[n] == TEMPLATES.get(n) else ""]).words for n in names]
+    return {"needed": needed, "names": names, "prints": grams[order], "template": w.owner[at[order]], "place": at[order] - w.firsts[w.owner[at[order]]], "words": words}
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -134,6 +152,7 @@ def scan_texts(index: dict, raw: list[str | None]) -> list[list[tuple[str, int,
         i = int(w.owner[place])
         for p in range(low[h], low[h] + many[h]):
             found.setdefault((i, int(index["template"][p])), []).append((place - int(w.firsts[i]), int(index["place"][p])))
+    best: list[list] = [[] for _ in texts]
     for (i, t), votes in found.items():
         first, last = int(w.firsts[i]), int(w.firsts[i + 1])
         template, text = index["words"][t], w.words[first:last]
@@ -144,11 +163,15 @@ def scan_texts(index: dict, raw: list[str | None]) -> list[list[tuple[str, int,
             matched, a, b = align(template, text[covered:], place - there - covered)
             a, b = a + covered, b + covered
             coverage = matched / len(template)
-            if coverage >= MIN_COVERAGE:
+            if coverage >= MIN_COVERAGE and np.isin(index["needed"][t], text[a:b]).all():
                 start = int(w.starts[first + a] - w.batch.starts[i])
-                out[i].append((index["names"][t], start, int(w.ends[first + b - 1] - w.batch.starts[i]), round(coverage, 6)))
+                best[i].append((matched, coverage, (index["names"][t], start, int(w.ends[first + b - 1] - w.batch.starts[i]), round(coverage, 6))))
                 covered = b
-    for spans in out:
+    for spans, ranked in zip(out, best, strict=True):
+        # Of templates whose spans overlap, the one with the most matched words, then the best covered.
+        for _, _, span in sorted(ranked, key=lambda x: (-x[0], -x[1], x[2])):
+            if all(span[2] <= s[1] or span[1] >= s[2] for s in spans):
+                spans.append(span)
         spans.sort(key=lambda s: (s[1], s[0]))
     return out
 
