@@ -1,18 +1,23 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is the composition of three machines, compiled from a model file:
-
-* the normaliser: dummy prefix, and spaces as U+2581;
-* the pieces: an arc for each piece, weight 1; a character that is no piece is spelt by its
-  byte pieces;
-* the order of merges: a piece may follow another only if byte-pair merging of the two
-  together leaves the border between them (so each input has one accepted path, which is
-  what the merges give).
-
-An input is composed with it as far as needed, and the tropical-semiring shortest path
-(least weight, by addition along a path and minimum over paths) gives its ids.  Where no
-piece holds the two characters on either side of a border, every path passes through it, so
-the input falls into independent parts there; their shortest paths are remembered.
+Three machines are compiled from a model file, each a table of weighted arcs
+``state -> symbol -> (outputs, weight, next state)``:
+
+* the normaliser writes the dummy prefix from its start state and U+2581 for a space;
+* the pieces are a trie over characters; a node's closing arc writes an id, of weight 1, and
+  leads back to the root;
+* the byte fallback reads the bytes of a character that no piece spells and writes a byte
+  piece for each, of weight 1.
+
+A fourth table has the order of merges: a piece may follow another only if byte-pair merging
+of the two together leaves the border between them.  A sequence in which all borders stand
+is what merging gives for its text.
+
+An input is composed with the machines as far as it reaches, and the tropical-semiring
+shortest path (weights added along a path, the minimum over paths) is relaxed from position
+to position; a state of the composition is a position and the last piece.  Where no piece
+holds the two characters on either side of a border, every path passes through it, so the
+input falls into independent parts there; their shortest paths are remembered.
 """
 
 from __future__ import annotations
@@ -31,10 +36,12 @@ from volpanel.llm.textkernel import parts_of
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-REMEMBERED = 600_000
+CHUNK = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
+REMEMBERED = 400_000
 LONG = 64
-
+START, BODY = 0, 1  # states of the normaliser
+FALLBACK = -1  # stands for the last piece at the start and after a character spelt in bytes
+INFINITE = float("inf")
 
 def read_model(path: str = MODEL_FILE) -> dict:
     """Pieces, scores and kinds of a BPE model file with identity normalisation; a few hundred KB."""
@@ -46,26 +53,47 @@ def read_model(path: str = MODEL_FILE) -> dict:
     return {"pieces": [model.id_to_piece(i) for i in range(size)], "scores": [model.get_score(i) for i in range(size)], "kinds": kinds, "unknown": model.unk_id()}
 
 
+def compile_normaliser() -> list[dict]:
+    """Arcs by state: from START the dummy prefix is written before the first symbol; a space becomes U+2581."""
+    return [{" ": ((SPACE, SPACE), 0.0, BODY), None: ((SPACE,), 0.0, BODY)}, {" ": ((SPACE,), 0.0, BODY), None: ((), 0.0, BODY)}]
+
+
+def compile_pieces(ids: dict[str, int]) -> tuple:
+    """The trie of the pieces. A node: its arcs by character, and its closing arc to the root (id, weight), id -1 if none."""
+    nodes: dict[str, list] = {"": [{}, -1, 0.0]}
+    for piece, number in ids.items():
+        for end in range(1, len(piece) + 1):
+            if piece[:end] not in nodes:
+                nodes[piece[:end]] = [{}, -1, 0.0]
+                nodes[piece[: end - 1]][0][piece[end - 1]] = nodes[piece[:end]]
+        nodes[piece][1:] = number, 1.0
+    return nodes[""]
+
+
+def compile_bytes(names: list[str], kinds: list[str], unknown: int) -> dict[int, tuple[int, float]]:
+    """Arcs of the byte fallback: (id, weight) by byte; in a model without byte pieces all write the unknown piece."""
+    return {int(names[i][3:5], 16): (i, 1.0) for i, k in enumerate(kinds) if k == "byte"}
+
+
 class Transducer:
-    """The compiled machine, and the shortest paths it remembers."""
+    """The compiled machines, their composition with an input, and the shortest paths it remembers."""
 
     def __init__(self, model: dict) -> None:
-        self.names = model["pieces"]
-        self.unknown = model["unknown"]
-        self.ids = {p: i for i, p in enumerate(self.names) if model["kinds"][i] == "piece"}
-        self.scores = model["scores"]
-        self.byte_ids = {int(self.names[i][3:5], 16): i for i, k in enumerate(model["kinds"]) if k == "byte"}
-        self.is_byte = np.array([k == "byte" for k in model["kinds"]])
-        plain = [p if k == "piece" else "" for p, k in zip(self.names, model["kinds"], strict=True)]
-        self.spelling = [bytes([int(p[3:5], 16)]) if k == "byte" else q.replace(SPACE, " ").encode() for p, q, k in zip(self.names, plain, model["kinds"], strict=True)]
+        self.names, self.scores, self.unknown, kinds = model["pieces"], model["scores"], model["unknown"], model["kinds"]
+        self.ids = {p: i for i, p in enumerate(self.names) if kinds[i] == "piece"}
+        self.is_byte = np.array([k == "byte" for k in kinds])
+        plain = [p if k == "piece" else "" for p, k in zip(self.names, kinds, strict=True)]
+        self.spelling = [bytes([int(p[3:5], 16)]) if k == "byte" else q.replace(SPACE, " ").encode() for p, q, k in zip(self.names, plain, kinds, strict=True)]
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        # Chunks begin at a space after another sign; a model with a piece across such a border has one chunk a text.
+        self.chunked = not any(pair[1] == SPACE != pair[0] for pair in self.inner)
         self.traces: dict[str, list | None] = {}
         self.follows: dict[int, bool] = {}
         self.parts: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        # Arcs by their text: the id of a piece that merging can build, or -1 on the way to longer ones.
-        self.arcs = {p[:n]: -1 for p in self.ids for n in range(1, len(p) + 1)}
-        self.arcs.update((p, i) for p, i in self.ids.items() if self.trace(p) is not None)
+        self.normaliser = compile_normaliser()
+        self.pieces = compile_pieces({p: i for p, i in self.ids.items() if self.trace(p) is not None})
+        self.bytes = compile_bytes(self.names, kinds, self.unknown)
 
     # -- the order of merges ---------------------------------------------------------------
 
@@ -106,73 +134,84 @@ class Transducer:
             else:
                 y, j = behind[j][2], j + 1
 
-    # -- shortest path ---------------------------------------------------------------------
+    # -- composition and shortest path -----------------------------------------------------
+
+    def normalised(self, text: str, state: int = START) -> str:
+        """What the normaliser writes for an input from one of its states."""
+        out: list[str] = []
+        for symbol in text:
+            arcs = self.normaliser[state]
+            written, _, state = arcs.get(symbol) or arcs[None]
+            out += written
+            if symbol != " ":
+                out.append(symbol)
+        return "".join(out)
+
+    def fallback(self, character: str) -> tuple[tuple[int, ...], float]:
+        """Ids and weight of the path of a character's bytes; without byte pieces, of the unknown piece."""
+        if not self.bytes:
+            return (self.unknown,), 1.0
+        arcs = [self.bytes[b] for b in character.encode()]
+        return tuple(i for i, _ in arcs), sum(w for _, w in arcs)
+
+    def fits(self, before: int, piece: int) -> bool:
+        """The order of merges for two pieces, remembered."""
+        key = before * len(self.names) + piece
+        known = self.follows.get(key)
+        if known is None:
+            known = self.may_follow(before, piece)
+            if len(self.follows) < REMEMBERED:
+                self.follows[key] = known
+        return known
 
     def shortest_path(self, text: str) -> bytes:
         """Ids of the path of least weight for one part of a normalised input.
 
-        The composition is built as far as the search goes.  A sequence in which every
-        piece may follow the one before is what merging gives for its text; so each
-        position has one state that can be reached, and one path is accepted.  The search
-        takes long arcs first, those that leave the least weight to go, and turns back
-        from positions that no arc leaves (``dead``).
+        The composition has no cycles: a state is a position with the piece before it, and
+        as borders decide alone, each position is reached with one piece at most.  So arcs
+        are relaxed in the order of positions: the weight of a position is the least, over
+        the arcs into it, of the weight before and the arc's.  A character spelt in bytes
+        merges with nothing.
         """
-        n, size = len(text), len(self.names)
-        arcs, follows, single = self.arcs, self.follows, self.ids
-        at, before = 0, -1
-        path: list[tuple] = []  # (position, piece before it, arcs from it not yet tried, ids of the arc taken)
-        dead: set[int] = set()
-        while at < n:
-            options = []
-            for j in range(at + 1, n + 1):
-                piece = arcs.get(text[at:j])
-                if piece is None:
-                    break
-                if piece >= 0:
-                    options.append((j, piece))
-            if text[at] not in single:
-                options.append((at + 1, -1))
-            while True:
-                taken = None
-                while options:
-                    j, piece = options.pop()
-                    if j in dead:
-                        continue
-                    if before >= 0 and piece >= 0:
-                        fits = follows.get(before * size + piece)
-                        if fits is None:
-                            fits = self.may_follow(before, piece)
-                            if len(follows) < 2 * REMEMBERED:
-                                follows[before * size + piece] = fits
-                        if not fits:
-                            continue
-                    taken = j, piece
-                    break
-                if taken:
+        n, size, follows = len(text), len(self.names), self.follows
+        weight, came, last = [INFINITE] * (n + 1), [0] * (n + 1), [FALLBACK] * (n + 1)
+        weight[0] = 0.0
+        for at in range(n):
+            base, before = weight[at], last[at]
+            if base == INFINITE:
+                continue
+            arcs = self.pieces[0]
+            for after in range(at + 1, n + 1):
+                node = arcs.get(text[after - 1])
+                if node is None:
                     break
-                dead.add(at)
-                at, before, options, _ = path.pop()
-            ids = (taken[1],) if taken[1] >= 0 else self.bytes_of(text[at])
-            path.append((at, before, options, ids))
-            at, before = taken
-        out = [i for step in path for i in step[3]]
-        return pack(f"<{len(out)}i", *out)
-
-    def bytes_of(self, character: str) -> tuple[int, ...]:
-        """Byte pieces of a character that is no piece; in a model without them, the unknown piece."""
-        return tuple(self.byte_ids.get(b, self.unknown) for b in character.encode()) if self.byte_ids else (self.unknown,)
-
-    def parts_of(self, chunk: str) -> Iterator[str]:
+                arcs, piece, own = node
+                if piece >= 0 and base + own < weight[after]:
+                    fits = before < 0 or follows.get(before * size + piece)
+                    if fits or fits is None and self.fits(before, piece):
+                        weight[after], came[after], last[after] = base + own, at, piece
+            if text[at] not in self.ids:
+                total = base + self.fallback(text[at])[1]
+                if total < weight[at + 1]:
+                    weight[at + 1], came[at + 1], last[at + 1] = total, at, FALLBACK
+        out, at = [], n
+        while at > 0:
+            out.append((last[at],) if last[at] >= 0 else self.fallback(text[came[at]])[0])
+            at = came[at]
+        flat = [i for ids in reversed(out) for i in ids]
+        return pack(f"<{len(flat)}i", *flat)
+
+    def parts_of(self, text: str) -> Iterator[str]:
         low = 0
-        for i in range(1, len(chunk)):
-            if chunk[i - 1 : i + 1] not in self.inner:
-                yield chunk[low:i]
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in self.inner:
+                yield text[low:i]
                 low = i
-        yield chunk[low:]
+        yield text[low:]
 
-    def chunk_ids(self, chunk: str) -> bytes:
+    def chunk_ids(self, chunk: str, state: int) -> bytes:
         out = []
-        for part in self.parts_of(chunk):
+        for part in self.parts_of(self.normalised(chunk, state)):
             path = self.parts.get(part)
             if path is None:
                 path = self.shortest_path(part)
@@ -185,11 +224,12 @@ class Transducer:
         """Ids of a text, as little-endian 32-bit integers."""
         if not text:
             return b""
-        out, seen = [], self.chunks
-        for chunk in CHUNK.findall(SPACE + text.replace(" ", SPACE)):
+        chunks = CHUNK.findall(text) if self.chunked else [text]
+        out, seen = [self.chunk_ids(chunks[0], START)], self.chunks
+        for chunk in chunks[1:]:
             ids = seen.get(chunk)
             if ids is None:
-                ids = self.chunk_ids(chunk)
+                ids = self.chunk_ids(chunk, BODY)
                 if len(chunk) <= LONG and len(seen) < REMEMBERED:
                     seen[chunk] = ids
             out.append(ids)
