@@ -7,12 +7,15 @@ lists, which are scanned.  The boundary is where the keys of a light set would c
 than the postings and the expected scan of its lists, from the sizes and list lengths of
 the corpus.  Sets near the boundary do both, so no pair is missed.
 
-Equal sets are one representative.  In each key's list, members are paired with one of
-them; then only members that are still in different components are paired, so a large
-group of near copies costs stars and not its square.  Pairs whose sizes, places in the
-lists or parity bitmaps rule out a link are dropped for that; the sets of the others are
-made again from their texts and compared.  Every pair that shares a key is ruled out,
-compared or already connected: the components are exact.
+The subsets of a light set are of the sizes that a partner may share: the set less 0, 1, ...
+of its shingles.  Equal sets are one node, named by 64 bits of its shingles' hashes.  In each
+key's list, members are paired with one of them, and of these pairs each node's nearest is
+compared; then only pairs of members that are still in different components are, so a large
+group of near copies costs stars and not its square.  Pairs whose sizes, places in the lists
+or parity bitmaps rule out a link are dropped for that: one of fixed size inside the join of
+lists, then one that grows with the set.  The sets of the others are made again from their
+texts and compared.  Every pair that shares a key is ruled out, compared or already
+connected: the components are exact, but for collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ WORDS = 4
 PERCENT = 85
 SLOTS = 1 << 16
 MOST_LIGHT = 26
-BITS = 1024
+WORDS_AT_LEAST = 8  # longs of the fixed bitmap
+BITS_A_SHINGLE = 2
 NEAR_SLOTS = 1 << 18
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -72,27 +76,52 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return grams, np.searchsorted(of, np.arange(batch.n), "right")
 
 
+def nodes(grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A name for each set: 64 bits of two sums over its shingles and of its size; 0 for the empty set."""
+    edges = np.concatenate([[0], ends])
+    one, two = (np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])[edges]) for x in (K.mix(grams), K.mix(grams ^ SECOND)))
+    size = np.diff(edges).astype(np.uint64)
+    return np.where(size > 0, K.mix(one * K.BASE + K.mix(two + size)), np.uint64(0))
+
+
+def bitmaps(grams: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of the sets, ``words`` longs (a power of two) for each, and their offsets.
+
+    Bit (hash mod bits) is the parity of the shingles there: two sets differ in at least as
+    many shingles as bits.  The halves of a bitmap give by XOR that of half the size.
+    """
+    offsets = np.concatenate([[0], np.cumsum(words)])
+    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    bits = np.zeros(offsets[-1], np.uint64)
+    cell = offsets[owner] + ((grams >> np.uint64(6)) & (words[owner] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(bits, cell, np.uint64(1) << (grams & np.uint64(63)))
+    return bits, offsets
+
+
+def _longs(bits: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(K.as_long(bits)))
+
+
+MEASURED = "kind int, a long, n int, node long, bits array<long>, wide array<long>"
+
+
 def _measure(width: int):
-    """A row per document (kind 0: id, size, two hashes of its set), then shingle counts by slot (kind 1)."""
+    """A row per document (kind 0: id, size, node, bitmaps), then shingle counts by slot (kind 1: slot, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "n", "s1", "s2", "bits"]
-        words = BITS // 64
+        names = ["kind", "a", "n", "node", "bits", "wide"]
         counts = np.zeros(SLOTS, np.int64)
         for ids, raw in K.texts_of(batches, "doc_id"):
             grams, ends = shingles([x or "" for x in raw], width)
             counts += np.bincount((grams >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
-            edges = np.concatenate([[0], ends])
-            sums = [np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])[edges]) for x in (K.mix(grams), K.mix(grams ^ SECOND))]
-            # Bit (hash mod BITS) is the parity of the shingles there: two sets differ in at least as many shingles as bits.
-            bits = np.zeros(len(raw) * words, np.uint64)
-            cell = np.repeat(np.arange(len(raw)), np.diff(edges)) * words + ((grams >> np.uint64(6)) % np.uint64(words)).astype(np.int64)
-            np.bitwise_xor.at(bits, cell, np.uint64(1) << (grams & np.uint64(63)))
-            bitmap = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * words), pa.array(K.as_long(bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(raw), np.int32)), pa.array(ids, pa.int64()), pa.array(np.diff(edges).astype(np.int32)), *(pa.array(K.as_long(s)) for s in sums), bitmap], names)
+            size = np.diff(np.concatenate([[0], ends]))
+            fixed = np.full(len(raw), WORDS_AT_LEAST)
+            grown = np.maximum(fixed, 1 << np.ceil(np.log2(np.maximum(BITS_A_SHINGLE * size, 64) / 64)).astype(np.int64))
+            maps = [_longs(*bitmaps(grams, ends, w)) for w in (fixed, grown)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(raw), np.int32)), pa.array(ids, pa.int64()), pa.array(size.astype(np.int32)), pa.array(K.as_long(nodes(grams, ends))), *maps], names)
         slots = np.flatnonzero(counts)
-        zero = np.zeros(len(slots), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), np.int32)), pa.array(slots), pa.array(zero.astype(np.int32)), pa.array(counts[slots]), pa.array(zero), pa.nulls(len(slots), pa.list_(pa.int64()))], names)
+        none = pa.nulls(len(slots), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), np.int32)), pa.array(slots), pa.array(np.zeros(len(slots), np.int32)), pa.array(counts[slots]), none, none], names)
 
     return run
 
@@ -117,22 +146,25 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int = PERCENT)
 
 
 def _post(counts: np.ndarray, light: int, percent: int, width: int):
-    """Keys of the documents: (key, doc_id, place); of a subset the place is -1."""
+    """Keys of the sets: (key, node, n, place); of a subset the place is -1.  A slice posts an equal set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = least_overlap(light + 1, percent)  # the least partner of a set beyond the boundary
-        for ids, raw in K.texts_of(batches, "doc_id"):
+        for (raw,) in K.texts_of(batches):
             grams, ends = shingles([x or "" for x in raw], width)
             edges = np.concatenate([[0], ends])
             size = np.diff(edges)
+            name = nodes(grams, ends)
+            alone = np.zeros(len(raw), bool)
+            alone[np.unique(name, return_index=True)[1]] = True
             owner = np.repeat(np.arange(len(raw)), size)
             # Rarest first, by the counts of the slots; any fixed order of the shingles is exact.
             order = np.lexsort((grams, counts[(grams >> np.uint64(48)).astype(np.int64)], owner))
             place = np.arange(len(grams)) - edges[owner]
             prefix = size - -(-percent * size // 100) + 1
-            take = (place < prefix[owner]) & (size[owner] >= heavy)
+            take = (place < prefix[owner]) & (size[owner] >= heavy) & alone[owner]
             keys, docs, places = [grams[order][take]], [owner[take]], [place[take]]
-            for i in np.flatnonzero((size > 0) & (size <= light)).tolist():
+            for i in np.flatnonzero((size > 0) & (size <= light) & alone).tolist():
                 own, n = K.mix(grams[edges[i] : ends[i]]).tolist(), int(size[i])
                 whole = sum(own)
                 made = [(whole - sum(out) + n - d) % (1 << 64) for d in range((100 - percent) * n // 100 + 1) for out in combinations(own, d)]
@@ -140,47 +172,62 @@ def _post(counts: np.ndarray, light: int, percent: int, width: int):
                 docs.append(np.full(len(made), i))
                 places.append(np.full(len(made), -1))
             at = np.concatenate(docs)
-            doc_ids = np.array([x if x is not None else -1 for x in ids], np.int64)
-            known = np.array([x is not None for x in ids], bool)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(K.as_long(np.concatenate(keys))[known]), pa.array(doc_ids[at][known]), pa.array(np.concatenate(places).astype(np.int32)[known])], ["key", "doc_id", "place"])
+            columns = K.as_long(np.concatenate(keys)), K.as_long(name)[at], size[at].astype(np.int32), np.concatenate(places).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "place"])
 
     return run
 
 
 def _sets(width: int):
+    """(node, grams) of the texts; a slice gives an equal set once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, raw in K.texts_of(batches, "doc_id"):
+        for (raw,) in K.texts_of(batches):
             grams, ends = shingles([x or "" for x in raw], width)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(K.as_long(grams)))], ["id", "grams"])
+            made = pa.RecordBatch.from_arrays([pa.array(K.as_long(nodes(grams, ends))), _longs(grams, np.concatenate([[0], ends]))], ["node", "grams"])
+            yield made.take(pa.array(np.unique(made.column("node").to_numpy(), return_index=True)[1]))
 
     return run
 
 
-def _near(left: str, n: str, right: str, m: str, percent: int):
-    """Whether two bitmaps differ in no more bits than sets of these sizes may in shingles."""
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(BITS // 64)))
+def _may_link(apart, n: str, m: str, percent: int):
+    """Whether sets of these sizes may differ in so many shingles."""
     return (100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m))
 
 
-def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps allow to link."""
-    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("bits").alias("left"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("right"))
-    return pairs.join(right, "b").join(left, "a").where(_near("left", "an", "right", "bn", percent)).select("a", "b").distinct()
+def _near(left: str, n: str, right: str, m: str, percent: int):
+    """Whether the fixed bitmaps of two sets allow a link."""
+    return _may_link(reduce(lambda x, y: x + y, (F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(WORDS_AT_LEAST))), n, m, percent)
+
 
+def _folded(bits, size):
+    """A bitmap of half the size by XOR of its halves, where it is longer than ``size``."""
+    half = F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > size, half).otherwise(bits)
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; the sets are made for the documents in ``pairs`` alone."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+
+def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart) of the pairs whose grown bitmaps allow a link; partners' bitmaps are at most a factor 2 apart."""
+    left = maps.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("wide").alias("left"))
+    right = maps.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("wide").alias("right"))
+    size = F.least(F.size("left"), F.size("right"))
+    differ = F.zip_with(_folded(F.col("left"), size), _folded(F.col("right"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    met = pairs.join(right, "b").join(left, "a").where(_fit("an", "bn", percent))
+    met = met.withColumn("apart", F.aggregate(differ, F.lit(0), lambda total, x: total + x))
+    return met.where(_may_link(F.col("apart"), "an", "bn", percent)).select("a", "b", "apart")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, ids: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs (a, b) whose sets link; ``ids`` has (node, rep), a document of each node, from whose text its set is made."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node").select(F.col("rep").alias("doc_id")).distinct())
     # A bounded filter keeps most other texts from the shuffle: NEAR_SLOTS numbers at most.
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEAR_SLOTS))
     likely = texts.join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
-    sets, path = stored(likely.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, grams array<long>"))
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("right"))
+    sets, path = stored(likely.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(words), "node long, grams array<long>"))
+    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
-    linked_pairs = pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b").distinct()
+    linked_pairs = pairs.select("a", "b").join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b").distinct()
     out = cut(linked_pairs)
     discard(texts.sparkSession, path)
     return out
@@ -210,9 +257,9 @@ def linked(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured, _ = stored(texts.mapInArrow(_measure(words), "kind int, a long, n int, s1 long, s2 long, bits array<long>"))
-    own = measured.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "s1", "s2", "bits")
-    slots = measured.where("kind = 1").groupBy(F.col("a").alias("slot")).agg(F.sum("s1").alias("n")).toPandas()
+    measured, measured_path = stored(texts.mapInArrow(_measure(words), MEASURED))
+    own = measured.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "node", "bits", "wide")
+    slots = measured.where("kind = 1").groupBy(F.col("a").alias("slot")).agg(F.sum("node").alias("n")).toPandas()
     counts = np.zeros(SLOTS, np.int64)  # at most SLOTS numbers, whatever the corpus
     counts[slots["slot"]] = slots["n"]
     total = max(int(counts.sum()), 1)
@@ -220,44 +267,54 @@ def linked(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     sizes = {r["n"]: r["count"] for r in own.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}
     light = boundary(sizes, length, percent)
 
-    # Representatives of equal sets.
+    # One document of each set; its bitmaps are those of the set.
     filled = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    heads = cut(filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    named = filled.join(heads, ["n", "s1", "s2"])
-    reps = cut(named.select("doc_id", "rep", "n").distinct())
-    maps = named.where(F.col("doc_id") == F.col("rep")).select("rep", "n", "bits").dropDuplicates(["rep", "n"])
-
-    posted, posted_path = stored(texts.mapInArrow(_post(counts, light, percent, words), "key long, doc_id long, place int"))
-    shared = posted.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    lists = posted.join(shared, "key").join(reps, "doc_id").groupBy("key", "rep", "n").agg(F.min("place").alias("place"))
-    lists, lists_path = stored(lists)
+    ids = cut(filled.groupBy("node").agg(F.min("doc_id").alias("rep")))
+    maps = filled.join(ids, "node").where(F.col("doc_id") == F.col("rep")).dropDuplicates(["node"]).select("node", "n", "bits", "wide")
+    maps, maps_path = stored(maps)
+
+    posted, posted_path = stored(texts.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_post(counts, light, percent, words), "key long, node long, n int, place int"))
+    shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    lists, lists_path = stored(posted.join(shared, "key").groupBy("key", "node", "n").agg(F.min("place").alias("place")))
     discard(spark, posted_path)
     # Each list has a leader of its own, so a member of many lists meets many others of a group.
-    draw = F.xxhash64("rep", "key")
-    least = lists.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(draw).alias("drawn")).where("low < high").select("key", "drawn")
-    lead = lists.join(least, "key").where(draw == F.col("drawn")).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"))
-    stars = lists.join(lead, "key").where((F.col("rep") != F.col("a")) & _fit("n", "an", percent) & _room("n", "place", "an", "ap", percent))
-    stars = stars.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    draw = F.xxhash64("node", "key")
+    least = lists.groupBy("key").agg(F.min(draw).alias("drawn"))
+    lead = lists.join(least, "key").where(draw == F.col("drawn")).select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"))
+    stars = lists.join(lead, "key").where((F.col("node") != F.col("a")) & _fit("n", "an", percent) & _room("n", "place", "an", "ap", percent))
+    stars = stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     stars = cut(_possible(stars, maps, percent))
-    first = _verified(stars, texts, percent, words)
+    # Each node's nearest first; the other stars count only where that has not connected them.
+    nearest = cut(stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
+    first = _verified(nearest, texts, ids, percent, words)
     label = components(first)
 
     # Pairs of one list that are not connected yet.
-    placed = lists.join(least, "key", "left_semi").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    placed = lists.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     groups = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", "size").alias("top")).where("low < high").select("key", "top")
-    open_lists, open_path = stored(placed.join(mixed, "key").join(maps, ["rep", "n"]))
-    # Members outside a list's largest component against all of the list.
-    one = open_lists.where("c != top").select("key", F.col("c").alias("xc"), F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("bits").alias("xb"))
-    two = open_lists.select("key", "top", F.col("c").alias("yc"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("bits").alias("yb"))
-    once = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("x") < F.col("y")))
-    cross = one.join(two, (one["key"] == two["key"]) & once & _fit("xn", "yn", percent) & _room("xn", "xp", "yn", "yp", percent) & _near("xb", "xn", "yb", "yn", percent))
-    rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = _verified(cut(rest), texts, percent, words)
-    label = cut(components(first.unionByName(second)))
-    for path in (lists_path, open_path):
-        discard(spark, path)
-
-    placed = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id", "n").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = own.drop("bits").join(placed, ["doc_id", "n"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    open_lists, open_path = stored(placed.join(mixed, "key").join(maps.select("node", "bits"), "node"))
+    discard(spark, lists_path)
+    # Members outside a list's largest component against all of the list; both sides are one exchange.
+    one = open_lists.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "c", "top", "bits")))
+    two = open_lists.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "place", "c", "top", "bits")))
+    once = (F.col("x_c") != F.col("y_top")) & (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("x_top")) | (F.col("x_node") < F.col("y_node")))
+    cross = one.join(two, (one["key"] == two["key"]) & once & _fit("x_n", "y_n", percent) & _room("x_n", "x_place", "y_n", "y_place", percent) & _near("x_bits", "x_n", "y_bits", "y_n", percent))
+    found = cut(cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
+    discard(spark, open_path)
+    ends = [label.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in ("a", "b")]
+    apart = F.coalesce("a_c", "a") != F.coalesce("b_c", "b")
+    rest = stars.select("a", "b").unionByName(_possible(found, maps, percent).select("a", "b")).distinct().join(nearest, ["a", "b"], "left_anti")
+    rest = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").where(apart).select("a", "b")
+    second = _verified(cut(rest), texts, ids, percent, words)
+    discard(spark, maps_path)
+    label = components(first.unionByName(second))
+
+    names = ids.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least_id = names.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = names.join(least_id, "component").select("node", "component_id")
+    out = own.select("doc_id", "n", "node").join(named, "node", "left")
+    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = cut(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), known.alias("component_id")))
+    discard(spark, measured_path)
+    return out

@@ -3,7 +3,7 @@
 A batch of texts becomes one array of code points, in which words are runs and every
 substring has a 64-bit polynomial hash in constant time from a prefix-sum array.  All
 work on a batch is then a handful of NumPy passes, and memory is bounded by the slice of
-texts at hand (:func:`slices`), never by a partition.
+texts at hand (:func:`slices`), or by one longer text, never by a partition.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 STEP = np.uint64(0xD6E8FEB86659FD93)
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
