@@ -17,12 +17,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster sets it.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, which a cluster must set.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a session on one machine (a local test) gets a folder of its own without it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         app = spark.sparkContext.applicationId
         path = _OWN.setdefault(app, _OWN.get(app) or tempfile.mkdtemp(prefix="spark-shared-"))
     if spark.sparkContext.getCheckpointDir() is None:
@@ -31,7 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a reliable checkpoint in the shared folder, removed by Spark when unused."""
+    """Cut the lineage: a reliable checkpoint in the shared folder.
+
+    Spark removes its files when the result is no longer used if the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``; else they stay with the folder.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -49,6 +55,21 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def arrow_map(df: DataFrame, task, schema) -> DataFrame:
+    """``df.mapInArrow``, with the session's batches held to BATCH_ROWS rows where its setting is larger or unbounded.
+
+    A batch is whole in the memory of the JVM and of Python; texts are long rows.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    return df.mapInArrow(task, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of documents that no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

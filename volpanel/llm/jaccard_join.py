@@ -8,14 +8,17 @@ than the postings and the expected scan of its lists, from the sizes and list le
 the corpus.  Sets near the boundary do both, so no pair is missed.
 
 The subsets of a light set are of the sizes that a partner may share: the set less 0, 1, ...
-of its shingles.  Equal sets are one node, named by 64 bits of its shingles' hashes.  In each
-key's list, members are paired with one of them, and of these pairs each node's nearest is
-compared; then only pairs of members that are still in different components are, so a large
-group of near copies costs stars and not its square.  Pairs whose sizes, places in the lists
-or parity bitmaps rule out a link are dropped for that: one of fixed size inside the join of
-lists, then one that grows with the set.  The sets of the others are made again from their
-texts and compared.  Every pair that shares a key is ruled out, compared or already
-connected: the components are exact, but for collisions of 64-bit hashes.
+of its shingles.  Equal sets are one node, named by 64 bits of its shingles' hashes.  Each
+node draws DRAWS of its keys by least hashes, as its near copies mostly do too, and is paired
+with one of the nodes that drew the same; once more, with HUBS of the largest group that drew
+the same, if it is not of that group.  So a large group of near copies costs stars and not
+its square.  At last the pairs of one list that are still in different components are
+listed, each at the first keys that it shares.  Pairs whose sizes, places in the lists or
+parity bitmaps rule out a link are
+dropped for that: one of fixed size inside the join of lists, then one that grows with the
+set.  The sets of the others are made again from their texts and compared.  Every pair that
+shares a key is ruled out, compared or already connected: the components are exact, but for
+collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volpanel.llm import textkernel as K
-from volpanel.llm.frames import cut, discard, stored
+from volpanel.llm.frames import arrow_map, cut, discard, stored
 from volpanel.llm.graphs import components
 
 WORDS = 4
@@ -41,6 +44,10 @@ MOST_LIGHT = 26
 WORDS_AT_LEAST = 8  # longs of the fixed bitmap
 BITS_A_SHINGLE = 2
 NEAR_SLOTS = 1 << 18
+KEYS_AT_ONCE = 1 << 16
+DRAWS = 6  # keys by which a node meets others before the pairs of all its lists are looked at
+HUBS = 4
+EARLIER = 6  # keys before a key by which a pair is known to be listed already
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -163,17 +170,25 @@ def _post(counts: np.ndarray, light: int, percent: int, width: int):
             place = np.arange(len(grams)) - edges[owner]
             prefix = size - -(-percent * size // 100) + 1
             take = (place < prefix[owner]) & (size[owner] >= heavy) & alone[owner]
-            keys, docs, places = [grams[order][take]], [owner[take]], [place[take]]
+
+            def rows(keys: np.ndarray, at: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+                columns = K.as_long(keys), K.as_long(name)[at], size[at].astype(np.int32), places.astype(np.int32)
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "place"])
+
+            yield rows(grams[order][take], owner[take], place[take])
+            keys, at, held = [], [], 0
             for i in np.flatnonzero((size > 0) & (size <= light) & alone).tolist():
                 own, n = K.mix(grams[edges[i] : ends[i]]).tolist(), int(size[i])
                 whole = sum(own)
                 made = [(whole - sum(out) + n - d) % (1 << 64) for d in range((100 - percent) * n // 100 + 1) for out in combinations(own, d)]
                 keys.append(K.mix(np.array(made, np.uint64) ^ SECOND))
-                docs.append(np.full(len(made), i))
-                places.append(np.full(len(made), -1))
-            at = np.concatenate(docs)
-            columns = K.as_long(np.concatenate(keys)), K.as_long(name)[at], size[at].astype(np.int32), np.concatenate(places).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "place"])
+                at.append(np.full(len(made), i))
+                held += len(made)
+                if held >= KEYS_AT_ONCE:
+                    yield rows(np.concatenate(keys), np.concatenate(at), np.full(held, -1))
+                    keys, at, held = [], [], 0
+            if held:
+                yield rows(np.concatenate(keys), np.concatenate(at), np.full(held, -1))
 
     return run
 
@@ -207,30 +222,89 @@ def _folded(bits, size):
 
 
 def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, apart) of the pairs whose grown bitmaps allow a link; partners' bitmaps are at most a factor 2 apart."""
+    """The pairs (a, b) whose sizes and grown bitmaps allow a link; partners' bitmaps are at most a factor 2 apart."""
     left = maps.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("wide").alias("left"))
     right = maps.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("wide").alias("right"))
     size = F.least(F.size("left"), F.size("right"))
     differ = F.zip_with(_folded(F.col("left"), size), _folded(F.col("right"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     met = pairs.join(right, "b").join(left, "a").where(_fit("an", "bn", percent))
-    met = met.withColumn("apart", F.aggregate(differ, F.lit(0), lambda total, x: total + x))
-    return met.where(_may_link(F.col("apart"), "an", "bn", percent)).select("a", "b", "apart")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, ids: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; ``ids`` has (node, rep), a document of each node, from whose text its set is made."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node").select(F.col("rep").alias("doc_id")).distinct())
-    # A bounded filter keeps most other texts from the shuffle: NEAR_SLOTS numbers at most.
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEAR_SLOTS))
-    likely = texts.join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
-    sets, path = stored(likely.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(words), "node long, grams array<long>"))
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    linked_pairs = pairs.select("a", "b").join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b").distinct()
-    out = cut(linked_pairs)
-    discard(texts.sparkSession, path)
-    return out
+    apart = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+    return met.where(_may_link(apart, "an", "bn", percent)).select("a", "b")
+
+
+def _draw(lists: DataFrame, turn: int) -> DataFrame:
+    """(key, node, n): of all keys of its lists, a node draws DRAWS by the least hashes, of DRAWS hash functions."""
+    least = [F.min(F.struct(F.xxhash64("key", F.lit(turn * DRAWS + t)), "key"))["key"] for t in range(DRAWS)]
+    return lists.groupBy("node", "n").agg(F.array_distinct(F.array(*least)).alias("keys")).select(F.explode("keys").alias("key"), "node", "n")
+
+
+def _met(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``met`` (node, n, hub) whose sizes allow a link."""
+    fit = met.where((F.col("node") != F.col("hub.node")) & _fit("n", "hub.n", percent))
+    return fit.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+
+
+def _near_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose fixed bitmaps allow a link."""
+    ends = [maps.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")) for x in "ab"]
+    return pairs.join(ends[0], "a").join(ends[1], "b").where(_near("a_bits", "a_n", "b_bits", "b_n", percent)).select("a", "b")
+
+
+def _drawn(lists: DataFrame) -> DataFrame:
+    """Nodes, each with one of those that drew the same key."""
+    drawn = _draw(lists, 0)
+    hubs = drawn.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("node", "key"), "node", "n")).alias("hub")).where("many > 1")
+    return drawn.join(hubs, "key").select("node", "n", "hub")
+
+
+def _toward_groups(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """Nodes, each with HUBS of the largest component that drew the same key, of three nodes at least, if it is of another."""
+    placed = _draw(lists, 1).join(label, "node", "left")
+    least = [F.min(F.struct(F.xxhash64("node", "key", F.lit(t)), "node", "n")) for t in range(HUBS)]
+    groups = placed.where("component IS NOT NULL").groupBy("key", "component").agg(F.count("*").alias("many"), F.array(*least).alias("hubs")).where("many > 2")
+    top = groups.groupBy("key").agg(F.max(F.struct("many", "component", "hubs")).alias("top"))
+    met = placed.join(top, "key").where(~F.col("component").eqNullSafe(F.col("top.component")))
+    return met.select("node", "n", F.explode("top.hubs").alias("hub"))
+
+
+class _Compared:
+    """Exact comparison of pairs; a set is made once, from a text that has it, when a pair first asks for it.
+
+    ``ids`` has (node, rep), a document of each node.
+    """
+
+    def __init__(self, texts: DataFrame, ids: DataFrame, percent: int, words: int) -> None:
+        self.texts, self.ids, self.percent, self.words = texts, ids, percent, words
+        self.made: list[tuple[DataFrame, str]] = []
+
+    def sets(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, (df for df, _ in self.made))
+
+    def _make(self, pairs: DataFrame) -> None:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.made:
+            asked = asked.join(self.sets().select("node"), "node", "left_anti")
+        wanted = cut(asked.join(self.ids, "node").select(F.col("rep").alias("doc_id")).distinct())
+        if self.made and wanted.isEmpty():
+            return
+        # A bounded filter keeps most other texts from the shuffle: NEAR_SLOTS numbers at most.
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEAR_SLOTS))
+        likely = self.texts.join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+        self.made.append(stored(arrow_map(likely.join(wanted, "doc_id", "left_semi").select("text"), _sets(self.words), "node long, grams array<long>")))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets link."""
+        pairs = cut(pairs.select("a", "b"))
+        self._make(pairs)
+        left = self.sets().select(F.col("node").alias("a"), F.col("grams").alias("left"))
+        right = self.sets().select(F.col("node").alias("b"), F.col("grams").alias("right"))
+        both = F.size(F.array_intersect("left", "right"))
+        enough = 100 * both >= self.percent * (F.size("left") + F.size("right") - both)
+        return cut(pairs.select("a", "b").join(right, "b").join(left, "a").where(enough).select("a", "b").distinct())
+
+    def discard(self) -> None:
+        for _, path in self.made:
+            discard(self.texts.sparkSession, path)
 
 
 def _fit(n: str, m: str, percent: int):
@@ -247,6 +321,30 @@ def _room(n: str, place: str, m: str, other: str, percent: int):
     return (100 + percent) * overlap >= percent * (F.col(n) + F.col(m))
 
 
+def _open(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """The lists that hold different components: each member's component ``c`` and the list's largest, ``top``."""
+    placed = lists.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    groups = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
+    mixed = groups.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", F.struct("size", "c")).alias("top")).where("low < high")
+    return placed.join(mixed.select("key", "top"), "key")
+
+
+def _across(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components of the open ``lists`` that no bound rules out.
+
+    Members outside a list's largest component meet all of the list; both sides are one
+    exchange.  A pair is listed at its first common key; at another one it is left out where
+    the EARLIER keys before it, in the one order that all sets share, have a common one too.
+    """
+    before = Window.partitionBy("node").orderBy("place", "key").rowsBetween(-EARLIER, -1)
+    lists = lists.withColumn("earlier", F.collect_list("key").over(before))
+    one, two = (lists.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "place", "c", "top", "bits", "earlier"))) for x in "xy")
+    once = (F.col("x_c") != F.col("y_top")) & (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("x_top")) | (F.col("x_node") < F.col("y_node")))
+    bounds = _fit("x_n", "y_n", percent) & _room("x_n", "x_place", "y_n", "y_place", percent) & _near("x_bits", "x_n", "y_bits", "y_n", percent)
+    met = one.join(two, (one["key"] == two["key"]) & once & bounds & ~F.arrays_overlap("x_earlier", "y_earlier"))
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Components of ``docs`` (doc_id, text) under the join: doc_id, n_shingles, component_id.
 
@@ -257,7 +355,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured, measured_path = stored(texts.mapInArrow(_measure(words), MEASURED))
+    measured, measured_path = stored(arrow_map(texts, _measure(words), MEASURED))
     own = measured.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "node", "bits", "wide")
     slots = measured.where("kind = 1").groupBy(F.col("a").alias("slot")).agg(F.sum("node").alias("n")).toPandas()
     counts = np.zeros(SLOTS, np.int64)  # at most SLOTS numbers, whatever the corpus
@@ -273,42 +371,26 @@ def linked(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     maps = filled.join(ids, "node").where(F.col("doc_id") == F.col("rep")).dropDuplicates(["node"]).select("node", "n", "bits", "wide")
     maps, maps_path = stored(maps)
 
-    posted, posted_path = stored(texts.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_post(counts, light, percent, words), "key long, node long, n int, place int"))
+    posted, posted_path = stored(arrow_map(texts.where(F.col("doc_id").isNotNull()).select("text"), _post(counts, light, percent, words), "key long, node long, n int, place int"))
     shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     lists, lists_path = stored(posted.join(shared, "key").groupBy("key", "node", "n").agg(F.min("place").alias("place")))
     discard(spark, posted_path)
-    # Each list has a leader of its own, so a member of many lists meets many others of a group.
-    draw = F.xxhash64("node", "key")
-    least = lists.groupBy("key").agg(F.min(draw).alias("drawn"))
-    lead = lists.join(least, "key").where(draw == F.col("drawn")).select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"))
-    stars = lists.join(lead, "key").where((F.col("node") != F.col("a")) & _fit("n", "an", percent) & _room("n", "place", "an", "ap", percent))
-    stars = stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    stars = cut(_possible(stars, maps, percent))
-    # Each node's nearest first; the other stars count only where that has not connected them.
-    nearest = cut(stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
-    first = _verified(nearest, texts, ids, percent, words)
-    label = components(first)
-
-    # Pairs of one list that are not connected yet.
-    placed = lists.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    groups = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", "size").alias("top")).where("low < high").select("key", "top")
-    open_lists, open_path = stored(placed.join(mixed, "key").join(maps.select("node", "bits"), "node"))
+    compared = _Compared(texts, ids, percent, words)
+    near = cut(_near_pairs(_met(_drawn(lists), percent), maps, percent))
+    links = [compared.links(_possible(near, maps, percent))]
+    label = components(links[0])
+    near = cut(_met(_toward_groups(lists, label), percent))
+    links.append(compared.links(_possible(near, maps, percent)))
+    label = components(links[0].unionByName(links[1]))
+
+    # All pairs of one list that are not connected yet.
+    open_lists, open_path = stored(_open(lists, label).join(maps.select("node", "bits"), "node"))
     discard(spark, lists_path)
-    # Members outside a list's largest component against all of the list; both sides are one exchange.
-    one = open_lists.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "c", "top", "bits")))
-    two = open_lists.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "place", "c", "top", "bits")))
-    once = (F.col("x_c") != F.col("y_top")) & (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("x_top")) | (F.col("x_node") < F.col("y_node")))
-    cross = one.join(two, (one["key"] == two["key"]) & once & _fit("x_n", "y_n", percent) & _room("x_n", "x_place", "y_n", "y_place", percent) & _near("x_bits", "x_n", "y_bits", "y_n", percent))
-    found = cut(cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
-    discard(spark, open_path)
-    ends = [label.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in ("a", "b")]
-    apart = F.coalesce("a_c", "a") != F.coalesce("b_c", "b")
-    rest = stars.select("a", "b").unionByName(_possible(found, maps, percent).select("a", "b")).distinct().join(nearest, ["a", "b"], "left_anti")
-    rest = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").where(apart).select("a", "b")
-    second = _verified(cut(rest), texts, ids, percent, words)
-    discard(spark, maps_path)
-    label = components(first.unionByName(second))
+    links.append(compared.links(_possible(cut(_across(open_lists, percent)), maps, percent)))
+    for path in (open_path, maps_path):
+        discard(spark, path)
+    compared.discard()
+    label = components(reduce(DataFrame.unionByName, links))
 
     names = ids.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = names.groupBy("component").agg(F.min("rep").alias("component_id"))

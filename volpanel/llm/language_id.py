@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.llm import textkernel as K
-from volpanel.llm.frames import bounded_sample, held_out
+from volpanel.llm.frames import arrow_map, bounded_sample, held_out
 
 ORDERS = (5, 4, 3, 2, 1)
 ORDER_SALT = 0xA24BAED4963EE407
@@ -66,7 +66,7 @@ def fit(train: DataFrame, max_train_docs: int = 3000, smoothing: float = 0.5) ->
     ids = bounded_sample(labelled, "doc_id", max_train_docs)
     sample = labelled.join(F.broadcast(ids), "doc_id").select("lang", "text")
     counted = (
-        sample.mapInArrow(_count, "lang string, order int, key long, n long")
+        arrow_map(sample, _count, "lang string, order int, key long, n long")
         .groupBy("order", "key", "lang")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -133,7 +133,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             pred, score = score_texts(shared.value, raw)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
@@ -145,7 +145,7 @@ def accepted(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
             pred, score = score_texts(shared.value, raw)
             yield part.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def language_of(docs: DataFrame, max_train_docs: int = 3000) -> DataFrame:

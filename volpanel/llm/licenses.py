@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.llm import textkernel as K
+from volpanel.llm.frames import arrow_map
 
 GRAM = 3
 KEEP = 2
@@ -191,7 +192,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             spans = [[dict(zip(names, s, strict=True)) for s in x] for x in scan_texts(shared.value, raw)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, SPAN_TYPE)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, f"doc_id long, spans {SPANS}")
 
 
 def licenses_of(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.llm import textkernel as K
-from volpanel.llm.frames import bounded_sample
+from volpanel.llm.frames import arrow_map, bounded_sample
 
 # The base patterns, kind by kind, with the least length of what is kept.
 KINDS = ("assign", "access", "hex", "crf")
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, max_docs: int = 12000, max_examples: int = 8000, rounds
     hashes, of which at most ``max_examples`` distinct windows of each sort are used.
     """
     ids = bounded_sample(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id", max_docs)
-    windows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_examples, "data binary, secret boolean").distinct()
+    windows = arrow_map(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text"), _examples, "data binary, secret boolean").distinct()
     order = F.xxhash64("data"), F.col("data")
     kept = [windows.where(F.col("secret") == s).orderBy(*order).limit(max_examples) for s in (True, False)]
     data = sorted(bytes(r[0]) for r in kept[0].union(kept[1]).select("data").collect())
@@ -392,7 +392,7 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
             base, every = scan_texts(shared.value, raw)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _structs(base), _structs(every)], ["doc_id", "base", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, f"doc_id long, base {SPANS}, spans {SPANS}")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, f"doc_id long, base {SPANS}, spans {SPANS}")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[secret]") -> str:
@@ -418,7 +418,7 @@ def redact(docs: DataFrame, model: dict, mark: str = "[secret]") -> DataFrame:
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, part.column("n_chars").type)}
             yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def _number(spans: Column, kind: str) -> Column:

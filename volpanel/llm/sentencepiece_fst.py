@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from volpanel.llm.frames import arrow_map
 from volpanel.llm.textkernel import parts_of
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 LONG = 64
 START, BODY = 0, 1  # states of the normaliser
 FALLBACK = -1  # stands for the last piece at the start and after a character spelt in bytes
@@ -277,7 +278,7 @@ def encode(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], ["doc_id", "text", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, "doc_id long, text string, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str = MODEL_FILE) -> DataFrame:
@@ -306,7 +307,7 @@ def decode(tokens: DataFrame, path: str = MODEL_FILE) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                     rows, held = [], 0
 
-    return tokens.select("doc_id", "text", "ids").mapInArrow(run, schema)
+    return arrow_map(tokens.select("doc_id", "text", "ids"), run, schema)
 
 
 def tokens_of(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:

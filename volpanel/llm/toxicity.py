@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.llm import textkernel as K
-from volpanel.llm.frames import bounded_sample, discard, held_out, stored
+from volpanel.llm.frames import arrow_map, bounded_sample, discard, held_out, stored
 
 DISCOUNT = 0.6
 SHARED = 6.0  # shared counts that each order adds, as the next lower order would have them
@@ -141,14 +141,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 2000, max_
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(3))
     parts = [bounded_sample(one.where((fold > 0) & (F.col("toxic") == c)), "doc_id", max_docs_per_class).withColumn("toxic", F.lit(c).cast("long")) for c in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id")
-    counted = sample.select("toxic", "text").mapInArrow(_count, ", ".join(f"{c} long" for c in COLUMNS))
+    counted = arrow_map(sample.select("toxic", "text"), _count, ", ".join(f"{c} long" for c in COLUMNS))
     bigrams, path = stored(counted.groupBy(*COLUMNS[:-2]).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     model = models(bigrams)
     discard(docs.sparkSession, path)
     others = one.where(fold == 0)
     ids = others.join(F.broadcast(bounded_sample(others, "doc_id", max_calibration_docs)), "doc_id")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    seen = docs.select("doc_id", "text").join(ids, "doc_id").select("toxic", "text").mapInArrow(_difference_rows(shared), "toxic long, mean double, clear double, words double").toPandas()
+    seen = arrow_map(docs.select("doc_id", "text").join(ids, "doc_id").select("toxic", "text"), _difference_rows(shared), "toxic long, mean double, clear double, words double").toPandas()
     seen = seen.sort_values(["mean", "clear", "words", "toxic"])
     model["weights"] = calibrate(_inputs(seen[["mean", "clear"]].to_numpy(), seen["words"].to_numpy()), seen["toxic"].to_numpy(np.float64))
     shared.unpersist()
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
             value = score_texts(shared.value, raw)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(value), pa.array((value >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, "doc_id long, score double, predicted int")
 
 
 def toxicity_of(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = 2000, max_calibration_docs: int = 5000) -> DataFrame:

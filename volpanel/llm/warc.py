@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volpanel.llm.frames import cut, stored
+from volpanel.llm.frames import arrow_map, cut, stored
 
 CHUNK = 1 << 16
 BATCH_BYTES = 1 << 22
@@ -117,7 +117,7 @@ def write_chunks(pages: DataFrame, archives: int = 64) -> DataFrame:
             if rows:
                 yield _chunk_batch(rows)
 
-    return known.select(*columns).unionByName(lost.select(*columns)).mapInArrow(run, CHUNKS)
+    return arrow_map(known.select(*columns).unionByName(lost.select(*columns)), run, CHUNKS)
 
 
 def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -182,10 +182,10 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
     ``intact`` is false if a chunk's digest, the whole digest or the length does not agree
     with the headers.
     """
-    found = cut(chunks.mapInArrow(_stream, RECORDS))
+    found = cut(arrow_map(chunks, _stream, RECORDS))
     torn = found.where(~F.col("whole")).select("record_id").distinct()
     again = chunks.join(torn, "record_id", "left_semi").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    return found.where("whole").unionByName(again.mapInArrow(_stream, RECORDS))
+    return found.where("whole").unionByName(arrow_map(again, _stream, RECORDS))
 
 
 def _read_header(data: bytes) -> dict:
