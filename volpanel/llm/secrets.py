@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field for the rest.
 
-The field tags tokens as outside, begin or inside of a secret from their shape, the words
-and signs around them and features of the file; Viterbi decodes it.  Tokens that cannot be
-secrets (short or plain words away from a cue word, words with other than ASCII signs) are clamped to "outside", so
-that a text falls into short chains, which are decoded side by side: an exact decoding of
-the whole.  The field learns from what the fixed patterns find in a bounded sample, without
+The field tags every token of a text as outside, begin or inside of a secret from its shape,
+the words and signs around it and features of the file; Viterbi decodes it.  A token whose
+own scores speak so clearly for "outside" that no neighbours can outweigh them is outside in
+every best labelling (:func:`settled`); the others fall into chains between such tokens,
+which are decoded side by side: an exact decoding of the whole.  The field learns from what the fixed patterns find in a bounded sample, without
 seeing the patterns, and so finds their like where a pattern fails.
 """
 
@@ -97,13 +97,12 @@ def base_spans(texts: list[str], batch: K.Batch) -> list[list[tuple[str, int, in
 
 
 def _features(t: _Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Feature codes of the tokens that may be secrets, and their indices among all tokens."""
+    """Feature codes of all tokens, and their indices."""
     starts, ends, kind = t.starts, t.ends, t.kind
     size = ends - starts
     per = {k: t.sums(kind == c) for k, c in (("digit", 1), ("upper", 2), ("lower", 3), ("sign", 4), ("other", 5))}
     count = {k: s[ends] - s[starts] for k, s in per.items()}
     change = t.sums(np.concatenate([[False], kind[1:] != kind[:-1]]))
-    mixed = (size >= 16) & (count["upper"] > 0) & (count["lower"] > 0) & (change[ends] - change[np.minimum(starts + 1, ends)] >= 3)
     # Words around.
     lowered = K.Batch.__new__(K.Batch)
     lowered.codes, lowered.starts, lowered.n, lowered._prefix = t.batch.codes + np.where(kind == 2, 32, 0).astype("<u4"), t.batch.starts, t.batch.n, None
@@ -114,9 +113,7 @@ def _features(t: _Tokens) -> tuple[np.ndarray, np.ndarray]:
     same = np.concatenate([[False], t.owner[1:] == t.owner[:-1]])
     before = np.where(same, np.concatenate([[0], cue[:-1]]), 0)
     before2 = np.where(same, np.concatenate([[0], before[:-1]]), 0)
-    # Beside a cue word any shape may be a secret: letters alone, short ones, the first words of a passphrase.
-    beside = (before > 0) | (before2 > 0)
-    free = np.flatnonzero((count["other"] == 0) & (beside | (size >= 8) & ((count["digit"] > 0) | mixed)))
+    free = np.arange(len(starts))
     if not len(free):
         return np.zeros((0, len(CODES)), np.int64), free
     s, e, n = starts[free], ends[free], size[free]
@@ -162,12 +159,9 @@ def _any_of(codes: np.ndarray, signs: str) -> np.ndarray:
 OFFSETS = np.concatenate([[0], np.cumsum(CODES)[:-1]])
 
 
-def _chains(t: _Tokens, free: np.ndarray) -> np.ndarray:
-    """First positions, among the free tokens, of the chains of neighbours in one text."""
-    if not len(free):
-        return free
-    split = (np.diff(free) > 1) | (t.owner[free][1:] != t.owner[free][:-1])
-    return np.flatnonzero(np.concatenate([[True], split]))
+def _texts(t: _Tokens) -> np.ndarray:
+    """The first token of each text that has any."""
+    return np.flatnonzero(np.concatenate([[True], t.owner[1:] != t.owner[:-1]])) if len(t.owner) else np.zeros(0, np.int64)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -197,6 +191,42 @@ def viterbi(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndar
     return labels
 
 
+def settled(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Tokens that are outside in every best labelling.
+
+    To put a token outside changes its two moves; an "inside" after it must become "begin",
+    with its own score and next move.  The margin of a settled token exceeds all that this
+    can lose.
+    """
+    if not len(scores):
+        return np.zeros(0, bool)
+    later = max(0.0, float((scores[:, INSIDE] - scores[:, BEGIN]).max())) + max(0.0, float((moves[INSIDE] - moves[BEGIN]).max()))
+    losses = [0.0]
+    for x in (BEGIN, INSIDE):
+        before = [moves[a, x] - moves[a, OUTSIDE] for a in range(3) if moves[a, x] > NEVER / 2] + [0.0]
+        after = [moves[x, b] - moves[OUTSIDE, b] for b in (OUTSIDE, BEGIN)] + [moves[x, INSIDE] - moves[OUTSIDE, BEGIN] + later, 0.0]
+        losses.append(max(before) + max(after))
+    return scores[:, OUTSIDE] - scores[:, 1:].max(1) > max(losses)
+
+
+def decode(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Best labels of texts that begin at ``first``: Viterbi over the chains between settled tokens."""
+    n = len(scores)
+    labels = np.zeros(n, np.int8)
+    live = np.flatnonzero(~settled(scores, moves))
+    if not len(live):
+        return labels
+    head = np.zeros(n + 1, bool)
+    head[first] = head[n] = True
+    begin = np.concatenate([[True], (np.diff(live) > 1) | head[live[1:]]])
+    end = np.concatenate([begin[1:], [True]])
+    own = scores[live].copy()
+    own[begin & ~head[live]] += moves[OUTSIDE]
+    own[end & ~head[live + 1]] += moves[:, OUTSIDE]
+    labels[live] = viterbi(own, np.flatnonzero(begin), moves)
+    return labels
+
+
 def _gold(t: _Tokens, free: np.ndarray, texts: list[str], base: list[list]) -> np.ndarray:
     """Labels of the free tokens from the base spans (of an assignment: its value)."""
     labels = np.zeros(len(free), np.int8)
@@ -243,8 +273,12 @@ def made_up(text: str) -> tuple[str, int, int] | None:
     return before + value + ('"' if lead.endswith('"') else "") + after, len(before), len(before) + len(value)
 
 
+SORTS = ("plain", "token with digits", "secret")
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of chains with their labels: all that hold a secret, and half of the others.
+    """Windows of WINDOW tokens with their labels and sort: all that hold a secret, half of those with long
+    tokens with digits, one plain one in 64.
 
     Besides the texts themselves, one text in four lends a stretch for an invented secret.
     """
@@ -258,29 +292,32 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (_, start, end) in enumerate(made, len(raw)):
             base[i] = [("invented", start, end)]
         labels = _gold(t, free, texts, base)
-        first = _chains(t, free)
+        telling = (codes[:, 0] >= 2) & (codes[:, 1] & 1 == 1) if len(codes) else np.zeros(0, bool)
+        first = _texts(t)
+        small = codes.astype(np.uint8)
         rows: dict = {}
         for low, high in zip(first.tolist(), [*first.tolist(), len(free)][1:], strict=True):
             for a in range(low, high, WINDOW):
                 b = min(a + WINDOW, high)
-                data = codes[a:b].astype(np.uint8).tobytes() + labels[a:b].tobytes()
-                secret = bool(labels[a:b].any())
-                if secret or zlib.crc32(data) & 1 == 0:
-                    rows[data] = secret
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.bool_())], ["data", "secret"])
+                data = small[a:b].tobytes() + labels[a:b].tobytes()
+                sort = 2 if labels[a:b].any() else int(telling[a:b].any())
+                if sort == 2 or zlib.crc32(data) % (64, 2)[sort] == 0:
+                    rows[data] = sort
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.int32())], ["data", "sort"])
 
 
 def fit(docs: DataFrame, max_docs: int = 12000, max_examples: int = 8000, rounds: int = 150) -> dict:
     """Train the field on ``docs`` (doc_id, text): maximum conditional likelihood, by Adam.
 
     Bounded sample: the whole texts of at most ``max_docs`` documents of the smallest id
-    hashes, of which at most ``max_examples`` distinct windows of each sort are used.
+    hashes, of which at most ``max_examples`` distinct windows of WINDOW tokens of each sort
+    are used.  Scans see whole texts; only training sees windows.
     """
     ids = bounded_sample(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id", max_docs)
-    windows = arrow_map(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text"), _examples, "data binary, secret boolean").distinct()
+    windows = arrow_map(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text"), _examples, "data binary, sort int").distinct()
     order = F.xxhash64("data"), F.col("data")
-    kept = [windows.where(F.col("secret") == s).orderBy(*order).limit(max_examples) for s in (True, False)]
-    data = sorted(bytes(r[0]) for r in kept[0].union(kept[1]).select("data").collect())
+    kept = [windows.where(F.col("sort") == s).orderBy(*order).limit(max_examples) for s in range(len(SORTS))]
+    data = sorted(bytes(r[0]) for r in kept[0].union(kept[1]).union(kept[2]).select("data").collect())
     return train(data, rounds)
 
 
@@ -357,11 +394,11 @@ def scan_texts(model: dict, raw: list[str | None]) -> tuple[list[list], list[lis
         score = np.zeros((len(free), 3), np.float64)
         for f in range(len(CODES)):
             score += model["weights"][codes[:, f] + OFFSETS[f]]
-        labels = viterbi(score, _chains(t, free), model["moves"])
+        labels = decode(score, _texts(t), model["moves"])
         begins = np.flatnonzero(labels == BEGIN)
         for b in begins.tolist():
             e = b
-            while e + 1 < len(labels) and labels[e + 1] == INSIDE and free[e + 1] == free[e] + 1:
+            while e + 1 < len(labels) and labels[e + 1] == INSIDE:
                 e += 1
             i = int(t.owner[free[b]])
             start, end = int(t.starts[free[b]] - t.batch.starts[i]), int(t.ends[free[e]] - t.batch.starts[i])
