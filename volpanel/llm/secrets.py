@@ -280,11 +280,11 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of WINDOW tokens with their labels and sort: all that hold a secret, half of those with long
     tokens with digits, one plain one in 64.
 
-    Besides the texts themselves, one text in four lends a stretch for an invented secret.
+    Besides the texts themselves, each lends a stretch for an invented secret.
     """
     for (raw,) in K.texts_of(batches):
         texts = [x or "" for x in raw]
-        made = [m for m in (made_up(x) for x in texts if zlib.crc32(x.encode()) % 4 == 0) if m]
+        made = [m for m in map(made_up, texts) if m]
         texts += [m[0] for m in made]
         t = _Tokens(texts)
         codes, free = _features(t)
