@@ -27,7 +27,7 @@ walk AS (
     1.03 + 0.10 * (abs(100 * w.r / exp(0.5 * w.logv)) - 0.79788456080286541) - 0.05 * (100 * w.r / exp(0.5 * w.logv)) + 0.90 * w.logv,
     0.05 + (0.03 + CASE WHEN w.r < 0 THEN 0.10 ELSE 0 END) * w.r * w.r + 0.90 * w.gjr
   FROM walk w JOIN panel p ON p.asset = w.asset AND p.t = w.t + 1),
-paths AS (SELECT p.*, w.ewma::DOUBLE AS ewma, w.garch::DOUBLE AS garch, exp(w.logv) / 10000 AS egarch, w.gjr::DOUBLE AS gjr_garch FROM panel p JOIN walk w ON p.asset = w.asset AND p.t = w.t),
+paths AS MATERIALIZED (SELECT p.*, w.ewma::DOUBLE AS ewma, w.garch::DOUBLE AS garch, exp(w.logv) / 10000 AS egarch, w.gjr::DOUBLE AS gjr_garch FROM panel p JOIN walk w ON p.asset = w.asset AND p.t = w.t),
 oos AS (SELECT * FROM paths WHERE date >= {OOS})"""
 
 _back = "OVER (PARTITION BY asset ORDER BY t ROWS BETWEEN {0} PRECEDING AND 1 PRECEDING)"
@@ -62,14 +62,14 @@ FEATURE_NAMES = (*(f"{m}_rmse_60" for m in MODELS), "realized_vol_5", "realized_
 SCALED = FEATURE_NAMES[:-1]
 _present = " AND ".join(f"{f} IS NOT NULL" for f in SCALED)
 GATE = (
-    "gate AS (SELECT *, CASE WHEN date BETWEEN TIMESTAMP '2024-01-16 00:00:00' AND TIMESTAMP '2024-01-22 23:59:59' THEN 'train' "
+    "gate AS MATERIALIZED (SELECT *, CASE WHEN date BETWEEN TIMESTAMP '2024-01-16 00:00:00' AND TIMESTAMP '2024-01-22 23:59:59' THEN 'train' "
     "WHEN date BETWEEN TIMESTAMP '2024-01-23 00:00:00' AND TIMESTAMP '2024-01-26 23:59:59' THEN 'validation' "
     f"WHEN date BETWEEN TIMESTAMP '2024-01-27 00:00:00' AND TIMESTAMP '2024-01-31 23:59:59' THEN 'test' END AS split FROM features WHERE {_present}), "
     "scaler AS (" + " UNION ALL ".join(f"SELECT asset, '{f}' AS feature, avg({f}) AS mean, stddev_samp({f}) AS raw, min({f}) AS low, max({f}) AS high FROM gate WHERE split = 'train' GROUP BY asset" for f in SCALED) + "), "
-    "scale AS (SELECT *, CASE WHEN raw IS NULL OR raw < 1e-8 THEN 1.0 ELSE raw END AS std, (raw IS NULL OR raw < 1e-8) AS fallback FROM scaler), "
+    "scale AS MATERIALIZED (SELECT *, CASE WHEN raw IS NULL OR raw < 1e-8 THEN 1.0 ELSE raw END AS std, (raw IS NULL OR raw < 1e-8) AS fallback FROM scaler), "
     "scaled AS (SELECT g.* EXCLUDE (" + ", ".join(SCALED) + "), " + ", ".join(f"(g.{f} - s{i}.mean) / s{i}.std AS {f}" for i, f in enumerate(SCALED)) + " FROM gate g "
     + " ".join(f"JOIN scale s{i} ON s{i}.asset = g.asset AND s{i}.feature = '{f}'" for i, f in enumerate(SCALED)) + "), "
-    "gated AS (SELECT *, " + ", ".join(f"exp(-0.5 * {m}_rmse_60) / (" + " + ".join(f"exp(-0.5 * {x}_rmse_60)" for x in MODELS) + f") AS {m}_neural_weight" for m in MODELS) + " FROM scaled), "
+    "gated AS MATERIALIZED (SELECT *, " + ", ".join(f"exp(-0.5 * {m}_rmse_60) / (" + " + ".join(f"exp(-0.5 * {x}_rmse_60)" for x in MODELS) + f") AS {m}_neural_weight" for m in MODELS) + " FROM scaled), "
     "gate_out AS (SELECT *, " + " + ".join(f"{m}_neural_weight * {m}" for m in MODELS) + " AS neural_ensemble_variance FROM gated)"
 )
 
@@ -211,6 +211,36 @@ ORACLES: dict[str, str] = {
     for name, columns in _leak_columns.items()
 }
 
+def _xlogy(x: str, y: str) -> str:
+    return f"(CASE WHEN {x} > 0 THEN {x} * ln({y}) ELSE 0 END)"
+
+
+_pairs = ", ".join(f"count(CASE WHEN before = {a} AND hit = {b} THEN 1 END)::DOUBLE AS n{a}{b}" for a in (0, 1) for b in (0, 1))
+_free = " + ".join((_xlogy("n00", "1 - p0"), _xlogy("n01", "p0"), _xlogy("n10", "1 - p1"), _xlogy("n11", "p1")))
+ORACLES["var_backtest"] = _with(
+    *V,
+    "hits AS (SELECT asset, t, CASE WHEN log_return < -1.6448536269514722 * sqrt(garch) THEN 1 ELSE 0 END AS hit FROM oos)",
+    "steps AS (SELECT *, lag(hit) OVER (PARTITION BY asset ORDER BY t) AS before FROM hits)",
+    f"counts AS (SELECT asset, count(*)::DOUBLE AS n, sum(hit)::DOUBLE AS x, {_pairs} FROM steps GROUP BY asset)",
+    "rates AS (SELECT *, x / n AS rate, n01 / nullif(n00 + n01, 0) AS p0, n11 / nullif(n10 + n11, 0) AS p1, (n01 + n11) / nullif(n00 + n01 + n10 + n11, 0) AS p FROM counts)",
+    then=f"SELECT asset, n::BIGINT AS n, x::BIGINT AS n_exceptions, round(-2 * ({_xlogy('(n - x)', '0.95')} + {_xlogy('x', '0.05')} - {_xlogy('(n - x)', '1 - rate')} - {_xlogy('x', 'rate')}), 5) AS lr_kupiec, "
+    f"round(-2 * ({_xlogy('(n00 + n10)', '1 - p')} + {_xlogy('(n01 + n11)', 'p')} - ({_free})), 5) AS lr_christoffersen FROM rates",
+)
+
+
+def _cdf(x: str) -> str:
+    k = f"(1 / (1 + 0.2316419::DOUBLE * abs({x})))"
+    tail = f"(exp(-({x}) * ({x}) / 2) / 2.5066282746310002::DOUBLE * {k} * (0.319381530::DOUBLE + {k} * (-0.356563782::DOUBLE + {k} * (1.781477937::DOUBLE + {k} * (-1.821255978::DOUBLE + {k} * 1.330274429::DOUBLE)))))"
+    return f"(CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+ORACLES["option_prices"] = _with(
+    *V,
+    "spread AS (SELECT asset, date, least(sqrt(garch), 5.0::DOUBLE) AS sigma, 30.0::DOUBLE / 365 AS years FROM oos)",
+    "moneyness AS (SELECT *, (0.065::DOUBLE + sigma * sigma / 2) * years / (sigma * sqrt(years)) AS d1, (0.065::DOUBLE + sigma * sigma / 2) * years / (sigma * sqrt(years)) - sigma * sqrt(years) AS d2 FROM spread)",
+    then=f"SELECT asset, date, round(sigma, 6) AS sigma, round({_cdf('d1')} - exp(-0.065::DOUBLE * years) * {_cdf('d2')}, 6) AS call_price FROM moneyness",
+)
+
 #: The same SQL over the panel that grows, its bounds from the data.
 WIDE_BARS = """
 wide_bounds AS (SELECT min(ts)::DATE AS first, max(ts)::DATE AS last, date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1 AS days FROM events WHERE value > 0),
