@@ -137,7 +137,11 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (any columns, with text) that have a language, with ``least`` score or more."""
+    """The rows of ``docs`` (any columns, with text) that have a language, with ``least`` score or more.
+
+    Null texts and texts without a letter have none.  All columns pass through as they are,
+    whatever their names; rows are independent, so repeated rows stay or go together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,16 +117,25 @@ def mixture(documents: DataFrame) -> DataFrame:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The mix itself: the rows of ``documents``, each as often as it is taken.
+    """The mix itself: the rows of ``documents`` (any columns, with doc_id, text, source), each as often as it is taken.
 
-    A document that the budget takes in part comes with its first words, and n_chars to match.
+    A document that the budget takes in part comes with its first words, and n_chars, if
+    there is one, to match.  Rows of equal id and size are taken alike, as often as the one
+    of them that is taken most; rows of equal id and other sizes each by their own share,
+    and so are null ids.  Texts without words (null and empty ones too) are not taken.  The
+    other columns pass through under whatever names; an empty table gives an empty result.
     """
-    share = mixture(documents).groupBy(F.col("doc_id").alias("id")).agg(F.max("size").alias("size"), F.max("epochs").alias("epochs"), F.max("taken").alias("taken"))
-    share = share.select("id", "size", "epochs", (F.col("taken") - F.col("epochs") * F.col("size")).alias("part"))
-    copies = F.when(F.col("size") > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(0)
-    taken = documents.join(share, F.col("doc_id").eqNullSafe(F.col("id"))).where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    share = mixture(documents).groupBy("doc_id", "size").agg(F.max("epochs").alias("epochs"), F.max("taken").alias("taken"))
+    share = share.select("doc_id", "size", "epochs", (F.col("taken") - F.col("epochs") * F.col("size")).alias("part"))
+    own = F.col("own")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("own")).withColumn("words", word_count(own["text"]))
+    copies = F.col("epochs") + (F.col("part") > 0).cast("long")
+    same = own["doc_id"].eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size"))
+    taken = rows.where("words > 0").join(share.where("size > 0"), same).where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut_short = (F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size"))
-    words = F.split("text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
-    text = F.when(cut_short, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(F.col("text"))
-    n_chars = F.when(cut_short, F.length("new").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return taken.withColumn("new", text).select(*[n_chars.alias(c) if c == "n_chars" else F.col("new").alias(c) if c == "text" else F.col(c) for c in documents.columns])
+    words = F.split(own["text"], "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
+    taken = taken.withColumn("new", F.when(cut_short, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(own["text"]))
+    changed = {"text": F.col("new")}
+    if "n_chars" in documents.columns:
+        changed["n_chars"] = F.when(cut_short, F.length("new").cast(documents.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return taken.select(*(changed.get(c, own.getField(c)).alias(c) for c in documents.columns))

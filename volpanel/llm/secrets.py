@@ -443,7 +443,10 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[secret]
 
 
 def redact(docs: DataFrame, model: dict, mark: str = "[secret]") -> DataFrame:
-    """``docs`` (any columns, with text and n_chars) with secrets replaced; other rows as they are."""
+    """``docs`` (any columns, with text) with secrets replaced, and n_chars, if there is one, to match; other rows as they are.
+
+    Null and empty texts stay; rows are independent, so repeated rows give repeated results.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -451,8 +454,10 @@ def redact(docs: DataFrame, model: dict, mark: str = "[secret]") -> DataFrame:
         for part, raw in K.parts_of(batches):
             _, every = scan_texts(shared.value, raw)
             texts = [redacted(x, spans, mark) if spans else x for x, spans in zip(raw, every, strict=True)]
-            sizes = [len(x) if spans else n for x, n, spans in zip(texts, part.column("n_chars").to_pylist(), every, strict=True)]
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, part.column("n_chars").type)}
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                sizes = [len(x) if spans else n for x, n, spans in zip(texts, part.column("n_chars").to_pylist(), every, strict=True)]
+                new["n_chars"] = pa.array(sizes, part.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in names], names)
 
     return arrow_map(docs, run, docs.schema)

@@ -143,14 +143,15 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(_part(now["id"]))
                 now = None
             if number == 0:
-                gzip = zlib.decompressobj(31)
-                now = {"id": record, "page": page_id, "gzip": gzip, "sha1": hashlib.sha1(), "bytes": 0, "chunks": 0, "ok": True, **_read_header(gzip.decompress(data))}
+                now = {"id": record, "page": page_id, "gzip": zlib.decompressobj(31), "sha1": hashlib.sha1(), "bytes": 0, "chunks": 0, "ok": True}
+                now |= _read_header(_inflated(now, data))
+                now["ok"] &= now["type"] is not None
             elif now is None:
                 if last:
                     out.append(_part(record))
                 continue
             else:
-                plain = now["gzip"].decompress(data)
+                plain = _inflated(now, data)
                 if last:
                     now["ok"] &= plain == END
                 else:
@@ -167,6 +168,16 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _record_batch([_part(now["id"])])
 
 
+def _inflated(now: dict, data: bytes) -> bytes:
+    """The plain bytes of a record's next chunk; none from the first damaged one on, which marks the record."""
+    if now["gzip"] is not None:
+        try:
+            return now["gzip"].decompress(data)
+        except zlib.error:
+            now["gzip"], now["ok"] = None, False
+    return b""
+
+
 def _part(record: str) -> tuple:
     return record, None, None, None, None, None, None, False
 
@@ -179,8 +190,9 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
     """Records of a chunk table, read as it lies: writers leave a record's chunks in a row.
 
     Only records that a file split cuts in two are brought together by a shuffle.
-    ``intact`` is false if a chunk's digest, the whole digest or the length does not agree
-    with the headers.
+    ``intact`` is false if a chunk cannot be decompressed, or a chunk's digest, the whole
+    digest or the length does not agree with the headers; of a record with a broken header
+    only the ids are known, and the other columns are null.
     """
     found = cut(arrow_map(chunks, _stream, RECORDS))
     torn = found.where(~F.col("whole")).select("record_id").distinct()
@@ -189,6 +201,14 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def _read_header(data: bytes) -> dict:
+    """What the headers of a record say; nothing if they are broken."""
+    try:
+        return _fields(data)
+    except (KeyError, ValueError):
+        return dict.fromkeys(("type", "digest", "size", "block", "refers_to"))
+
+
+def _fields(data: bytes) -> dict:
     warc, http, _ = data.split(END, 2)
     fields = dict(line.split(": ", 1) for line in warc.decode().split("\r\n")[1:])
     inner = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])
@@ -202,6 +222,8 @@ def _read_header(data: bytes) -> dict:
 
 
 def _record(r: dict) -> tuple:
+    if r["type"] is None:
+        return r["id"], r["page"], None, None, None, None, False, True
     if r["type"] == "response":
         digest, size = base64.b32encode(r["sha1"].digest()).decode(), r["bytes"]
     else:
@@ -218,4 +240,8 @@ def round_trip(pages: DataFrame, archives: int = 64) -> DataFrame:
     chunks, _ = stored(write_chunks(pages, archives))
     records = read_chunks(chunks)
     ids = records.where(F.col("record_type") == "response").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
-    return records.join(ids, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    # Responses refer to nothing: their one null key stays out of the join.
+    others = records.where(F.col("refers_to_id").isNull()).withColumn("refers_to", F.lit(None).cast("long"))
+    revisits = records.where(F.col("refers_to_id").isNotNull()).join(ids, "refers_to_id", "left")
+    return others.select(*columns).unionByName(revisits.select(*columns))
