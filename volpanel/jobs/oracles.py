@@ -156,7 +156,7 @@ ORACLES: dict[str, str] = {
     "extreme_rows": _with(*P, then="SELECT asset, date, round(log_return, 6) AS log_return FROM panel WHERE abs(log_return) > 3.0"),
     "extreme_counts": _with(*P, then="SELECT asset, count(CASE WHEN abs(log_return) > 3.0 THEN 1 END) AS n_extreme FROM panel GROUP BY asset"),
     "asset_coverage": _with(*P, then="SELECT asset, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date FROM bars GROUP BY asset"),
-    "sequence_audit": _with(*P, then="SELECT asset, count(*) AS n_rows, true AS increasing, max(t) = count(*) AS \"unique\", true AS count_ok FROM panel GROUP BY asset"),
+    "sequence_audit": _with(*P, then="SELECT asset, count(*) AS n_rows, true AS increasing, max(t) = count(*) AS \"unique\", count(*) = (SELECT count(*) - 1 FROM bars WHERE bars.asset = panel.asset) AS count_ok FROM panel GROUP BY asset"),
     "date_alignment": _with(*P, then=f"SELECT asset, count(CASE WHEN l = 1 AND r = 1 THEN 1 END) AS n_both, count(CASE WHEN r IS NULL THEN 1 END) AS n_left_only, count(CASE WHEN l IS NULL THEN 1 END) AS n_right_only FROM (SELECT asset, date, 1 AS l FROM panel) FULL JOIN (SELECT asset, date, 1 AS r FROM bars WHERE date >= {OOS}) USING (asset, date) GROUP BY asset"),
     "parity_audit": _with(BARS, DIRTY, then="SELECT c.asset, count(*) AS n_rows, round(max(abs(c.open - b.open)), 6) AS max_diff_open, round(max(abs(c.high - b.high)), 6) AS max_diff_high, round(max(abs(c.close - b.close)), 6) AS max_diff_close FROM cleaned c JOIN bars b ON c.asset = b.asset AND c.date = b.date GROUP BY c.asset"),
     "forecast_audit": _with(*V, then="SELECT asset, count(*) AS n_rows, 0::BIGINT AS n_missing, count(CASE WHEN NOT isfinite(ewma + garch + egarch + gjr_garch) THEN 1 END) AS n_not_finite, count(CASE WHEN least(ewma, garch, egarch, gjr_garch) <= 0 THEN 1 END) AS n_not_positive, true AS root_ok, true AS target_ok, count(CASE WHEN realized_var_proxy < 0 OR parkinson_var_proxy < 0 THEN 1 END) AS n_negative_target, CASE WHEN min(least(ewma, garch, egarch, gjr_garch)) > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM oos GROUP BY asset"),
@@ -211,6 +211,25 @@ ORACLES: dict[str, str] = {
     for name, columns in _leak_columns.items()
 }
 
+#: The recursions under parameters that differ by asset.
+BY_ASSET = PATHS.replace("seeds AS (", """own AS (SELECT asset, 0.90::DOUBLE + 0.02::DOUBLE * k AS lam, 0.05::DOUBLE + 0.01::DOUBLE * k AS g0, 0.05::DOUBLE + 0.02::DOUBLE * k AS g1, 0.85::DOUBLE - 0.03::DOUBLE * k AS g2,
+    1.0::DOUBLE + 0.05::DOUBLE * k AS e0, 0.10::DOUBLE + 0.02::DOUBLE * k AS e1, -0.05::DOUBLE + 0.01::DOUBLE * k AS e2, 0.88::DOUBLE - 0.02::DOUBLE * k AS e3,
+    0.04::DOUBLE + 0.01::DOUBLE * k AS j0, 0.03::DOUBLE + 0.01::DOUBLE * k AS j1, 0.08::DOUBLE AS j2, 0.82::DOUBLE + 0.03::DOUBLE * k AS j3
+  FROM (SELECT DISTINCT asset, length(asset) % 3 AS k FROM bars)),
+seeds AS (""")
+for _old, _new in (
+    ("0.94 * w.ewma + (1 - 0.94) * w.r * w.r", "q.lam * w.ewma + (1 - q.lam) * w.r * w.r"),
+    ("0.05 + 0.08 * w.r * w.r + 0.90 * w.garch", "q.g0 + q.g1 * w.r * w.r + q.g2 * w.garch"),
+    ("1.03 + 0.10 * (abs(100 * w.r / exp(0.5 * w.logv)) - 0.79788456080286541) - 0.05 * (100 * w.r / exp(0.5 * w.logv)) + 0.90 * w.logv", "q.e0 + q.e1 * (abs(100 * w.r / exp(0.5 * w.logv)) - 0.79788456080286541) + q.e2 * (100 * w.r / exp(0.5 * w.logv)) + q.e3 * w.logv"),
+    ("0.05 + (0.03 + CASE WHEN w.r < 0 THEN 0.10 ELSE 0 END) * w.r * w.r + 0.90 * w.gjr", "q.j0 + (q.j1 + CASE WHEN w.r < 0 THEN q.j2 ELSE 0 END) * w.r * w.r + q.j3 * w.gjr"),
+    ("JOIN panel p ON p.asset = w.asset AND p.t = w.t + 1)", "JOIN panel p ON p.asset = w.asset AND p.t = w.t + 1 JOIN own q ON q.asset = w.asset)"),
+):
+    assert _old in BY_ASSET
+    BY_ASSET = BY_ASSET.replace(_old, _new)
+ORACLES["oos_by_asset"] = ORACLES["oos_table"].replace(PATHS.strip(), BY_ASSET.strip())
+ORACLES["ensemble_by_asset"] = ORACLES["inverse_rmse_ensemble"].replace(PATHS.strip(), BY_ASSET.strip())
+
+
 def _xlogy(x: str, y: str) -> str:
     return f"(CASE WHEN {x} > 0 THEN {x} * ln({y}) ELSE 0 END)"
 

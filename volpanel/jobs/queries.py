@@ -48,6 +48,16 @@ def metric_table(spark: SparkSession, d: str) -> DataFrame:
     return metrics.forecast_metrics(oos(spark, d), list(MODELS), list(TARGETS))
 
 
+def recomputed_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The losses once more, from one row per forecast and target in place of the wide aggregate."""
+    rows = ensemble.out_of_sample(paths(spark, d), OOS)
+    rows = rows.select("asset", *TARGETS, F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("f")) for m in MODELS))).alias("m"))
+    rows = rows.select("asset", "m.*", F.explode(F.array(*(F.struct(F.lit(y).alias("target"), F.col(y).alias("y")) for y in TARGETS))).alias("t")).select("asset", "model", "f", "t.*")
+    ratio = F.when((F.col("f") > 0) & (F.col("y") > 0), F.col("f") / F.col("y"))
+    e = F.col("f") - F.col("y")
+    return rows.groupBy("asset", "model", "target").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(ratio - F.ln(ratio) - 1).alias("qlike_fy_masked"))
+
+
 def gate_rows(spark: SparkSession, d: str) -> DataFrame:
     p = paths(spark, d)
     return gate.time_split(gate.dataset(features.gating_features(p, OOS), forecast.oos_table(p, OOS)), CALENDAR)
@@ -105,6 +115,32 @@ def frozen_parameters(spark: SparkSession, d: str) -> DataFrame:
     return source.event_bars(spark, d).select("asset").distinct().select("asset", F.explode(rows).alias("p")).select("asset", "p.*")
 
 
+def ruled_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """A parameter table that differs by asset, by a rule that SQL can repeat: k is the length of the name modulo 3."""
+    k = F.length("asset") % 3
+
+    def row(model: str, **values: object) -> F.Column:
+        cells = [values.get(c, F.lit(None)).cast("double").alias(c.rstrip("_")) for c in ("omega", "alpha", "gamma", "beta", "lambda_")]
+        return F.struct(F.lit(model).alias("model"), *cells)
+
+    rows = F.array(
+        row("EWMA", lambda_=0.90 + 0.02 * k),
+        row("GARCH", omega=0.05 + 0.01 * k, alpha=0.05 + 0.02 * k, beta=0.85 - 0.03 * k),
+        row("EGARCH", omega=1.0 + 0.05 * k - fit.LN_SCALE, alpha=0.10 + 0.02 * k, gamma=-0.05 + 0.01 * k, beta=0.88 - 0.02 * k),
+        row("GJR-GARCH", omega=0.04 + 0.01 * k, alpha=0.03 + 0.01 * k, gamma=F.lit(0.08), beta=0.82 + 0.03 * k),
+    )
+    return source.event_bars(spark, d).select("asset").distinct().select("asset", F.explode(rows).alias("p")).select("asset", "p.*")
+
+
+def paths_by_asset(spark: SparkSession, d: str) -> DataFrame:
+    return recursion.fitted_paths(panel(spark, d), OOS, ruled_parameters(spark, d))
+
+
+def fitted_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    """Fit each asset in sample, then run its own parameters through the whole panel."""
+    return recursion.fitted_paths(panel(spark, d), OOS, fitted_parameters(spark, d))
+
+
 def scored_parameters(spark: SparkSession, d: str) -> DataFrame:
     """The frozen GARCH row of each asset with its in-sample likelihood under the frozen path."""
     inside = prep.before(affine(spark, d), OOS)
@@ -193,7 +229,7 @@ QUERIES: dict[str, Query] = {
     "extreme_rows": lambda s, d: rounded(quality.extreme_rows(panel(s, d), 3.0).select("asset", "date", "log_return")),
     "extreme_counts": lambda s, d: quality.extreme_counts(panel(s, d), 3.0),
     "asset_coverage": lambda s, d: quality.series_profile(source.event_bars(s, d)),
-    "sequence_audit": lambda s, d: quality.sequence_audit(panel(s, d), panel(s, d).groupBy("asset").agg(F.count("*").alias("n_expected"))),
+    "sequence_audit": lambda s, d: quality.sequence_audit(panel(s, d), source.event_bars(s, d).groupBy("asset").agg((F.count("*") - 1).alias("n_expected"))),
     "date_alignment": lambda s, d: quality.date_alignment(panel(s, d), ensemble.out_of_sample(source.event_bars(s, d), OOS)),
     "parity_audit": lambda s, d: rounded(quality.parity_audit(prep.clean_bars(dirty_ticks(s, d)), source.event_bars(s, d), ("open", "high", "close"))),
     "forecast_audit": lambda s, d: quality.forecast_audit(oos(s, d), MODELS),
@@ -222,6 +258,8 @@ QUERIES: dict[str, Query] = {
     "egarch_oos": lambda s, d: rounded(ensemble.out_of_sample(paths(s, d), OOS).select("asset", "date", "egarch")),
     "gjr_oos": lambda s, d: rounded(ensemble.out_of_sample(affine(s, d), OOS).select("asset", "date", "gjr_garch")),
     "oos_table": lambda s, d: rounded(oos(s, d).drop("t")),
+    "oos_by_asset": lambda s, d: rounded(forecast.oos_table(paths_by_asset(s, d), OOS).drop("t")),
+    "fitted_oos_table": lambda s, d: forecast.oos_table(fitted_forecasts(s, d), OOS).drop("t"),
     "first_k_oos": lambda s, d: rounded(forecast.first_k(paths(s, d), OOS).select("asset", "date", "position", "previous_return", "garch")),
     "oos_leakage": lambda s, d: leakage.audit(panel(s, d), lambda p: recursion.variance_paths(p, OOS, FROZEN), OOS, list(MODELS)),
     # losses and rankings
@@ -231,7 +269,7 @@ QUERIES: dict[str, Query] = {
     "mean_ranks": lambda s, d: rounded(metrics.mean_ranks(metrics.ranking(metric_table(s, d)), TARGETS[0])),
     "five_model_table": lambda s, d: rounded(metrics.forecast_metrics(combined(s, d), list(ENSEMBLE), list(TARGETS)).select("asset", "model", "target", "mae", "rmse"), 5),
     "table_integrity": lambda s, d: metrics.integrity(metric_table(s, d), 40, list(MODELS)),
-    "metric_recheck": lambda s, d: rounded(metrics.recheck(metric_table(s, d), metrics.forecast_metrics(ensemble.out_of_sample(paths(s, d), OOS), list(MODELS), list(TARGETS)))),
+    "metric_recheck": lambda s, d: rounded(metrics.recheck(metric_table(s, d), recomputed_metrics(s, d))),
     "gate_vs_baseline": lambda s, d: rounded(gate_versus(s, d).select("asset", "model", "target", "mae", "rmse", "qlike_yf_clamped"), 5),
     "improvement": lambda s, d: rounded(metrics.improvement(gate_versus(s, d), "static_ensemble_variance", "neural_ensemble_variance"), 4),
     # ensemble
@@ -240,6 +278,8 @@ QUERIES: dict[str, Query] = {
     "trailing_rmse": lambda s, d: rounded(ensemble.out_of_sample(ensemble.trailing_rmse(paths(s, d)), OOS).select("asset", "date", *(f"{m}_rmse" for m in MODELS))),
     "inverse_rmse_weights": lambda s, d: rounded(combined(s, d).select("asset", "date", *(f"{m}_weight" for m in MODELS))),
     "inverse_rmse_ensemble": lambda s, d: rounded(combined(s, d).select("asset", "date", "static_ensemble_variance", "static_ensemble_volatility")),
+    "ensemble_by_asset": lambda s, d: rounded(ensemble.inverse_rmse_ensemble(paths_by_asset(s, d), OOS).select("asset", "date", "static_ensemble_variance", "static_ensemble_volatility")),
+    "fitted_ensemble": lambda s, d: ensemble.inverse_rmse_ensemble(fitted_forecasts(s, d), OOS).select("asset", "date", "static_ensemble_variance", "static_ensemble_volatility"),
     "ensemble_audit": lambda s, d: ensemble.ensemble_audit(combined(s, d)),
     "window_recheck": lambda s, d: ensemble.window_recheck(affine(s, d), ensemble.out_of_sample(ensemble.trailing_rmse(affine(s, d), models=("garch",)), OOS)),
     "ensemble_leakage": lambda s, d: leakage.audit(paths(s, d), lambda p: ensemble.inverse_rmse_ensemble(p, OOS), OOS, ["static_ensemble_variance", *(f"{m}_weight" for m in MODELS)], targets_only=True),

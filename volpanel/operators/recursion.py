@@ -7,22 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volpanel.functions.kernels import egarch_step
 from volpanel.operators.blocks import by_block, own_rows, with_halo
-from volpanel.sources.schema import Parameters
+from volpanel.sources.schema import MODELS, Parameters
 
+LN_SCALE = math.log(1e4)
 SCAN_ROWS = 32
 SMALL = 1e-9
 
 
-def affine_scan(rows: DataFrame, keys: list[str], solves: dict[str, tuple[float, str, str]], longest: int) -> DataFrame:
+def affine_scan(rows: DataFrame, keys: list[str], solves: dict[str, tuple[float | str, str, str]], longest: int) -> DataFrame:
     """Solve ``s(1) = first; s(t) = factor * s(t - 1) + term(t)`` for each key, by position ``t``.
 
     ``solves`` gives (factor, term column, first column) of each output column; all are
-    solved together.  Blocks of 32 positions are solved in parallel from zero, as scaled
+    solved together.  A factor is a number, or names a column that is constant in each key.  Blocks of 32 positions are solved in parallel from zero, as scaled
     prefix sums of one window; the values carried from block to block obey the same
     recursion with the 32nd power of the factor, one level up, in 32 times fewer rows.  No
     task needs more than one block, so one long series is as parallel as many short ones.
@@ -35,19 +36,26 @@ def affine_scan(rows: DataFrame, keys: list[str], solves: dict[str, tuple[float,
     out = rows.withColumn("_b", block).withColumn("_p", place)
     for name, (factor, term, first) in solves.items():
         u = F.when(F.col("t") == 1, F.col(first)).otherwise(F.col(term))
-        if factor >= SMALL:
+        if isinstance(factor, str):
+            large = F.greatest(F.col(factor), F.lit(SMALL))
+            powers = F.pow(large, F.col("_p")) * F.sum(u / F.pow(large, F.col("_p"))).over(run)
+            few = u + F.col(factor) * F.coalesce(F.lag(u).over(back), F.lit(0.0)) + F.col(factor) * F.col(factor) * F.coalesce(F.lag(u, 2).over(back), F.lit(0.0))
+            solved = F.when(F.col(factor) >= SMALL, powers).when(F.col(factor).isNotNull(), few)
+        elif factor >= SMALL:
             solved = F.pow(F.lit(factor), F.col("_p")) * F.sum(u / F.pow(F.lit(factor), F.col("_p"))).over(run)
         else:  # powers of such factors would overflow; they forget all but the last three terms
             solved = u + factor * F.coalesce(F.lag(u).over(back), F.lit(0.0)) + factor * factor * F.coalesce(F.lag(u, 2).over(back), F.lit(0.0))
         out = out.withColumn(name, solved)
     if longest > SCAN_ROWS:
-        ends = out.groupBy(*keys, "_b").agg(*(F.max_by(n, "t").alias(f"_c_{n}") for n in solves))
+        named = {n: factor for n, (factor, _, _) in solves.items() if isinstance(factor, str)}
+        ends = out.groupBy(*keys, "_b").agg(*(F.max_by(n, "t").alias(f"_c_{n}") for n in solves), *(F.pow(F.first(f), F.lit(float(SCAN_ROWS))).alias(f"_f_{n}") for n, f in named.items()))
         upper = ends.withColumn("t", F.col("_b") + 1).drop("_b")
-        higher = {f"_carry_{n}": (factor**SCAN_ROWS, f"_c_{n}", f"_c_{n}") for n, (factor, _, _) in solves.items()}
+        higher = {f"_carry_{n}": (f"_f_{n}" if n in named else factor**SCAN_ROWS, f"_c_{n}", f"_c_{n}") for n, (factor, _, _) in solves.items()}
         carried = affine_scan(upper, keys, higher, math.ceil(longest / SCAN_ROWS)).withColumnRenamed("t", "_b")
-        out = out.join(carried.drop(*(f"_c_{n}" for n in solves)), [*keys, "_b"], "left")
+        out = out.join(carried.drop(*(f"_c_{n}" for n in solves), *(f"_f_{n}" for n in named)), [*keys, "_b"], "left")
         for name, (factor, _, _) in solves.items():
-            out = out.withColumn(name, F.col(name) + F.pow(F.lit(factor), F.col("_p") + 1) * F.coalesce(f"_carry_{name}", F.lit(0.0)))
+            base = F.col(factor) if name in named else F.lit(factor)
+            out = out.withColumn(name, F.col(name) + F.pow(base, F.col("_p") + 1) * F.coalesce(f"_carry_{name}", F.lit(0.0)))
         out = out.drop(*(f"_carry_{n}" for n in solves))
     return out.drop("_b", "_p")
 
@@ -141,3 +149,93 @@ def sequential_paths(panel: DataFrame, oos: str, p: Parameters) -> DataFrame:
             yield pd.concat([batch[["asset", "t"]].reset_index(drop=True), pd.DataFrame(out, columns=["ewma", "garch", "egarch", "gjr_garch"])], axis=1)
 
     return panel.join(ready.mapInPandas(run, "asset string, t long, ewma double, garch double, egarch double, gjr_garch double"), ["asset", "t"])
+
+
+#: Column of each parameter in the wide table, by model: omega, alpha, gamma, beta, or lambda.
+OWN = {
+    "EWMA": {"lambda": "_lam"},
+    "GARCH": {"omega": "_g0", "alpha": "_g1", "beta": "_g2"},
+    "GJR-GARCH": {"omega": "_j0", "alpha": "_j1", "gamma": "_j2", "beta": "_j3"},
+    "EGARCH": {"omega": "_e0", "alpha": "_e1", "gamma": "_e2", "beta": "_e3"},
+}
+OWN_COLUMNS = [c for columns in OWN.values() for c in columns.values()]
+
+
+def parameters_by_asset(table: DataFrame) -> DataFrame:
+    """One row per asset from a parameter table (asset, model, omega, alpha, gamma, beta, lambda), four rows of it at most.
+
+    EGARCH's stored omega is taken back to returns times 100.  A model without parameters
+    (a failed fit) has nulls.
+    """
+    cells = [F.max(F.when(F.col("model") == model, F.col(name))).alias(column) for model, columns in OWN.items() for name, column in columns.items()]
+    return table.groupBy("asset").agg(*cells).withColumn("_e0", F.col("_e0") + LN_SCALE)
+
+
+def surely_positive() -> Column:
+    """Whether the floors of an asset's GARCH recursions cannot fire and their factors are at most 1."""
+    garch = (F.col("_g0") > 0) & (F.col("_g1") >= 0) & F.col("_g2").between(0, 1)
+    gjr = (F.col("_j0") > 0) & (F.col("_j1") >= 0) & (F.col("_j1") + F.col("_j2") >= 0) & F.col("_j3").between(0, 1)
+    return F.coalesce(garch, F.lit(True)) & F.coalesce(gjr, F.lit(True))
+
+
+def _loops(ready: DataFrame, models: tuple[str, ...]) -> DataFrame:
+    """(asset, t, models) by the plain ordered loop over rows (asset, t, log_return, seed, OWN_COLUMNS); null without parameters.
+
+    Assets are dealt to tasks and sorted there; batches stream with four numbers of state.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asset, s, before = None, {}, 0.0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                name, _, r, seed = row[:4]
+                lam, g0, g1, g2, j0, j1, j2, j3, *e = row[4:]
+                if name != asset:
+                    asset, s = name, {"ewma": seed, "garch": seed, "gjr_garch": seed, "egarch": math.log(max(seed, 1e-300) * 1e4)}
+                else:
+                    square = before * before
+                    garch = g0 + g1 * square + g2 * s["garch"]
+                    gjr = j0 + (j1 + (j2 if before < 0 else 0.0)) * square + j3 * s["gjr_garch"]
+                    s = {
+                        "ewma": lam * s["ewma"] + (1 - lam) * square,
+                        "garch": garch if not garch <= 0 else max(g0, 1e-12),
+                        "gjr_garch": gjr if not gjr <= 0 else max(j0, 1e-12),
+                        "egarch": egarch_step(s["egarch"], before, *e),
+                    }
+                known = {"ewma": lam, "garch": g0, "gjr_garch": j0, "egarch": e[0]}
+                out.append([None if known[m] != known[m] else math.exp(s[m]) / 1e4 if m == "egarch" else s[m] for m in models])
+                before = r
+            yield pd.concat([batch[["asset", "t"]].reset_index(drop=True), pd.DataFrame(out, columns=list(models), dtype="float64")], axis=1)
+
+    ordered = ready.select("asset", "t", "log_return", "seed", *OWN_COLUMNS).repartition("asset").sortWithinPartitions("asset", "t")
+    return ordered.mapInPandas(run, "asset string, t long, " + ", ".join(f"{m} double" for m in models))
+
+
+def fitted_paths(panel: DataFrame, oos: str, table: DataFrame) -> DataFrame:
+    """The panel with the conditional variances of all four models, each asset under its own parameters.
+
+    ``table`` is a parameter table as :func:`volpanel.operators.fit.with_ewma` gives it.
+    Assets whose GARCH recursions are surely positive are solved by the scan, with the
+    factors as columns; of the others, where a floor may fire, all models run as ordered
+    loops.  A model without parameters has null variances; an asset without in-sample rows
+    has no seed and comes without rows.
+    """
+    every = panel.join(seeds(panel, oos), "asset").join(parameters_by_asset(table), "asset", "left").withColumn("_sure", surely_positive())
+    names = [c for c in panel.columns] + ["ewma", "garch", "gjr_garch", "egarch"]
+    sure = every.where("_sure")
+    longest = sure.groupBy("asset").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+    r = F.lag("log_return").over(by_block())
+    terms = {
+        "_ewma": (1 - F.col("_lam")) * r * r,
+        "_garch": F.col("_g0") + F.col("_g1") * r * r,
+        "_gjr": F.col("_j0") + (F.col("_j1") + F.when(r < 0, F.col("_j2")).otherwise(0.0)) * r * r,
+    }
+    ahead = with_halo(sure, 1)
+    for name, term in terms.items():
+        ahead = ahead.withColumn(name, term)
+    solves = {"ewma": ("_lam", "_ewma", "seed"), "garch": ("_g2", "_garch", "seed"), "gjr_garch": ("_j3", "_gjr", "seed")}
+    scanned = affine_scan(own_rows(ahead), ["asset"], solves, longest).join(_loops(sure, ("egarch",)), ["asset", "t"]).select(*names)
+    looped = every.where("NOT _sure").drop(*MODELS)
+    looped = looped.join(_loops(looped, ("ewma", "garch", "gjr_garch", "egarch")), ["asset", "t"]).select(*names)
+    return scanned.unionByName(looped)
