@@ -1,12 +1,17 @@
 """Toxicity scores from class-conditional Kneser-Ney bigram models with shared backoff.
 
-Class c's bigram counts, discounted, are smoothed towards the expectation of the next lower
-order: the number of distinct left neighbours that the word, then its beginning of 7, 5 and
-4 letters, has in class c (the continuation counts of Kneser and Ney).  Each order adds the
-same number of shared counts to both classes, so that an expression too rare to tell counts
-for neither.  Models are kept as ratios to the distribution of both classes, which cancels
-in the difference of the two log-likelihoods.  That difference, length-normalised, is
-calibrated to a probability on labelled documents which the models have not seen.
+Class c's probability of word w after v is interpolated as by Kneser and Ney, with a strength
+as in the Pitman-Yor form of their smoothing:
+
+    p(w | v) = (max(n(v, w) - 1, 0) + (STRENGTH + followers(v)) * p(w)) / (n(v) + STRENGTH)
+
+where n(v) counts v as a left neighbour in class c and followers(v) its distinct followers
+there.  p(w) comes from continuation counts (distinct left neighbours), less DISCOUNT, and
+backs off to the word's beginnings of 7, 5 and 4 letters.  The backoff is shared: its weight
+is the part that discounting takes from both classes together, and what reaches a beginning
+is shared out among what begins so by counts of both classes, so an expression too rare to
+tell the classes apart is split alike.  Both log-likelihoods are length-normalised; their
+difference is calibrated to a probability on labelled documents which the models have not seen.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ from pyspark.sql import functions as F
 from volpanel.llm import textkernel as K
 from volpanel.llm.frames import arrow_map, bounded_sample, discard, held_out, stored
 
-DISCOUNT = 0.6
-SHARED = 6.0  # shared counts that each order adds, as the next lower order would have them
+DISCOUNT = 4.0  # taken from continuation counts
+STRENGTH = 3000.0  # counts that p(w) adds to those of each left neighbour
 BEGINNINGS = (4, 5, 7)  # letters of a word that stand for it in the lower orders
 CLEAR = 1.0  # the log-likelihood difference from which a single word speaks for toxicity
 LEVELS = [f"k{i}" for i in range(len(BEGINNINGS) + 1)]
@@ -60,41 +65,80 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One order of the models from its rows (key, n0, n1): sorted keys, discounted counts by class, the classes' shares."""
+    """One order of the models from its rows (key, n0, n1): sorted keys, counts by class; their sums, whole and discounted."""
     keys = table.column(0).to_numpy().view(np.uint64)
     order = np.argsort(keys, kind="stable")
-    less = np.stack([np.maximum(table.column(c).to_numpy()[order] - DISCOUNT, 0) for c in (1, 2)])
-    total = less.sum()
-    share = less.sum(1) / total if total and less.sum(1).all() else np.array([0.5, 0.5])
-    return keys[order], less.astype(np.float32), share
+    seen = np.stack([table.column(c).to_numpy()[order] for c in (1, 2)])
+    return keys[order], seen.astype(np.float32), np.stack([seen.sum(1), np.maximum(seen - DISCOUNT, 0).sum(1)])
+
+
+def _contexts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Left neighbours from rows (left, n0, n1, f0, f1): sorted keys; occurrences and distinct followers by class."""
+    keys = table.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.stack([table.column(c).to_numpy()[order] for c in (1, 2, 3, 4)]).astype(np.float32)
 
 
 def models(bigrams: DataFrame) -> dict:
     """Tables of all orders, lowest first, from one row per distinct bigram: counted and summed in Spark.
 
     Of a lower order's key, each class counts the distinct left neighbours.  The driver gets
-    (key, n0, n1) of one order at a time.
+    (key, n0, n1) of one order at a time, and the totals of left neighbours.
+    """
+    both = [F.sum(n).alias(n) for n in ("n0", "n1")]
+    orders, children = [], []
+    for below, level in zip([None, *LEVELS], LEVELS, strict=False):
+        seen = bigrams.groupBy("left", level).agg(*(F.max((F.col(n) > 0).cast("long")).alias(n) for n in ("n0", "n1")), F.min(below or F.lit(0)).alias("below"))
+        rows = seen.groupBy(level).agg(*both, F.min("below").alias("below")).toArrow()
+        orders.append(_order(rows))
+        if below:
+            # Counts of all that begins with each key of the order below.
+            at = K.find(orders[-2][0], rows.column("below").to_numpy().view(np.uint64))
+            counts = rows.column("n0").to_numpy() + rows.column("n1").to_numpy()
+            children.append(np.bincount(at, counts, minlength=len(orders[-2][0])).astype(np.float32))
+    contexts = _contexts(bigrams.groupBy("left").agg(*both, *(F.sum((F.col(n) > 0).cast("long")).alias(f) for n, f in (("n0", "f0"), ("n1", "f1")))).toArrow())
+    orders.append(_order(bigrams.groupBy("pair").agg(*both).toArrow()))
+    return {"orders": orders, "children": children, "contexts": contexts}
+
+
+def _found(unique: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Columns of ``counts`` for the keys, 0 for those unknown."""
+    at = K.find(unique, keys)
+    hit = np.flatnonzero(at >= 0)
+    out = np.zeros((len(counts), len(keys)))
+    out[:, hit] = counts[:, at[hit]]
+    return out
+
+
+def probabilities(model: dict, left: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Of each word after its left neighbour: its probability in the ordinary and in the toxic class.
+
+    Words whose key is unknown at some order share what reaches them there by an unknown
+    factor, the same for both classes, given as 1.
     """
-    orders = []
-    for level in LEVELS:
-        seen = bigrams.groupBy("left", level).agg(*(F.max((F.col(n) > 0).cast("long")).alias(n) for n in ("n0", "n1")))
-        orders.append(_order(seen.groupBy(level).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()))
-    orders.append(_order(bigrams.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()))
-    return {"orders": orders}
+    value = np.ones((2, len(left)))
+    *lower, (pairs, pair_counts, _) = model["orders"]
+    above = np.full(len(left), lower[0][2][0].sum())
+    for i, (key, (unique, counts, (total, kept))) in enumerate(zip(keys, lower, strict=True)):
+        seen = _found(unique, counts, key)
+        both = seen.sum(0)
+        value = value * np.where(both > 0, both / np.maximum(above, 1), 1.0)
+        backoff = 1 - kept.sum() / max(total.sum(), 1)
+        own = np.maximum(seen - DISCOUNT, 0) / np.maximum(kept, 1e-9)[:, None]
+        # A class that discounting leaves nothing is the backoff alone.
+        value = np.where(kept[:, None] > 0, (1 - backoff) * own + backoff * value, value)
+        if i < len(model["children"]):
+            above = _found(unique, model["children"][i][None], key)[0]
+    n0, n1, f0, f1 = _found(*model["contexts"], left)
+    own = np.maximum(_found(pairs, pair_counts, _bigram(left, keys[-1])) - 1, 0)
+    return (own + (STRENGTH + np.stack([f0, f1])) * value) / (np.stack([n0, n1]) + STRENGTH)
 
 
 def differences(model: dict, raw: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Per text: log-likelihood difference, toxic less ordinary, by words; its clear excess, by words; words."""
     owner, left, keys = _pairs([t or "" for t in raw])
-    ratio = [np.ones(len(owner)), np.ones(len(owner))]
-    for key, (unique, counts, share) in zip([*keys, _bigram(left, keys[-1])], model["orders"], strict=True):
-        at = K.find(unique, key)
-        hit = np.flatnonzero(at >= 0)
-        own = counts[:, at[hit]]
-        both = own.sum(0)
-        for c in (0, 1):
-            ratio[c][hit] = (own[c] / share[c] + SHARED * ratio[c][hit]) / (both + SHARED)
-    value = np.log(ratio[1]) - np.log(ratio[0])
+    ordinary, toxic = np.log(probabilities(model, left, keys))
+    value = toxic - ordinary
     words = np.bincount(owner, minlength=len(raw)).astype(np.float64)
     sums = [np.bincount(owner, x, minlength=len(raw)) for x in (value, np.maximum(value - CLEAR, 0))]
     return np.stack(sums, 1) / np.maximum(words, 1)[:, None], words
