@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,27 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def numbered(df: DataFrame, group: str, order: list[str]) -> tuple[DataFrame, str]:
+    """``df`` with gid (ascending with ``group``), idx (from 0, by ``order`` within the group) and n (rows of the group).
+
+    Rows are sorted by ranges, written once, and counted by (group, range): a group with
+    most of the rows is many ranges, and only the counts of its ranges meet in one task.
+    Returns the rows, which read the table at the path returned too.
+    """
+    keys = [F.col(c).asc() for c in (group, *order)]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed, path = stored(df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33).alias("part")
+    whole = Window.partitionBy(group)
+    before = F.sum("many").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    cells = placed.groupBy(group, part).agg(F.count("*").alias("many"), F.min("at").alias("first"))
+    cells = cells.select(F.col(group).alias("_group"), F.col("part").alias("_part"), F.min("first").over(whole).alias("gid"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("_shift"), F.sum("many").over(whole).alias("n"))
+    cells = cut(cells)
+    few = F.broadcast(cells) if cells.count() <= 100_000 else cells
+    met = placed.join(few, (F.col(group).eqNullSafe(F.col("_group"))) & (F.shiftright("at", 33) == F.col("_part")))
+    return met.withColumn("idx", F.col("at") + F.col("_shift")).drop("at", "_group", "_part", "_shift"), path
+
+
 BATCH_ROWS = 1000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
