@@ -54,3 +54,14 @@ fold AS (SELECT l.tree, l.idx, list_reduce(list_prepend({{'before': l.found, 'af
 SELECT l.doc_id, l.leaf, sub.subroot, fin.root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.folded AS folded_root, f.folded = fin.root AS verified
 FROM l JOIN sub USING (tree) JOIN fin ON true JOIN fold f ON f.tree = l.tree AND f.idx = l.idx LEFT JOIN path p ON p.tree = l.tree AND p.place = l.idx
 """
+
+NEGATIVES_SQL = """
+WITH e AS (SELECT vec_id::BIGINT AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from volpanel.llm.fingerprints import fingerprints
 from volpanel.llm.frames import table
+from volpanel.llm.hard_negatives import mined, relabelled
 from volpanel.llm.jaccard_join import linked
 from volpanel.llm.language_id import language_of
 from volpanel.llm.licenses import licenses_of
 from volpanel.llm.merkle import audited
 from volpanel.llm.mixing import mixture
 from volpanel.llm.mpeg_audio import media_of
-from volpanel.llm.oracles import MERKLE_SQL
+from volpanel.llm.oracles import MERKLE_SQL, NEGATIVES_SQL
 from volpanel.llm.secrets import secrets_of
 from volpanel.llm.sentencepiece_fst import tokens_of
 from volpanel.llm.toxicity import toxicity_of
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mpeg_audio": lambda spark, d: media_of(table(spark, d, "documents")),
     "op8_warc": lambda spark, d: round_trip(table(spark, d, "pages")),
     "op11_merkle": lambda spark, d: audited(table(spark, d, "documents")),
+    "op12_hard_negatives": lambda spark, d: mined(relabelled(table(spark, d, "embeddings"))),
 }
 
 MIX_SQL = """
@@ -65,4 +67,4 @@ SELECT page_id, payload_bytes,
 FROM k
 """
 
-ORACLES: dict[str, str] = {"op2_source_mix": MIX_SQL, "op8_warc": WARC_SQL, "op11_merkle": MERKLE_SQL}
+ORACLES: dict[str, str] = {"op2_source_mix": MIX_SQL, "op8_warc": WARC_SQL, "op11_merkle": MERKLE_SQL, "op12_hard_negatives": NEGATIVES_SQL}
