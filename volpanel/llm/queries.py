@@ -16,6 +16,7 @@ from volpanel.llm.merkle import audited
 from volpanel.llm.mixing import mixture
 from volpanel.llm.mpeg_audio import media_of
 from volpanel.llm.oracles import MERKLE_SQL, NEGATIVES_SQL
+from volpanel.llm.run_length_index import removed_of
 from volpanel.llm.secrets import secrets_of
 from volpanel.llm.sentencepiece_fst import tokens_of
 from volpanel.llm.toxicity import toxicity_of
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mpeg_audio": lambda spark, d: media_of(table(spark, d, "documents")),
     "op8_warc": lambda spark, d: round_trip(table(spark, d, "pages")),
     "op11_merkle": lambda spark, d: audited(table(spark, d, "documents")),
+    "op13_run_length_dedup": lambda spark, d: removed_of(table(spark, d, "documents")),
     "op12_hard_negatives": lambda spark, d: mined(relabelled(table(spark, d, "embeddings"))),
 }
 
