@@ -73,13 +73,15 @@ def grid(model: str, variance: float) -> np.ndarray:
     return np.array(out)
 
 
-def maximise(r: np.ndarray, model: str, rounds: int = 60) -> tuple[np.ndarray, float, bool]:
-    """Parameters of the greatest likelihood: the best of a grid, then shrinking pattern search.
+def maximise(r: np.ndarray, model: str, rounds: int = 60, known: np.ndarray | None = None) -> tuple[np.ndarray, float, bool]:
+    """Parameters of the greatest likelihood: the best of a grid (and of ``known`` ones), then shrinking pattern search.
 
     All moves of a round are scored at once; the parameters never score below the grid.
     """
     start = float(np.mean(r**2)) or 1e-12
     starts = grid(model, start)
+    if known is not None:
+        starts = np.concatenate([starts, known[None]])
     values = log_likelihood(starts, r, model, start)
     best, value = starts[values.argmax()], float(values.max())
     step = np.maximum(np.abs(best) * 0.25, 0.02)

@@ -291,3 +291,34 @@ def _wide(sql: str) -> str:
 ORACLES["lookback_grid_all"] = _with(*V, then=" UNION ALL ".join(f"SELECT asset, {k} AS lookback, '{m}' AS model, round(avg(e), 5) AS mean_rmse FROM (SELECT asset, date, {_rmse(m, k)} AS e FROM paths) WHERE date >= {OOS} GROUP BY asset" for k in (30, 60, 90) for m in MODELS))
 WIDE = ("log_returns", "oos_table", "inverse_rmse_ensemble", "forecast_metrics", "gating_features", "time_split", "gate_fixed")
 ORACLES |= {f"wide_{name}": _wide(ORACLES[name]) for name in WIDE}
+
+
+def _confidence(models: tuple[str, ...], block: int = 12, resamples: int = 200) -> str:
+    """Blocks drawn by the same hashes, and the elimination as one table a round."""
+    index = range(len(models))
+    squares = ", ".join(f"({m} - realized_var_proxy) * ({m} - realized_var_proxy) AS l_{i}" for i, m in enumerate(models))
+    parts = [
+        f"loss AS (SELECT asset, t - min(t) OVER (PARTITION BY asset) + 1 AS t, {squares} FROM ens)",
+        f"mean AS (SELECT asset, count(*) AS n, {', '.join(f'avg(l_{i}) AS m_{i}' for i in index)} FROM loss GROUP BY asset HAVING count(*) >= {block})",
+        f"sums AS (SELECT asset, t, {', '.join(f'sum(l_{i}) OVER w AS s_{i}' for i in index)} FROM loss WINDOW w AS (PARTITION BY asset ORDER BY t ROWS BETWEEN {block - 1} PRECEDING AND CURRENT ROW))",
+        f"draws AS (SELECT asset, n, resample, k, ('0x' || substr(md5(asset || '|' || resample || '|' || k), 1, 12))::BIGINT % (n - {block} + 1) + {block} AS t FROM mean, (SELECT unnest(range(1, {resamples + 1})) AS resample), LATERAL (SELECT unnest(range(1, ceil(n / {block})::BIGINT + 1)) AS k))",
+        f"round0 AS (SELECT asset, resample, {', '.join(f'sum(s_{i}) / (count(*) * {block}) AS b_{i}, any_value(m_{i}) AS m_{i}, true AS a_{i}, 1.0::DOUBLE AS p_{i}, NULL::INTEGER AS r_{i}' for i in index)}, 0.0::DOUBLE AS p, any_value(mean.n) AS n FROM draws JOIN sums USING (asset, t) JOIN mean USING (asset) GROUP BY asset, resample)",
+    ]
+    for k in range(1, len(models)):
+        left = " + ".join(f"a_{i}::INTEGER" for i in index)
+        over = {x: "(" + " + ".join(f"CASE WHEN a_{i} THEN {x}_{i} ELSE 0 END" for i in index) + f") / ({left})" for x in "mb"}
+        worst, star = (f"greatest({', '.join(f'CASE WHEN a_{i} THEN (CASE WHEN v_{i} > 0 THEN {x}_{i} / v_{i} ELSE 0 END) END' for i in index)})" for x in "de")
+        keep = ", ".join(f"b_{i}, m_{i}" for i in index)
+        goes = "CASE " + " ".join(f"WHEN a_{i} AND (CASE WHEN v_{i} > 0 THEN d_{i} / v_{i} ELSE 0 END) = worst THEN {i}" for i in index) + " END"
+        parts += [
+            f"c{k} AS (SELECT *, {', '.join(f'm_{i} - {over["m"]} AS d_{i}, b_{i} - {over["b"]} - m_{i} + {over["m"]} AS e_{i}' for i in index)} FROM round{k - 1})",
+            f"v{k} AS (SELECT *, {', '.join(f'sqrt(avg(e_{i} * e_{i}) OVER (PARTITION BY asset)) AS v_{i}' for i in index)} FROM c{k})",
+            f"t{k} AS (SELECT *, {worst} AS worst, {star} AS star FROM v{k})",
+            f"g{k} AS (SELECT *, greatest(p, avg((star >= worst)::INTEGER) OVER (PARTITION BY asset)) AS q, {goes} AS goes FROM t{k})",
+            f"round{k} AS (SELECT asset, resample, n, {keep}, {', '.join(f'a_{i} AND goes <> {i} AS a_{i}, CASE WHEN goes = {i} THEN q ELSE p_{i} END AS p_{i}, CASE WHEN goes = {i} THEN {k} ELSE r_{i} END AS r_{i}' for i in index)}, q AS p FROM g{k})",
+        ]
+    last = len(models) - 1
+    return _with(*V, TRAIL, ENSEMBLE, *parts, then=" UNION ALL ".join(f"SELECT asset, n, '{m}' AS model, round(m_{i}, 5) AS mean_loss, round(p_{i}, 5) AS p_value, r_{i} AS round, p_{i} >= 0.10 AS in_set FROM round{last} WHERE resample = 1" for i, m in enumerate(models)))
+
+
+ORACLES["model_confidence_set"] = _confidence((*MODELS, "static_ensemble_variance"))

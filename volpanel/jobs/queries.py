@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volpanel.operators import ensemble, features, fit, forecast, gate, leakage, metrics, prep, quality, recursion, research
+from volpanel.operators import confidence, ensemble, features, fit, forecast, gate, leakage, metrics, prep, quality, recursion, research, rolling
 from volpanel.sources import bars as source
 from volpanel.sources.schema import DIMENSION, FEATURES, MODELS, TARGETS, Calendar, Parameters
 from volpanel.streaming import walk_forward
@@ -169,6 +169,12 @@ def losses(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("asset", "t", *(((F.col(m) - F.col("realized_var_proxy")) * (F.col(m) - F.col("realized_var_proxy"))).alias(m) for m in MODELS))
 
 
+def ensemble_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Squared errors of the four models and of their ensemble."""
+    rows = combined(spark, d)
+    return rows.select("asset", "t", *(((F.col(m) - F.col("realized_var_proxy")) * (F.col(m) - F.col("realized_var_proxy"))).alias(m) for m in ENSEMBLE))
+
+
 def _gate_build(p: DataFrame) -> DataFrame:
     """Gate output along a panel, from weights that the scaler of the unperturbed train split fixes."""
     v = recursion.variance_paths(p, OOS, FROZEN)
@@ -303,6 +309,9 @@ QUERIES: dict[str, Query] = {
     # studies
     "diebold_mariano": lambda s, d: rounded(research.diebold_mariano(losses(s, d), "ewma", "garch"), 4),
     "var_backtest": lambda s, d: rounded(research.var_backtest(ensemble.out_of_sample(affine(s, d), OOS), "garch"), 5),
+    "model_confidence_set": lambda s, d: rounded(confidence.confidence_set(ensemble_losses(s, d), ENSEMBLE), 5),
+    "rolling_refits": lambda s, d: rolling.refits(panel(s, d)).select("asset", "model", "refit", "refit_date", "omega", "alpha", "beta", "log_likelihood", "n_rows", "converged", "status"),
+    "rolling_forecasts": lambda s, d: rolling.forecasts(rolling.refits(panel(s, d))),
     "lookback_grid": lambda s, d: rounded(research.lookback_grid(affine(s, d).withColumns({"egarch": F.lit(None).cast("double")}), OOS), 5),
     "lookback_grid_all": lambda s, d: rounded(research.lookback_grid(paths(s, d), OOS, models=MODELS), 5),
     "regime_losses": lambda s, d: rounded((lambda p: research.regime_losses(features.gating_features(p, OOS), forecast.oos_table(p, OOS), MODELS))(paths(s, d)), 5),
