@@ -69,7 +69,10 @@ GATE = (
     "scale AS MATERIALIZED (SELECT *, CASE WHEN raw IS NULL OR raw < 1e-8 THEN 1.0 ELSE raw END AS std, (raw IS NULL OR raw < 1e-8) AS fallback FROM scaler), "
     "scaled AS (SELECT g.* EXCLUDE (" + ", ".join(SCALED) + "), " + ", ".join(f"(g.{f} - s{i}.mean) / s{i}.std AS {f}" for i, f in enumerate(SCALED)) + " FROM gate g "
     + " ".join(f"JOIN scale s{i} ON s{i}.asset = g.asset AND s{i}.feature = '{f}'" for i, f in enumerate(SCALED)) + "), "
-    "gated AS MATERIALIZED (SELECT *, " + ", ".join(f"exp(-0.5 * {m}_rmse_60) / (" + " + ".join(f"exp(-0.5 * {x}_rmse_60)" for x in MODELS) + f") AS {m}_neural_weight" for m in MODELS) + " FROM scaled), "
+    "units AS (SELECT *, list_transform(range(0, 172), lambda i: (((i * 37 + length(asset) * 11) % 29) - 14) / 40.0::DOUBLE) AS w, [" + ", ".join(f"{f}::DOUBLE" for f in FEATURE_NAMES) + "] AS x FROM scaled), "
+    "hidden AS (SELECT *, list_transform(range(0, 12), lambda j: greatest(w[109 + j] + list_dot_product(x, w[9 * j + 1 : 9 * j + 9]), 0)) AS h FROM units), "
+    "logits AS (SELECT *, list_transform(range(0, 4), lambda j: w[169 + j] + list_dot_product(h, w[121 + 12 * j : 132 + 12 * j])) AS z FROM hidden), "
+    "gated AS MATERIALIZED (SELECT * EXCLUDE (w, x, h, z), " + ", ".join(f"exp(z[{i + 1}]) / (" + " + ".join(f"exp(z[{k}])" for k in range(1, 5)) + f") AS {m}_neural_weight" for i, m in enumerate(MODELS)) + " FROM logits), "
     "gate_out AS (SELECT *, " + " + ".join(f"{m}_neural_weight * {m}" for m in MODELS) + " AS neural_ensemble_variance FROM gated)"
 )
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,9 +46,10 @@ def scaled(table: DataFrame, scalers: DataFrame) -> DataFrame:
 
 
 def unpacked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and biases of both layers; a unit's own weights lie together, so that expressions can slice them."""
     n, m = len(FEATURES), len(MODELS)
     a, b = n * HIDDEN, n * HIDDEN + HIDDEN
-    return w[:a].reshape(n, HIDDEN), w[a:b], w[b : b + HIDDEN * m].reshape(HIDDEN, m), w[b + HIDDEN * m :]
+    return w[:a].reshape(HIDDEN, n).T, w[a:b], w[b : b + HIDDEN * m].reshape(m, HIDDEN).T, w[b + HIDDEN * m :]
 
 
 def gate_weights(w: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def loss_and_gradient(w: np.ndarray, x: np.ndarray, f: np.ndarray, y: np.ndarray
     dv = np.where(raw > TINY, (1 / v - t / v**2) / len(y), 0.0)
     dz = p * (f - raw[:, None]) * dv[:, None]
     dh = (dz @ w2.T) * (h > 0)
-    return loss, np.concatenate([(x.T @ dh).ravel(), dh.sum(0), (on.T @ dz).ravel(), dz.sum(0)])
+    return loss, np.concatenate([(dh.T @ x).ravel(), dh.sum(0), (dz.T @ on).ravel(), dz.sum(0)])
 
 
 def train_one(asset: str, rows: pd.DataFrame, epochs: int, patience: int, rate: float = 1e-3, decay: float = 1e-4, batch: int = 32) -> tuple[np.ndarray, list[tuple]]:
@@ -136,33 +136,34 @@ def best_epochs(trained: DataFrame) -> DataFrame:
     return long.groupBy("asset").agg(F.min_by("epoch", F.struct("val_loss", "epoch")).alias("best_epoch"), F.max("epoch").alias("last_epoch"), F.min("val_loss").alias("best_val_loss"))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _layer(inputs: Column, n: int, weights: Column, start: int, units: int) -> Column:
+    """Outputs of a layer: each unit's own weights from ``start`` on, then all biases."""
+    bias = start + n * units
+    return F.transform(F.sequence(F.lit(0), F.lit(units - 1)), lambda j: F.get(weights, F.lit(bias) + j) + _dot(inputs, F.slice(weights, F.lit(start + 1) + j * n, F.lit(n))))
+
+
 def predict(table: DataFrame, trained: DataFrame) -> DataFrame:
-    """Weights and gated variance of every row: the asset's model is joined, the rows are scored in batches."""
-    names = [f"{m}_neural_weight" for m in MODELS]
+    """Weights and gated variance of every row by the network of its asset (asset, weights).
+
+    One hidden layer of rectified units, then softmax, as array expressions: no Python, and
+    the table of weights, one row an asset, is the small side of the join.
+    """
     keep = ["asset", "date", "split", "log_return", *TARGETS, *MODELS]
-    kinds = dict(table.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", " + ", ".join(f"{c} double" for c in [*names, "neural_ensemble_variance", "neural_ensemble_volatility"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            p = np.empty((len(rows), len(MODELS)))
-            x = rows[list(FEATURES)].to_numpy(np.float64)
-            for _, at in rows.groupby("asset").indices.items():
-                p[at] = gate_weights(np.asarray(rows["weights"].iloc[at[0]], np.float64), x[at])
-            variance = (p * rows[list(MODELS)].to_numpy(np.float64)).sum(1)
-            yield rows[keep].assign(**dict(zip(names, p.T, strict=True)), neural_ensemble_variance=variance, neural_ensemble_volatility=np.sqrt(variance))
-
-    return table.join(trained.select("asset", "weights"), "asset").mapInPandas(run, schema)
-
-
-def linear_gate(table: DataFrame, slope: float = 0.5) -> DataFrame:
-    """A gate with fixed weights as pure expressions: softmax of minus ``slope`` times each scaled trailing error."""
-    least = F.least(*(F.col(f"{m}_rmse_60") for m in MODELS))
-    logits = {m: F.exp(-slope * (F.col(f"{m}_rmse_60") - least)) for m in MODELS}
-    total = logits["ewma"] + logits["garch"] + logits["egarch"] + logits["gjr_garch"]
-    out = table.select("*", *((x / total).alias(f"{m}_neural_weight") for m, x in logits.items()))
+    x = F.array(*(F.col(f).cast("double") for f in FEATURES))
+    n, first = len(FEATURES), len(FEATURES) * HIDDEN + HIDDEN
+    rows = table.select(*(c for c in keep if c in table.columns), x.alias("_x")).join(trained.select("asset", F.col("weights").alias("_w")), "asset")
+    rows = rows.withColumn("_h", F.transform(_layer(F.col("_x"), n, F.col("_w"), 0, HIDDEN), lambda v: F.greatest(v, F.lit(0.0))))
+    rows = rows.withColumn("_z", _layer(F.col("_h"), HIDDEN, F.col("_w"), first, len(MODELS)))
+    rows = rows.withColumn("_e", F.transform("_z", lambda v: F.exp(v - F.array_max("_z"))))
+    rows = rows.withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda total, v: total + v))
+    rows = rows.withColumns({f"{m}_neural_weight": F.get("_e", F.lit(i)) / F.col("_t") for i, m in enumerate(MODELS)})
     variance = sum((F.col(f"{m}_neural_weight") * F.col(m) for m in MODELS[1:]), F.col("ewma_neural_weight") * F.col("ewma"))
-    return out.withColumn("neural_ensemble_variance", variance).withColumn("neural_ensemble_volatility", F.sqrt(variance))
+    rows = rows.withColumn("neural_ensemble_variance", variance).withColumn("neural_ensemble_volatility", F.sqrt("neural_ensemble_variance"))
+    return rows.drop("_x", "_w", "_h", "_z", "_e", "_t")
 
 
 def summary(predictions: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""One-step variance recursions: affine ones as a distributed scan, EGARCH as an ordered stream."""
+"""One-step variance recursions: affine ones as a distributed scan, EGARCH by Newton steps over blocks."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volpanel.functions.kernels import egarch_step
-from volpanel.operators.blocks import by_block, own_rows, with_halo
+from volpanel.functions.kernels import LOG_BOTTOM, LOG_TOP, egarch_step
+from volpanel.operators.blocks import BLOCK_ROWS, by_block, own_rows, with_halo
+from volpanel.session import written
 from volpanel.sources.schema import MODELS, Parameters
 
 LN_SCALE = math.log(1e4)
@@ -99,28 +100,78 @@ def affine_paths(panel: DataFrame, oos: str, p: Parameters) -> DataFrame:
     return affine_scan(_with_terms(panel, oos, p), ["asset"], solves, longest).drop("_ewma", "_garch", "_gjr")
 
 
-def egarch_path(panel: DataFrame, oos: str, p: Parameters) -> DataFrame:
-    """(asset, t, egarch): the EGARCH recursion, which is not affine and needs an asset's rows in order.
+def _egarch_run(state: float, before: np.ndarray, theta: tuple[float, ...], first: bool) -> tuple[np.ndarray, float]:
+    """Log variances of a block from the state before it, and how the last one changes with that state.
 
-    Assets are dealt to tasks and sorted there; the kernel streams batches with one number
-    of state, so memory does not grow with the length of an asset.
+    ``before`` are the returns just before each row; the asset's ``first`` row is the state itself.
     """
-    ready = panel.join(seeds(panel, oos), "asset").select("asset", "t", "log_return", "seed").repartition("asset").sortWithinPartitions("asset", "t")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asset, log_variance, before = None, 0.0, 0.0
-        for batch in batches:
-            out = np.empty(len(batch))
-            for i, (name, r, seed) in enumerate(zip(batch["asset"], batch["log_return"], batch["seed"], strict=True)):
-                if name != asset:
-                    asset, log_variance = name, math.log(max(seed, 1e-300) * 1e4)
-                else:
-                    log_variance = egarch_step(log_variance, before, *p.egarch)
-                out[i] = math.exp(log_variance) / 1e4
-                before = r
-            yield batch[["asset", "t"]].assign(egarch=out)
-
-    return ready.mapInPandas(run, "asset string, t long, egarch double")
+    omega, alpha, gamma, beta = theta
+    out, slope = np.empty(len(before)), 1.0
+    for i, r in enumerate(before.tolist()):
+        if not (first and i == 0):
+            z = 100.0 * r / math.exp(0.5 * state)
+            new = egarch_step(state, r, omega, alpha, gamma, beta)
+            slope *= beta - 0.5 * (alpha * abs(z) + gamma * z) if LOG_BOTTOM < new < LOG_TOP else 0.0
+            state = new
+        out[i] = state
+    return out, slope
+
+
+def egarch_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS, tolerance: float = 1e-12) -> DataFrame:
+    """(asset, t, egarch) of ``rows`` (asset, t, log_return, seed, _e0 .. _e3), the EGARCH recursion in parallel along time.
+
+    The recursion is not affine, so it is solved by Newton's method over blocks (multiple
+    shooting): all blocks run at once from guesses of the states between them and give,
+    besides their last state, its derivative by the first.  Each guess then moves to what the
+    block before gives, corrected by that derivative, until none moves.  Blocks forget where they
+    began, so two or three passes do; as many as there are blocks are always enough.  No
+    task holds more of an asset than a block.  A null parameter gives null variances.
+    """
+    back = with_halo(rows, 1, block_rows)
+    ready = own_rows(back.withColumn("_before", F.lag("log_return").over(by_block()))).withColumn("block", F.floor((F.col("t") - 1) / block_rows).cast("long"))
+    ready = ready.withColumn("_start", F.ln(F.greatest("seed", F.lit(1e-300)) * 1e4)).select("asset", "block", "t", "_before", "_start", "_e0", "_e1", "_e2", "_e3")
+    states = ready.groupBy("asset", "block").agg(F.first("_start").alias("guess"))
+
+    def shoot(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, float]:
+        rows = rows.sort_values("t")
+        theta = tuple(rows[["_e0", "_e1", "_e2", "_e3"]].iloc[0].astype(float))
+        if any(x != x for x in theta):
+            return rows, np.full(len(rows), np.nan), 0.0
+        values, slope = _egarch_run(float(rows["guess"].iloc[0]), rows["_before"].to_numpy(float), theta, rows["t"].iloc[0] == 1)
+        return rows, values, slope
+
+    def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, values, slope = shoot(rows)
+        return pd.DataFrame([(*key, float(rows["guess"].iloc[0]), values[-1], slope)], columns=["asset", "block", "guess", "last", "slope"])
+
+    def path(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, values, _ = shoot(rows)
+        return rows[["asset", "t"]].assign(egarch=np.exp(values) / 1e4)
+
+    last_block = ready.agg(F.max("block")).first()[0] or 0
+    if last_block:
+        ready = written(ready)
+        states = written(states)
+    for _ in range(last_block + 1 if last_block else 0):
+        shot = written(ready.join(states, ["asset", "block"]).groupBy("asset", "block").applyInPandas(ends, "asset string, block long, guess double, last double, slope double"))
+        one = shot.select("asset", (F.col("block") + 1).alias("block"), "last", "slope", F.col("guess").alias("from"))
+        two = shot.select("asset", (F.col("block") + 2).alias("block"), F.col("last").alias("ahead"))
+        met = shot.select("asset", "block", "guess").join(one, ["asset", "block"], "left").join(two, ["asset", "block"], "left")
+        # Of the first block the state is known; the second's correction is none, since the first does not move.
+        moved = F.col("last") + F.when((F.col("slope") != 0) & F.col("ahead").isNotNull(), F.col("slope") * (F.col("ahead") - F.col("from"))).otherwise(0.0)
+        states = written(met.select("asset", "block", F.col("guess").alias("old"), F.coalesce(F.when(~F.isnan("last"), moved), "guess").alias("guess")))
+        change = states.agg(F.max(F.abs(F.col("guess") - F.col("old")) / F.greatest(F.abs("guess"), F.lit(1.0)))).first()[0]
+        states = states.drop("old")
+        if change is None or change <= tolerance:
+            break
+    solved = ready.join(states, ["asset", "block"]).groupBy("asset", "block").applyInPandas(path, "asset string, t long, egarch double")
+    return solved.withColumn("egarch", F.when(~F.isnan("egarch"), F.col("egarch")))
+
+
+def egarch_path(panel: DataFrame, oos: str, p: Parameters, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(asset, t, egarch) under one set of parameters, which is not affine: see :func:`egarch_blocks`."""
+    rows = panel.join(seeds(panel, oos), "asset").select("asset", "t", "log_return", "seed", *(F.lit(x).alias(f"_e{i}") for i, x in enumerate(p.egarch)))
+    return egarch_blocks(rows, block_rows)
 
 
 def variance_paths(panel: DataFrame, oos: str, p: Parameters) -> DataFrame:
@@ -235,7 +286,7 @@ def fitted_paths(panel: DataFrame, oos: str, table: DataFrame) -> DataFrame:
     for name, term in terms.items():
         ahead = ahead.withColumn(name, term)
     solves = {"ewma": ("_lam", "_ewma", "seed"), "garch": ("_g2", "_garch", "seed"), "gjr_garch": ("_j3", "_gjr", "seed")}
-    scanned = affine_scan(own_rows(ahead), ["asset"], solves, longest).join(_loops(sure, ("egarch",)), ["asset", "t"]).select(*names)
+    scanned = affine_scan(own_rows(ahead), ["asset"], solves, longest).join(egarch_blocks(sure), ["asset", "t"]).select(*names)
     looped = every.where("NOT _sure").drop(*MODELS)
     looped = looped.join(_loops(looped, ("ewma", "garch", "gjr_garch", "egarch")), ["asset", "t"]).select(*names)
     return scanned.unionByName(looped)
