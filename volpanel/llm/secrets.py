@@ -322,49 +322,64 @@ def fit(docs: DataFrame, max_docs: int = 12000, max_examples: int = 8000, rounds
 
 
 def train(data: list[bytes], rounds: int = 150) -> dict:
-    """Weights of the features and moves from windows of codes and labels."""
+    """Weights of the features and moves from windows of codes and labels.
+
+    Tokens of equal codes have equal scores, so scores and gradients are made once for each
+    distinct token; forward and backward sums are scaled probabilities, of all windows at once.
+    """
     width = len(CODES)
     n = len(data)
-    x, y, live = np.zeros((n, WINDOW, width), np.int64), np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), bool)
-    for i, row in enumerate(data):
-        size = len(row) // (width + 1)
-        x[i, :size] = np.frombuffer(row, np.uint8, size * width).reshape(size, width)
-        y[i, :size] = np.frombuffer(row, np.int8, size, size * width)
-        live[i, :size] = True
-    x += OFFSETS
     total = int(sum(CODES))
     weights, moves = np.zeros((total, 3)), np.zeros((3, 3))
-    barred = np.zeros((3, 3))
-    barred[OUTSIDE, INSIDE] = NEVER
-    if n == 0 or not y.any():
+    allowed = np.ones((3, 3))
+    allowed[OUTSIDE, INSIDE] = 0.0
+    barred = np.where(allowed > 0, 0.0, NEVER)
+    size = np.array([len(row) // (width + 1) for row in data], np.int64)
+    y = np.zeros((n, WINDOW), np.int64)
+    live = np.arange(WINDOW) < size[:, None]
+    y[live] = np.concatenate([np.frombuffer(row, np.int8, k, k * width) for row, k in zip(data, size.tolist(), strict=True)]) if n else 0
+    if not y.any():
         weights[:, OUTSIDE] = 1.0
         return {"weights": weights.astype(np.float32), "moves": moves + barred}
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, moves)]
-    gold_w, gold_m = np.zeros_like(weights), np.zeros_like(moves)
-    one = np.eye(3)[y] * live[..., None]
-    flat = x[live]
-    for f in range(width):
-        np.add.at(gold_w, flat[:, f], one[live])
+    tokens = np.concatenate([np.frombuffer(row, np.uint8, k * width).reshape(k, width) for row, k in zip(data, size.tolist(), strict=True)])
+    distinct, which = np.unique(np.ascontiguousarray(tokens).view(f"V{width}").ravel(), return_inverse=True)
+    codes = distinct.view(np.uint8).reshape(-1, width).astype(np.int64) + OFFSETS
+    none = len(codes)  # stands for the places behind a short window
+    of = np.full((n, WINDOW), none)
+    of[live] = which
+
+    def by_feature(per_token: np.ndarray) -> np.ndarray:
+        return sum(np.stack([np.bincount(codes[:, f], per_token[:, label], minlength=total) for label in range(3)], 1) for f in range(width))
+
+    def by_token(per_place: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(of.ravel(), per_place[..., label].ravel(), minlength=none + 1)[:none] for label in range(3)], 1)
+
+    gold_w = by_feature(by_token(np.eye(3)[y] * live[..., None]))
+    gold_m = np.zeros((3, 3))
     np.add.at(gold_m, (y[:, :-1][live[:, 1:]], y[:, 1:][live[:, 1:]]), 1)
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, moves)]
     for step in range(1, rounds + 1):
-        score = weights[x].sum(2)
-        ahead, behind = np.zeros((n, WINDOW, 3)), np.zeros((n, WINDOW, 3))
-        ahead[:, 0] = score[:, 0] + np.array([0.0, 0.0, NEVER])
-        m = moves + barred
-        for k in range(1, WINDOW):
-            ahead[:, k] = np.where(live[:, k, None], np.logaddexp.reduce(ahead[:, k - 1, :, None] + m, 1) + score[:, k], ahead[:, k - 1])
-        for k in range(WINDOW - 2, -1, -1):
-            behind[:, k] = np.where(live[:, k + 1, None], np.logaddexp.reduce(m + (score[:, k + 1] + behind[:, k + 1])[:, None, :], 2), 0)
-        norm = np.logaddexp.reduce(ahead[:, -1], 1)[:, None, None]
-        gone = np.exp(np.minimum(ahead + behind - norm, 0)) * live[..., None]
-        model_w, model_m = np.zeros_like(weights), np.zeros_like(moves)
-        for f in range(width):
-            for label in range(3):
-                model_w[:, label] += np.bincount(flat[:, f], gone[live][:, label], minlength=total)
-        for k in range(1, WINDOW):
-            on = live[:, k]
-            both = ahead[on, k - 1, :, None] + m + (score[on, k] + behind[on, k])[:, None, :] - norm[on]
-            model_m += np.exp(np.minimum(both, 0)).sum(0)
+        score = sum(weights[codes[:, f]] for f in range(width))
+        push = np.concatenate([np.exp(score - score.max(1, keepdims=True)), np.ones((1, 3))])[of]
+        move = np.exp(moves) * allowed
+        ahead, scale = np.empty((WINDOW, n, 3)), np.ones((WINDOW, n, 1))
+        value = push[:, 0] * np.array([1.0, 1.0, 0.0])
+        for k in range(WINDOW):
+            if k:
+                value = np.where(live[:, k, None], (ahead[k - 1] @ move) * push[:, k], ahead[k - 1])
+            scale[k] = np.maximum(value.sum(1, keepdims=True), 1e-300)
+            ahead[k] = value / scale[k]
+        gone, model_m = np.empty((n, WINDOW, 3)), np.zeros((3, 3))
+        behind = np.ones((n, 3))
+        for k in range(WINDOW - 1, -1, -1):
+            gone[:, k] = ahead[k] * behind
+            if k:
+                on = live[:, k, None]
+                weight = np.where(on, push[:, k] * behind / scale[k], 0.0)
+                model_m += move * (ahead[k - 1].T @ weight)
+                behind = np.where(on, weight @ move.T, 1.0)
+        gone *= live[..., None] / np.maximum(gone.sum(2, keepdims=True), 1e-300)
+        model_w = by_feature(by_token(gone))
         for p, grad, (mean, square) in zip((weights, moves), ((gold_w - model_w) / n - 1e-4 * weights, (gold_m - model_m) / n - 1e-4 * moves), state, strict=True):
             mean += 0.1 * (grad - mean)
             square += 0.01 * (grad * grad - square)
