@@ -28,11 +28,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KEYWORDS = ("passw", "secret", "token", "api")
-CUES = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "pwd", "private")
+CUES = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "basic", "credential", "pwd", "private")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "xoxb", "AIza", "eyJh", "sk_l", "-----")
 
 OUTSIDE, BEGIN, INSIDE = range(3)
 WINDOW = 8
+INVENTED = 4
 NEVER = -1e6
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -247,30 +248,44 @@ ALPHABETS = (DIGITS + LOWER + UPPER, DIGITS + LOWER + UPPER + "+/", DIGITS + UPP
 SEPARATORS = (' = "', ": ", "=", " is ", " ", " => '", '": "', " := ")
 
 
-HARMLESS = ("{0}-{1:02d}-{2:02d}", "{1}.{2}.{0}.{2}", "555-{1:03d}-{0}", "user.{0}@mail.example.com", "v{1}.{2}.{0}-beta{1}", "https://www.example.com/en/{0}", "{0},{1}00.{2}", "{0}{1:02d}{2:02d}T{1:02d}{2:02d}00")
+#: Of year, month, day, mixed letters and digits, hexadecimal digits.
+HARMLESS = (
+    "item?id={3}", "watch?v={3}&t={2}", "https://www.example.com/{3}", "IMG_{0}{1:02d}{2:02d}_{0}{2:02d}.jpg", "scan{0}_{1}.pdf", "commit {4}", "build {3}", "ref={3}", "order {0}{2:02d}{0}", "{0}-{1:02d}-{2:02d}T{1:02d}:{2:02d}:00Z",
+    "{0}-{1:02d}-{2:02d}", "{1}.{2}.{0}.{2}", "555-{1:03d}-{0}", "user.{0}@mail.example.com", "v{1}.{2}.{0}-beta{1}", "https://www.example.com/en/{0}", "{0},{1}00.{2}", "{0}{1:02d}{2:02d}T{1:02d}{2:02d}00",
+)
+URLS = ("postgres://app:", "mysql://root:", "https://user:", "amqp://worker1:", "redis://:")
+HOSTS = ("@db.example.com/main", "@10.0.0.7:5432", "@example.org", "@cache/0")
 
 
-def made_up(text: str) -> tuple[str, int, int] | None:
+def _drawn(draw: np.random.Generator, signs: str, least: int, most: int) -> str:
+    return "".join(signs[i] for i in draw.integers(len(signs), size=draw.integers(least, most)))
+
+
+def made_up(text: str, turn: int = 0) -> tuple[str, int, int] | None:
     """A stretch of a text with an invented secret in it, and the secret's span; the same on every run.
 
-    One time in three it is a date, address or number instead, and the span is empty.
+    One time in two it is a date, address or number instead, and the span is empty.
     """
     middle = text.find(" ", len(text) // 2)
     if middle < 0:
         return None
-    draw = np.random.default_rng(zlib.crc32(text.encode()))
-    if draw.integers(3) == 0:
-        value = HARMLESS[draw.integers(len(HARMLESS))].format(*(int(draw.integers(a, b)) for a, b in ((1000, 9999), (1, 12), (1, 28))))
+    draw = np.random.default_rng([zlib.crc32(text.encode()), turn] if turn else zlib.crc32(text.encode()))
+    if draw.integers(2) == 0:
+        numbers = [int(draw.integers(a, b)) for a, b in ((1000, 9999), (1, 12), (1, 28))]
+        value = HARMLESS[draw.integers(len(HARMLESS))].format(*numbers, _drawn(draw, ALPHABETS[0], 6, 13), _drawn(draw, ALPHABETS[3], 7, 9))
         return f"{text[max(0, middle - 120) : middle]} {value} {text[middle : middle + 120]}", 0, 0
-    signs = ALPHABETS[draw.integers(len(ALPHABETS))]
-    value = "".join(signs[i] for i in draw.integers(len(signs), size=draw.integers(16, 48)))
-    if draw.integers(8) == 0:
-        lead = "AKIA" + value[:16].upper() + " "
-        value, lead = lead[:-1], " "
-    else:
-        lead = f" {CUES[draw.integers(len(CUES))]}{SEPARATORS[draw.integers(len(SEPARATORS))]}"
+    value = _drawn(draw, ALPHABETS[draw.integers(len(ALPHABETS))], 16, 48)
+    lead, tail = f" {CUES[draw.integers(len(CUES))]}{SEPARATORS[draw.integers(len(SEPARATORS))]}", ""
+    sort = draw.integers(8)
+    if sort == 0:
+        prefix = PREFIXES[draw.integers(len(PREFIXES) - 1)]
+        value, lead = prefix + (value[:15].upper() if prefix in PREFIXES[:2] else _drawn(draw, ALPHABETS[0], 20, 40)), " "
+    elif sort < 3:  # a short one, as people choose them
+        value = _drawn(draw, ALPHABETS[4][:36], 7, 14) + str(draw.integers(100))
+    elif sort == 3:
+        value, lead, tail = _drawn(draw, ALPHABETS[0], 8, 20), f" {URLS[draw.integers(len(URLS))]}", HOSTS[draw.integers(len(HOSTS))]
     before, after = text[max(0, middle - 120) : middle] + lead, text[middle : middle + 120]
-    return before + value + ('"' if lead.endswith('"') else "") + after, len(before), len(before) + len(value)
+    return before + value + tail + ('"' if lead.endswith('"') else "") + after, len(before), len(before) + len(value)
 
 
 SORTS = ("plain", "token with digits", "secret")
@@ -280,11 +295,11 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of WINDOW tokens with their labels and sort: all that hold a secret, half of those with long
     tokens with digits, one plain one in 64.
 
-    Besides the texts themselves, each lends a stretch for an invented secret.
+    Besides the texts themselves, each lends a stretch for INVENTED invented secrets.
     """
     for (raw,) in K.texts_of(batches):
         texts = [x or "" for x in raw]
-        made = [m for m in map(made_up, texts) if m]
+        made = [m for x in texts for m in (made_up(x, turn) for turn in range(INVENTED)) if m]
         texts += [m[0] for m in made]
         t = _Tokens(texts)
         codes, free = _features(t)
@@ -395,6 +410,17 @@ def covered(start: int, end: int, spans: list[tuple[str, int, int]]) -> bool:
     return start >= end
 
 
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span of the field without the host of an address and without final stops, with the padding that belongs to it."""
+    host = text.find("@", start + 1, end)
+    if host > 0 and "://" in text[max(0, start - 40) : start]:
+        return start, host
+    while end > start + 1 and text[end - 1] in ".-":
+        end -= 1
+    padding = 2 - len(text[end : end + 2].lstrip("="))
+    return start, end + (padding if padding > 0 and text[end : end + 1] == "=" and (end - start + padding) % 4 == 0 else 0)
+
+
 def scan_texts(model: dict, raw: list[str | None]) -> tuple[list[list], list[list]]:
     """Base spans, and all spans (the base ones and the field's), text by text.
 
@@ -417,8 +443,7 @@ def scan_texts(model: dict, raw: list[str | None]) -> tuple[list[list], list[lis
                 e += 1
             i = int(t.owner[free[b]])
             start, end = int(t.starts[free[b]] - t.batch.starts[i]), int(t.ends[free[e]] - t.batch.starts[i])
-            while end > start + 1 and texts[i][end - 1] in ".-":
-                end -= 1
+            start, end = trimmed(texts[i], start, end)
             if not covered(start, end, base[i]):
                 every[i].append(("crf", start, end))
         for i in set(t.owner[free[begins]].tolist()):
