@@ -78,3 +78,42 @@ def test_probabilities_equal_a_plain_model_and_sum_to_one(spark):
             want = [(max(n - 1, 0) + weight * word[w][c]) / (sum(after.values()) + toxicity.STRENGTH) for w, n in after.items()]
             assert np.allclose(got[c], want, rtol=1e-5)
             assert abs(got[c].sum() - 1) < 1e-5
+
+
+def test_statistics_equal_plain_means():
+    draw = np.random.default_rng(3)
+    sizes = [0, 1, 2, 5, 40, 0, 9, 30]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    value = draw.normal(size=len(owner)) * 2
+    got = toxicity._passages(value, owner, len(sizes))
+    for i in range(len(sizes)):
+        v = value[owner == i].tolist()
+        if not v:
+            assert not got[i].any()
+            continue
+        want = [np.mean(v)]
+        want += [max(np.mean(v[j : j + k]) for j in range(len(v) - k + 1)) if len(v) >= k else np.mean(v) for k in toxicity.SPANS]
+        want += [np.mean(sorted(v)[::-1][:k]) for k in toxicity.BEST] + [sum(max(x - toxicity.CLEAR, 0) for x in v) / len(v) ** 0.5]
+        assert np.allclose(got[i], want)
+    assert toxicity._passages(np.zeros(0), np.zeros(0, np.int64), 2).tolist() == [[0.0] * toxicity.STATISTICS] * 2
+
+
+def test_the_setting_is_that_of_the_least_cross_validated_loss():
+    draw = np.random.default_rng(4)
+    y = (np.arange(400) % 5 == 0).astype(float)
+    means = draw.normal(size=(len(toxicity.GRID), 400, toxicity.STATISTICS))
+    means[5, :, 2] += 4 * y  # only here do the differences tell the classes apart
+    assert toxicity.chosen(means, np.full(400, 50.0), y) == 5
+
+
+def test_other_settings_sum_to_one_too(spark):
+    texts = [(i, f"{sentence(EN, i % 7, 30)} " + ("vilest vilely vile " * 3 if i % 4 == 0 else "calmest calmly "), int(i % 4 == 0)) for i in range(60)]
+    model = toxicity.fit(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, toxic int"))
+    words = sorted({w for _, text, _ in texts for w in re.findall(r"[^\W_]+", text.lower())})
+    hashed = [toxicity._pairs([w])[2] for w in words]
+    keys = [np.concatenate(k) for k in zip(*hashed, strict=True)]
+    for setting in toxicity.GRID:
+        for v in (words[0], "vile", "unseen"):
+            p = toxicity.probabilities(model, np.repeat(toxicity._pairs([v])[2][-1], len(words)), keys, setting)
+            assert (p >= 0).all() and (np.abs(p.sum(1) - 1) < 1e-5).all()
+    assert model["setting"] in toxicity.GRID
