@@ -325,3 +325,4 @@ def _confidence(models: tuple[str, ...], block: int = 12, resamples: int = 200)
 
 
 ORACLES["model_confidence_set"] = _confidence((*MODELS, "static_ensemble_variance"))
+ORACLES["stream_ticks_walk_forward"] = ORACLES["stream_walk_forward"]

@@ -12,6 +12,7 @@ from volpanel.operators import confidence, ensemble, features, fit, forecast, ga
 from volpanel.session import shared_dir, written
 from volpanel.sources import bars as source
 from volpanel.sources.schema import DIMENSION, FEATURES, MODELS, TARGETS, Calendar, Parameters
+from volpanel.streaming import bars as tick_stream
 from volpanel.streaming import walk_forward
 
 CALENDAR, FROZEN = Calendar(), Parameters()
@@ -174,6 +175,17 @@ def streamed(spark: SparkSession, d: str) -> DataFrame:
     return walk_forward.run_to_end(stream, FROZEN, folder)
 
 
+def streamed_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """From ticks up to five hours late, in eight micro-batches, to bars and on to forecasts, all as streams."""
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    late = F.col("ts").cast("timestamp") + F.make_interval(secs=F.pmod(F.xxhash64("seq"), F.lit(5 * 3600)))
+    ticks = tick_stream.replay(source.event_ticks(spark, d), f"{folder}/ticks", late)
+    made = tick_stream.run_to_end(tick_stream.bars(ticks), folder)
+    seeds = recursion.seeds(panel(spark, d), OOS)
+    seen = spark.readStream.schema("asset string, date timestamp_ntz, open double, high double, low double, close double").option("maxFilesPerTrigger", 8).parquet(made)
+    return walk_forward.run_to_end(seen.join(F.broadcast(seeds), "asset").select("asset", "date", "close", "seed"), FROZEN, folder)
+
+
 def trained_on(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scaled rows, and the networks trained on them, written once: a row an asset."""
     ready = gate.scaled(rows, gate.scaler(rows))
@@ -358,4 +370,5 @@ QUERIES: dict[str, Query] = {
     "wide_gate_fixed": lambda s, d: rounded(gated(wide_gate(s, d)).select("asset", "date", *(f"{m}_neural_weight" for m in MODELS), "neural_ensemble_variance"), 5),
     # streaming
     "stream_walk_forward": lambda s, d: rounded(ensemble.out_of_sample(streamed(s, d), OOS).select("asset", "date", *MODELS, "static_ensemble_variance")),
+    "stream_ticks_walk_forward": lambda s, d: rounded(ensemble.out_of_sample(streamed_ticks(s, d), OOS).select("asset", "date", *MODELS, "static_ensemble_variance")),
 }

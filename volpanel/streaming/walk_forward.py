@@ -13,7 +13,7 @@ from volpanel.functions.kernels import egarch_step
 from volpanel.sources.schema import MODELS, Parameters
 
 OUT = "asset string, date timestamp_ntz, log_return double, ewma double, garch double, egarch double, gjr_garch double, static_ensemble_variance double"
-STATE = "date timestamp_ntz, r double, ewma double, garch double, logv double, gjr double, errors array<double>"
+STATE = "date timestamp_ntz, close double, r double, ewma double, garch double, logv double, gjr double, errors array<double>"
 
 
 def step(state: tuple | None, seed: float, r: float, p: Parameters, lookback: int) -> tuple[tuple[float, float, float, float], float | None, tuple]:
@@ -41,28 +41,38 @@ def step(state: tuple | None, seed: float, r: float, p: Parameters, lookback: in
 
 
 def walk_forward(bars: DataFrame, p: Parameters, lookback: int = 60) -> DataFrame:
-    """Streaming forecasts of ``bars`` (asset, date, log_return, seed).
+    """Streaming forecasts of ``bars`` (asset, date, seed, and log_return or close).
 
-    State per asset: four variances, the last return and date, and the last ``lookback``
-    squared errors of the four models.  Bars of one micro-batch are put in order; a bar not
-    later than the last one seen is dropped.  The output equals the batch operators'.
+    State per asset: the last date and close, four variances, the last return, and a ring of
+    the last ``lookback`` squared errors of the four models.  With closes, the return is that
+    from the close in the state, and an asset's first bar gives no row.  Bars of one
+    micro-batch, which the source bounds, are put in order; a bar not later than the last one
+    seen is dropped.  The output equals the batch operators'.
     """
+    closes = "log_return" not in bars.columns
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("date")
-        last, held = None, None
+        last, close, held = None, None, None
         if state.exists:
-            date, *held = state.get
-            last, held = pd.Timestamp(date), (*held[:-1], list(held[-1]))
+            date, close, *kept = state.get
+            last, held = pd.Timestamp(date), (*kept[:-1], list(kept[-1])) if kept[0] is not None else None
         out = []
         for row in rows.itertuples():
             if last is not None and row.date <= last:
                 continue
-            forecast, ensemble, held = step(held, row.seed, row.log_return, p, lookback)
             last = row.date
-            out.append((key[0], row.date, row.log_return, *forecast, ensemble))
-        if held is not None:
-            state.update((last.to_pydatetime(), *held))
+            if closes:
+                before, close = close, row.close
+                if before is None:
+                    continue
+                r = math.log(close / before)
+            else:
+                r = row.log_return
+            forecast, ensemble, held = step(held, row.seed, r, p, lookback)
+            out.append((key[0], row.date, r, *forecast, ensemble))
+        if last is not None:
+            state.update((last.to_pydatetime(), close, *(held or (None, None, None, None, None, []))))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return bars.groupBy("asset").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
