@@ -326,3 +326,7 @@ def _confidence(models: tuple[str, ...], block: int = 12, resamples: int = 200)
 
 ORACLES["model_confidence_set"] = _confidence((*MODELS, "static_ensemble_variance"))
 ORACLES["stream_ticks_walk_forward"] = ORACLES["stream_walk_forward"]
+ORACLES["feature_recompute"] = _with(*V, then="SELECT asset, count(*) AS n_rows, " + ", ".join(f"0.0::DOUBLE AS max_diff_{f}" for f in FEATURE_NAMES) + " FROM oos WHERE t % 31 = 0 AND t > 60 GROUP BY asset")
+ORACLES["feature_three_runs"] = _with(*V, then="SELECT asset, column_name, true AS own_row_kept, true AS next_row_moved, true AS future_unseen FROM (SELECT asset FROM oos GROUP BY asset HAVING count(*) > 1), (SELECT unnest([" + ", ".join(f"'{f}'" for f in SCALED) + "]) AS column_name)")
+ORACLES["reference_check"] = "SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(date) - count(DISTINCT date) AS n_repeated, count(*) - count(reference) AS n_missing, count(CASE WHEN reference <= 0 THEN 1 END) AS n_not_positive FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS date, avg(value) AS reference FROM events GROUP BY ALL)"
+ORACLES["variance_integrity"] = _with(*V, then=" UNION ALL ".join(f"SELECT asset, '{m}' AS model, count(*) AS n_rows, count(CASE WHEN {m} IS NULL OR NOT isfinite({m}) THEN 1 END) AS n_not_finite, count(CASE WHEN {m} <= 0 THEN 1 END) AS n_not_positive, CASE WHEN count(CASE WHEN {m} IS NULL OR NOT isfinite({m}) OR {m} <= 0 THEN 1 END) = 0 THEN 'sound' ELSE 'broken' END AS label FROM paths GROUP BY asset" for m in MODELS))

@@ -337,6 +337,10 @@ QUERIES: dict[str, Query] = {
     "feature_profile": lambda s, d: rounded(features.feature_profile(features.gating_features(paths(s, d), OOS)), 5),
     "feature_recheck": lambda s, d: rounded(quality.parity_audit(features.gating_features(paths(s, d), OOS).withColumnsRenamed({f"{m}_rmse_60": f"{m}_rmse" for m in MODELS}), ensemble.trailing_rmse(paths(s, d)), tuple(f"{m}_rmse" for m in MODELS))),
     "feature_leakage": lambda s, d: leakage.audit(panel(s, d), lambda p: features.gating_features(recursion.variance_paths(p, OOS, FROZEN), OOS), OOS, ["realized_vol_5", "realized_vol_20", "realized_vol_60", "ewma_rmse_60", "garch_rmse_60"], factor=10.0),
+    "feature_recompute": lambda s, d: rounded((lambda p: features.recheck(features.gating_features(p, OOS), features.recomputed(p, ensemble.out_of_sample(p, OOS).where("t % 31 = 0"))))(paths(s, d)), 9),
+    "feature_three_runs": lambda s, d: leakage.three_runs(panel(s, d), lambda p: features.gating_features(recursion.variance_paths(p, OOS, FROZEN), OOS), OOS, [f for f in FEATURES if f != "return_sign_lag1"]),
+    "reference_check": lambda s, d: quality.reference_check(prep.reference_series(source.event_ticks(s, d)), "reference"),
+    "variance_integrity": lambda s, d: quality.variance_integrity(paths(s, d), MODELS),
     # gate
     "gate_dataset": lambda s, d: rounded(gate_rows(s, d).select("asset", "date", "realized_vol_5", "vol_of_vol_30", "garch")),
     "time_split": lambda s, d: gate_rows(s, d).groupBy("asset", F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("n_rows")),

@@ -53,3 +53,37 @@ def feature_profile(features: DataFrame) -> DataFrame:
         x = F.col(f).cast("double")
         cells.append(F.struct(F.lit(f).alias("feature"), F.count(x).alias("n"), F.sum(x.isNull().cast("long")).alias("n_missing"), F.min(x).alias("low"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).alias(f))
     return features.groupBy("asset").agg(*cells).select("asset", F.explode(F.array(*FEATURES)).alias("c")).select("asset", "c.*")
+
+
+def recomputed(paths: DataFrame, sampled: DataFrame, lookback: int = 60) -> DataFrame:
+    """The nine features of ``sampled`` rows (asset, t) once more, from arrays of the raw rows before each.
+
+    Each row names the positions before it, which are joined by index, not by a window; rows
+    with fewer than ``lookback`` rows before them are left out.
+    """
+    asked = sampled.select("asset", "t", F.explode(F.sequence(F.lit(1), F.lit(lookback))).alias("k")).withColumn("at", F.col("t") - F.col("k"))
+    raw = paths.select("asset", F.col("t").alias("at"), "log_return", "realized_var_proxy", *MODELS)
+    rows = asked.join(raw, ["asset", "at"]).groupBy("asset", "t").agg(F.sort_array(F.collect_list(F.struct("k", "log_return", "realized_var_proxy", *MODELS))).alias("back"))
+    rows = rows.where(F.size("back") == lookback)
+
+    def mean(x):
+        return F.aggregate(x, F.lit(0.0), lambda total, v: total + v) / F.size(x)
+
+    squares = F.transform("back", lambda b: b["log_return"] * b["log_return"])
+    inner = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda j: F.sqrt(mean(F.slice(squares, j, F.lit(5)))))
+    middle = mean(inner)
+    spread = F.sqrt(F.aggregate(F.transform(inner, lambda v: (v - middle) * (v - middle)), F.lit(0.0), lambda total, v: total + v) / 29)
+    def error(m: str):
+        return F.sqrt(mean(F.transform("back", lambda b: (b[m] - b["realized_var_proxy"]) * (b[m] - b["realized_var_proxy"]))))
+
+    errors = {f"{m}_rmse_60": error(m) for m in MODELS}
+    volatilities = {f"realized_vol_{k}": F.sqrt(mean(F.slice(squares, 1, k))) for k in VOL_WINDOWS}
+    sign = F.when(F.get("back", F.lit(0))["log_return"] < 0, 1).otherwise(0)
+    found = errors | volatilities | {"vol_of_vol_30": spread, "return_sign_lag1": sign}
+    return rows.select("asset", "t", *(found[f].alias(f) for f in FEATURES))
+
+
+def recheck(features: DataFrame, again: DataFrame) -> DataFrame:
+    """By asset: rows in both, and the largest difference of each feature."""
+    both = again.join(features.select("asset", "t", *(F.col(f).alias(f"_{f}") for f in FEATURES)), ["asset", "t"])
+    return both.groupBy("asset").agg(F.count("*").alias("n_rows"), *(F.max(F.abs(F.col(f) - F.col(f"_{f}"))).cast("double").alias(f"max_diff_{f}") for f in FEATURES))

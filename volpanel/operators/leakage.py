@@ -45,3 +45,30 @@ def audit(panel: DataFrame, build: Build, oos: str, columns: list[str], factor:
     """Run ``build`` on the panel and on a perturbed copy of it, and compare around the perturbed row."""
     at = middle_rows(panel, oos)
     return compare(build(panel), build(perturbed(panel, at, factor, offset, targets_only)), at, columns)
+
+
+RUNS = ("base", "own", "next")
+
+
+def three_runs(panel: DataFrame, build: Build, oos: str, columns: list[str], same: float = 1e-12, moved: float = 1e-6) -> DataFrame:
+    """Three checks of each asset and column at its middle out-of-sample row t, from one panel that holds all runs.
+
+    A changed return (ten times, or 0.05 where it is next to nothing) must leave the column at
+    t as it is (``own_row_kept``), move it at t + 1 (``next_row_moved``), and the return of t + 1 changed
+    must leave t (``future_unseen``).  The runs are assets of one tagged panel, so ``build`` plans and runs once.
+    """
+    at = middle_rows(panel, oos)
+    tagged = panel.join(at, "asset").select("*", F.explode(F.array(*map(F.lit, RUNS))).alias("run"))
+    hit = (F.col("run") == "own") & (F.col("t") == F.col("t0")) | (F.col("run") == "next") & (F.col("t") == F.col("t0") + 1)
+    changed = F.when(F.abs("log_return") > 1e-4, 10 * F.col("log_return")).otherwise(0.05)
+    tagged = tagged.withColumn("log_return", F.when(hit, changed).otherwise(F.col("log_return"))).withColumn("realized_var_proxy", F.when(hit, F.col("log_return") * F.col("log_return")).otherwise(F.col("realized_var_proxy")))
+    built = build(tagged.withColumn("asset", F.concat_ws("|", "run", "asset")).drop("run", "t0"))
+    rows = built.withColumn("run", F.substring_index("asset", "|", 1)).withColumn("asset", F.expr("substring(asset, length(run) + 2)")).join(at, "asset")
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns]
+    near = rows.withColumn("step", F.col("t") - F.col("t0")).where(F.col("step").isin(0, 1)).select("asset", "run", "step", F.explode(F.array(*cells)).alias("c")).select("asset", "run", "step", "c.*")
+
+    def x(run: str, step: int) -> Column:
+        return F.max(F.when((F.col("run") == run) & (F.col("step") == step), F.col("x")))
+
+    wide = near.groupBy("asset", "column_name").agg(x("base", 0).alias("b0"), x("base", 1).alias("b1"), x("own", 0).alias("o0"), x("own", 1).alias("o1"), x("next", 0).alias("n0"))
+    return wide.select("asset", "column_name", (F.abs(F.col("o0") - F.col("b0")) <= same).alias("own_row_kept"), (F.abs(F.col("o1") - F.col("b1")) > moved).alias("next_row_moved"), (F.abs(F.col("n0") - F.col("b0")) <= same).alias("future_unseen"))

@@ -136,3 +136,22 @@ def fingerprint(table: DataFrame) -> DataFrame:
     """Order-free fingerprint of a table: rows, and sum and exclusive or of row hashes."""
     h = F.xxhash64(*table.columns)
     return table.agg(F.count("*").alias("n_rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("hash_xor"))
+
+
+def reference_check(series: DataFrame, value: str) -> DataFrame:
+    """One row about a reference series: rows, first and last date, repeated dates, missing and not positive values."""
+    kind = dict(series.dtypes)[value]
+    return series.agg(
+        F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), (F.count("date") - F.count_distinct("date")).alias("n_repeated"),
+        _count(missing(F.col(value), kind)).alias("n_missing"), _count(F.col(value) <= 0).alias("n_not_positive"),
+    )
+
+
+def variance_integrity(paths: DataFrame, models: tuple[str, ...]) -> DataFrame:
+    """By asset and model: rows, variances that are missing or not finite, not positive, and a label; one wide aggregate."""
+    cells = []
+    for m in models:
+        x = F.col(m)
+        bad, low = _count(~F.coalesce(finite(x), F.lit(False))), _count(x <= 0)
+        cells.append(F.struct(F.lit(m).alias("model"), F.count("*").alias("n_rows"), bad.alias("n_not_finite"), low.alias("n_not_positive"), F.when(bad + low == 0, "sound").otherwise("broken").alias("label")).alias(f"_{m}"))
+    return paths.groupBy("asset").agg(*cells).select("asset", F.explode(F.array(*(f"_{m}" for m in models))).alias("c")).select("asset", "c.*")

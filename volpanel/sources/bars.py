@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from volpanel.sources.schema import BAR_SCHEMA
 
 
-def read_bars(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Bars of all given CSV files in one read, with a fixed schema."""
-    return spark.read.schema(BAR_SCHEMA).csv(paths, header=True)
+BAD = "bad_line"
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are there, by the file system that holds each."""
+    found = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            found.append(path)
+    return found
+
+
+def read_bars(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """Bars of all given CSV files in one read, with a fixed schema; None if none of them is there.
+
+    Files that are missing are passed over.  A line that does not fit the schema (torn, or
+    with values that are no numbers) keeps what could be read, and is itself in ``bad_line``.
+    """
+    there = existing(spark, paths)
+    if not there:
+        return None
+    schema = T.StructType([*BAR_SCHEMA.fields, T.StructField(BAD, T.StringType())])
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).csv(there, header=True)
 
 
 def write_panel(panel: DataFrame, path: str, by: str = "category") -> None:
-    """Parquet sink: partitioned by a coarse column, in order of asset and date within files."""
-    panel.repartitionByRange("asset", "date").sortWithinPartitions("asset", "date").write.partitionBy(by).parquet(path)
+    """Parquet sink: partitioned by a coarse column, in order of asset and date within files.
+
+    A rerun replaces the partitions that it writes and leaves the others, so rows are not added twice.
+    """
+    ordered = panel.repartitionByRange(by, "asset", "date").sortWithinPartitions(by, "asset", "date")
+    ordered.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def ohlc(ticks: DataFrame, unit: str = "hour") -> DataFrame:
