@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volpanel.llm.frames import stored
+from volpanel.llm.frames import cut, discard, stored
 
 NORMALIZER = "com.ibm.icu.text.Normalizer"  # part of Spark, which uses it for collations
 FOLDER = "com.ibm.icu.lang.UCharacter"
-BUCKETS = 1024
-SLOTS = 1 << 16
+RANGE_ROWS = 10_000  # documents of a range of ids
+COARSE = 128  # ranges are found in two steps, of so many bounds at most
+SLOTS = (1 << 16, 1 << 21)  # of the filter of ids, least and most; it grows with what it holds
 
 
 def canonical(text: Column) -> Column:
@@ -40,21 +41,43 @@ def as_hex(h: Column) -> Column:
     return F.concat(F.lpad(F.lower(F.hex(h["a"])), 16, "0"), F.lpad(F.lower(F.hex(h["b"])), 16, "0"))
 
 
+def ranges(docs: DataFrame) -> tuple[Column, int]:
+    """The range of each doc_id, ascending, and their number: about RANGE_ROWS documents each, COARSE ** 2 ranges at most.
+
+    Bounds are quantiles of the ids, from a mergeable sketch, so ids that lie apart from the
+    others, however far, do not gather those in one range.  Null ids, which have no order, fill as
+    many ranges of their own after all others.
+    """
+    rows = docs.count()
+    steps = min(max(int((rows / RANGE_ROWS) ** 0.5) + 1, 4), COARSE)
+    many = steps * steps
+    shares = [k / many for k in range(1, many)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, 20 * many).alias("q")).first()["q"] or []
+    bounds = sorted(set(found))
+    coarse = bounds[steps - 1 :: steps]
+    null_range = F.lit(many) + F.pmod(F.xxhash64("text"), F.lit(many))
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda v: v <= F.col("doc_id")))
+
+    if not bounds:
+        return F.coalesce(F.when(F.col("doc_id").isNotNull(), 0), null_range).cast("int"), many
+    first = steps * (below(F.array(*map(F.lit, coarse))) if coarse else F.lit(0))
+    place = first + below(F.slice(F.array(*map(F.lit, bounds)), first + 1, F.lit(steps)))
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), place), null_range).cast("int"), many
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with ``next_text``, that of the next doc_id (after the last: of the first).
 
-    Ids are cut into ``BUCKETS`` equal ranges.  The first document of each range is copied
+    Ids are cut into :func:`ranges`.  The first document of each range is copied
     to the end of the range before it (by order of their first ids, the last range being
     followed by the first), so each range finds its neighbours alone.  Null ids come last;
     rows of equal id are ordered by text.
     """
-    span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    width = (high - low) // BUCKETS + 1
-    # Null ids, which have no order, fill ranges of their own after all others.
-    null_range = F.lit(BUCKETS) + F.pmod(F.xxhash64("text"), F.lit(BUCKETS))
-    ranged = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - low) / width), null_range).cast("int"))
-    # At most 2 * BUCKETS rows: the first row of each range that has any.
+    place, _ = ranges(docs)
+    ranged = docs.withColumn("range", place)
+    # Two rows a range at most: the first row of each range that has any.
     text_key = F.xxhash64("text")
     firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id", text_key.alias("key"))).alias("first"))
     order = Window.orderBy("range")
@@ -78,26 +101,28 @@ def _same(h1: Column, form1: Column, h2: Column, form2: Column) -> Column:
     return F.when(h1 == h2, (form1 == form2).cast("double")).otherwise(0.0)
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, hashed: DataFrame | None = None) -> DataFrame:
     """Exact classes of ``docs`` (doc_id, text): doc_id, class_id (the least doc_id of equal canonical text).
 
-    Hashes are grouped first, as a thin aggregate; only documents whose hash occurs under
-    two ids go on, with their canonical form, to be compared byte by byte with that of
-    their bucket's least id.  A hot bucket is a skewed join, which Spark splits.  The few
-    that differ (a collision) form classes by SHA-256 within the bucket.  One row per
-    document; null ids make no class with others (class_id null).
+    Hashes (``hashed``: doc_id, a, b, where they are at hand) are grouped first, as a thin
+    aggregate; only documents whose hash occurs under two ids go on, with their canonical form,
+    to be compared byte by byte with that of their bucket's least id.  A hot bucket is a
+    skewed join, which Spark splits.  The few that differ (a collision) form classes by
+    SHA-256 within the bucket.  One row per row of these documents; the others are their own class.
     """
-    hashed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", canonical(F.col("text")).alias("form")).withColumn("h", wide_hash(F.col("form")))
-    hashed = hashed.select("doc_id", "form", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+    if hashed is None:
+        h = wide_hash(canonical(F.col("text")))
+        hashed = docs.select("doc_id", h["a"].alias("a"), h["b"].alias("b"))
+    hashed = hashed.where(F.col("doc_id").isNotNull())
     buckets = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where(F.col("leader") < F.col("last")).select("a", "b", "leader")
-    # A bounded filter ahead of the shuffle: the slots, SLOTS at most, that any such hash falls in.
-    slots = buckets.select(F.pmod("a", F.lit(SLOTS)).alias("slot")).distinct()
-    likely = hashed.join(F.broadcast(slots), F.pmod("a", F.lit(SLOTS)) == F.col("slot"), "left_semi")
-    # The leaders' forms, found by id; so the one join by hash stands alone on its shuffle and can be split.
-    leaders = buckets.select(F.pmod(F.xxhash64("leader"), F.lit(SLOTS)).alias("place")).distinct()
-    near = likely.join(F.broadcast(leaders), F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) == F.col("place"), "left_semi").select("doc_id", F.col("form").alias("head"))
-    heads = near.join(buckets.withColumnRenamed("leader", "doc_id"), "doc_id").groupBy("doc_id", "a", "b").agg(F.min("head").alias("head"))
-    compared = likely.join(heads.withColumnRenamed("doc_id", "leader"), ["a", "b"]).select("doc_id", "leader", F.when(F.col("form") != F.col("head"), F.sha2(F.col("form"), 256)).alias("odd"))
+    members = cut(hashed.join(buckets, ["a", "b"]).select("doc_id", "leader").distinct())
+    # A filter of ids ahead of the shuffle of texts, as large as it need be, within bounds.
+    slots = min(max(4 * members.count(), SLOTS[0]), SLOTS[1])
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    likely = docs.join(F.broadcast(members.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+    forms = likely.join(members, "doc_id").select("doc_id", "leader", canonical(F.col("text")).alias("form"))
+    heads = forms.where(F.col("doc_id") == F.col("leader")).groupBy("leader").agg(F.min("form").alias("head"))
+    compared = forms.join(heads, "leader").select("doc_id", "leader", F.when(F.col("form") != F.col("head"), F.sha2(F.col("form"), 256)).alias("odd"))
     other = compared.where(F.col("odd").isNotNull())
     apart = other.join(other.groupBy("leader", "odd").agg(F.min("doc_id").alias("class_id")), ["leader", "odd"]).select("doc_id", "class_id")
     return compared.where(F.col("odd").isNull()).select("doc_id", F.col("leader").alias("class_id")).unionByName(apart)
@@ -123,7 +148,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         as_hex(F.col("e")).alias("edited_fingerprint"),
         _same(F.col("h"), F.col("form"), F.col("e"), F.col("edited_form")).alias("near_edited"),
         _same(F.col("h"), F.col("form"), F.col("x"), F.col("next_form")).alias("near_next"),
+        F.col("h.a").alias("a"),
+        F.col("h.b").alias("b"),
     )
-    thin, _ = stored(result)
-    grouped = classes(base).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return thin.join(grouped, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    thin, path = stored(result)
+    grouped = classes(base, thin.select("doc_id", "a", "b")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    out = cut(thin.drop("a", "b").join(grouped, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
+    discard(docs.sparkSession, path)
+    return out
