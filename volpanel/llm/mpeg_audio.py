@@ -68,6 +68,61 @@ def parse_header(head: bytes) -> tuple[int, int, int, int, int, bool, bool] | No
     return version, layer, size, hz, samples, not head[1] & 1, head[3] >> 6 == 3
 
 
+#: Bits of the allocation of each subband of Layer II, by table: (bits, subbands) in a row.
+ALLOCATION = {
+    "27": ((4, 11), (3, 12), (2, 4)), "30": ((4, 11), (3, 12), (2, 7)), "8": ((4, 2), (3, 6)), "12": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+
+
+@lru_cache(maxsize=512)
+def allocation_bits(head: bytes) -> tuple[int, ...]:
+    """Bits of the allocation of each subband of a Layer II frame with this header."""
+    hz = RATES[head[1] >> 3 & 3][head[2] >> 2 & 3]
+    kbit = BITRATES[head[1] >> 3 & 3 == 3, 2][head[2] >> 4] // (1 if head[3] >> 6 == 3 else 2)
+    if head[1] >> 3 & 3 != 3:
+        name = "low"
+    elif kbit <= 48:
+        name = "12" if hz == 32000 else "8"
+    else:
+        name = "27" if kbit <= 80 or hz == 48000 else "30"
+    return tuple(bits for bits, many in ALLOCATION[name] for _ in range(many))
+
+
+def crc_bits(data: bytes, bits: int, value: int) -> int:
+    """The checksum carried on over the first ``bits`` bits."""
+    value = crc16(data[: bits // 8], value)
+    for k in range(bits % 8):
+        bit = data[bits // 8] >> (7 - k) & 1
+        value = (value << 1 ^ CRC_POLYNOMIAL if (value >> 15 ^ bit) & 1 else value << 1) & 0xFFFF
+    return value
+
+
+def protected_bits(head: bytes, body: bytes) -> int | None:
+    """How many bits of ``body``, which follows the checksum, it covers besides the header; None if the body is too short.
+
+    Layer I: the allocation of 32 subbands.  Layer II: allocation, and the scale-factor
+    selection of each subband that has bits.  Joint stereo shares the subbands from its bound on.
+    """
+    layer, mode = 4 - (head[1] >> 1 & 3), head[3] >> 6
+    channels = 1 if mode == 3 else 2
+    bound = 4 * (head[3] >> 4 & 3) + 4 if mode == 1 else 32
+    if layer == 1:
+        bits = 4 * (channels * bound + 32 - bound if channels == 2 else 32)
+        return bits if bits <= 8 * len(body) else None
+    sizes = allocation_bits(head)
+    value, at, used = int.from_bytes(body, "big"), 0, 0
+    total = 8 * len(body)
+    for band, size in enumerate(sizes):
+        own = channels if band < bound else 1
+        for _ in range(own):
+            at += size
+            if at > total:
+                return None
+            used += (value >> (total - at) & ((1 << size) - 1) > 0) * (channels if own == 1 else 1)
+    return at + 2 * used if at + 2 * used <= total else None
+
+
 @lru_cache(maxsize=64)
 def _frame_start(index: int) -> tuple[bytes, int]:
     """Header, CRC and side information of our frames of one bitrate, and their room for data."""
@@ -150,11 +205,29 @@ def _sound(protected: bytes, crc: bytes) -> bool:
     return crc16(protected) == struct.unpack(">H", crc)[0]
 
 
+def read_steps(table: bytes) -> list[int]:
+    """Byte offsets of a VBRI table: after entries, scale, bytes of an entry and frames of an entry come the steps."""
+    if len(table) < 8:
+        return []
+    entries, scale, width, _ = struct.unpack(">4H", table[:8])
+    steps, out = table[8 : 8 + entries * width], [0]
+    if not width or width > 4 or len(steps) < entries * width:
+        return []
+    for k in range(0, len(steps), width):
+        out.append(out[-1] + scale * int.from_bytes(steps[k : k + width], "big"))
+    return out
+
+
 def probe(data: bytes) -> dict:
-    """Read MPEG audio bytes: frames, checksums, exact duration, seek offsets, ancillary payload."""
+    """Read MPEG audio bytes: frames, checksums, exact duration, seek offsets, ancillary payload.
+
+    ``seek`` has offsets of frames as they lie, ``vbr_seek`` those that the variable-bitrate
+    header gives: of the hundredths of the playing time (Xing), or of its entries (VBRI), from the first frame on.
+    Checksums are verified in all three layers.
+    """
     at, noted = read_tag(data)
     tag = at
-    found = {"frames": 0, "checked": 0, "bad_crc": 0, "skipped": 0, "samples": 0, "hz": 0, "vbr_frames": None, "vbr_bytes": None, "seek": []}
+    found = {"frames": 0, "checked": 0, "bad_crc": 0, "skipped": 0, "samples": 0, "hz": 0, "vbr_frames": None, "vbr_bytes": None, "vbr_seek": [], "seek": []}
     parts: list[bytes] = []
     view = memoryview(data)
     pending = resynchronise(data, at)
@@ -175,6 +248,11 @@ def probe(data: bytes) -> dict:
         if protected and layer == 3:
             found["checked"] += 1
             found["bad_crc"] += not _sound(data[at + 2 : at + 4] + data[begin : begin + side], data[at + 4 : at + 6])
+        elif protected:
+            body = data[begin : min(at + size, begin + 64)]
+            bits = protected_bits(data[at : at + 4], body)
+            found["checked"] += 1
+            found["bad_crc"] += bits is None or crc_bits(body, bits, crc16(data[at + 2 : at + 4])) != struct.unpack(">H", data[at + 4 : at + 6])[0]
         begin += side
         mark = data[begin : begin + 4]
         if not found["frames"] and found["vbr_frames"] is None and mark in (b"Xing", b"Info") and begin + 16 <= len(data):
@@ -182,8 +260,12 @@ def probe(data: bytes) -> dict:
             fields = struct.unpack(f">{(flags & 1) + (flags >> 1 & 1)}I", data[begin + 8 : begin + 8 + 4 * ((flags & 1) + (flags >> 1 & 1))])
             found["vbr_frames"] = fields[0] if flags & 1 else None
             found["vbr_bytes"] = fields[-1] if flags & 2 else None
+            table = data[begin + 8 + 4 * len(fields) : begin + 108 + 4 * len(fields)]
+            if flags & 4 and len(table) == 100 and flags & 2:
+                found["vbr_seek"] = [b * found["vbr_bytes"] // 256 for b in table]
         elif not found["frames"] and found["vbr_frames"] is None and layer == 3 and data[at + 36 : at + 40] == b"VBRI" and at + 54 <= len(data):
             found["vbr_bytes"], found["vbr_frames"] = struct.unpack(">II", data[at + 46 : at + 54])
+            found["vbr_seek"] = read_steps(data[at + 54 : at + size])
         else:
             if found["frames"] % SEEK_EVERY == 0:
                 found["seek"].append(at)
@@ -218,7 +300,7 @@ def store(docs: DataFrame) -> DataFrame:
 
 FEATURES = (
     "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "frames long, bad_crc long, skipped_bytes long, duration_samples long, sample_rate int, vbr_frames long, seek_offsets array<long>"
+    "frames long, bad_crc long, skipped_bytes long, duration_samples long, sample_rate int, vbr_frames long, seek_offsets array<long>, table_offsets array<long>"
 )
 
 
@@ -230,7 +312,7 @@ def features(media: bytes) -> tuple:
     text = f"mpeg1-layer3;frames={found['frames']};seconds={exact};checked={found['checked']};bad_crc={found['bad_crc']};skipped={found['skipped']};vbr={found['vbr_frames']}:{found['vbr_bytes']};seek={seek}"
     return (
         len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), text,
-        found["frames"], found["bad_crc"], found["skipped"], found["samples"], found["hz"], found["vbr_frames"], found["seek"],
+        found["frames"], found["bad_crc"], found["skipped"], found["samples"], found["hz"], found["vbr_frames"], found["seek"], found["vbr_seek"],
     )
 
 
@@ -245,7 +327,7 @@ def index(media: DataFrame) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
             for low in range(0, batch.num_rows, 128):
                 part = batch.slice(low, 128)
