@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.llm import jaccard_join, language_id, mixing, secrets, sentencepiece_fst
-from volpanel.llm.frames import discard, held_out, stored, table
+from volpanel.llm.frames import cut, discard, held_out, stored, table
 from volpanel.session import ship
 
 
@@ -62,7 +62,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: The stages learn, hash and encode beyond SQL; tests hold run() against a brute-force version.
+#: The stages learn, hash and encode beyond SQL; tests hold each of them against a brute-force version, and run() against them.
 ORACLE_SQL = None
 
 
@@ -74,4 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             discard(spark, before)
         before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = cut(STAGES[-1][1](spark, docs, sf_dir))
+    discard(spark, before)
+    return out
