@@ -113,11 +113,18 @@ days AS (
   SELECT asset, date_trunc('day', ts)::TIMESTAMP AS date, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, count(*) AS ticks
   FROM ticks WHERE price > 0 GROUP BY ALL)"""
 DIMENSION = "dim AS (SELECT * FROM (VALUES ('click', 'index', 'traffic'), ('view', 'index', 'traffic'), ('purchase', 'high_beta', 'sales'), ('signup', 'high_beta', 'growth'), ('logout', 'defensive', 'traffic')) AS d(asset, category, sector))"
-PARAMETERS = """
-params AS (SELECT a.asset, v.model, v.omega::DOUBLE AS omega, v.alpha::DOUBLE AS alpha, v.gamma::DOUBLE AS gamma, v.beta::DOUBLE AS beta, v.lam::DOUBLE AS "lambda", true AS converged
-  FROM (SELECT DISTINCT asset FROM bars) a, (VALUES ('EWMA', NULL, NULL, NULL, NULL, 0.94), ('GARCH', 0.05, 0.08, NULL, 0.90, NULL),
-    ('EGARCH', 1.03 - ln(10000.0), 0.10, -0.05, 0.90, NULL), ('GJR-GARCH', 0.05, 0.03, 0.10, 0.90, NULL)) AS v(model, omega, alpha, gamma, beta, lam)),
-persist AS (SELECT *, CASE model WHEN 'GARCH' THEN alpha + beta WHEN 'EGARCH' THEN beta WHEN 'GJR-GARCH' THEN alpha + beta + gamma / 2 END AS persistence FROM params)"""
+OWN = """own AS (SELECT asset, 0.90::DOUBLE + 0.02::DOUBLE * k AS lam, 0.05::DOUBLE + 0.01::DOUBLE * k AS g0, 0.05::DOUBLE + 0.02::DOUBLE * k AS g1, 0.85::DOUBLE - 0.03::DOUBLE * k AS g2,
+    1.0::DOUBLE + 0.05::DOUBLE * k AS e0, 0.10::DOUBLE + 0.02::DOUBLE * k AS e1, -0.05::DOUBLE + 0.01::DOUBLE * k AS e2, 0.88::DOUBLE - 0.02::DOUBLE * k AS e3,
+    0.04::DOUBLE + 0.01::DOUBLE * k AS j0, 0.03::DOUBLE + 0.01::DOUBLE * k AS j1, 0.08::DOUBLE AS j2, 0.82::DOUBLE + 0.03::DOUBLE * k AS j3
+  FROM (SELECT DISTINCT asset, length(asset) % 3 AS k FROM bars))"""
+PARAMETERS = OWN + """,
+params AS (
+  SELECT asset, 'EWMA' AS model, NULL::DOUBLE AS omega, NULL::DOUBLE AS alpha, NULL::DOUBLE AS gamma, NULL::DOUBLE AS beta, lam AS "lambda" FROM own
+  UNION ALL SELECT asset, 'GARCH', g0, g1, NULL, g2, NULL FROM own
+  UNION ALL SELECT asset, 'EGARCH', e0 - ln(10000.0), e1, e2, e3, NULL FROM own
+  UNION ALL SELECT asset, 'GJR-GARCH', j0, j1, j2, j3, NULL FROM own),
+persist AS (SELECT *, CASE model WHEN 'GARCH' THEN alpha + beta WHEN 'EGARCH' THEN beta WHEN 'GJR-GARCH' THEN alpha + beta + gamma / 2 END AS persistence FROM params),
+judged AS (SELECT *, coalesce(persistence < 0.92, true) AS converged FROM persist)"""
 
 
 def _r(columns: str, digits: int = 6) -> str:
@@ -167,11 +174,11 @@ ORACLES: dict[str, str] = {
     "garch_filter": _with(*V, then=f"SELECT asset, date, {_r('garch')} FROM paths WHERE date < {OOS}"),
     "egarch_filter": _with(*V, then=f"SELECT asset, date, {_r('egarch')} FROM paths WHERE date < {OOS}"),
     "gjr_filter": _with(*V, then=f"SELECT asset, date, {_r('gjr_garch')} FROM paths WHERE date < {OOS}"),
-    "param_table": _with(BARS, PARAMETERS, then=f"SELECT asset, model, {_r('omega alpha gamma beta', 9)}, round(\"lambda\", 9) AS \"lambda\", converged FROM params"),
+    "param_table": _with(BARS, PARAMETERS, then=f"SELECT asset, model, {_r('omega alpha gamma beta', 9)}, round(\"lambda\", 9) AS \"lambda\", converged FROM judged"),
     "persistence": _with(BARS, PARAMETERS, then=f"SELECT asset, model, {_r('persistence')} FROM persist"),
     "info_criteria": _with(*V, then=f"SELECT asset, round(ll, 4) AS log_likelihood, round(6 - 2 * (ll - n * ln(100.0)), 4) AS aic, round(3 * ln(n) - 2 * (ll - n * ln(100.0)), 4) AS bic FROM (SELECT asset, count(*) AS n, sum(-0.5 * (1.8378770664093453 + ln(garch) + realized_var_proxy / garch)) AS ll FROM paths WHERE date < {OOS} GROUP BY asset)"),
-    "fit_diagnostics": _with(BARS, PARAMETERS, then="SELECT asset, model, round(persistence, 6) AS persistence, CASE model WHEN 'EWMA' THEN '' WHEN 'GARCH' THEN 'stationary' WHEN 'EGARCH' THEN 'stationary; leverage' ELSE CASE WHEN round(persistence, 9) > 0.98 THEN 'near unit root; leverage' ELSE 'stationary; leverage' END END AS labels FROM persist"),
-    "fit_summary": _with(BARS, PARAMETERS, then="SELECT asset, true AS ewma, true AS garch, true AS egarch, true AS gjr_garch, count(*)::INTEGER AS n_passed FROM params GROUP BY asset"),
+    "fit_diagnostics": _with(BARS, PARAMETERS, then="SELECT asset, model, round(persistence, 6) AS persistence, concat_ws('; ', CASE WHEN round(persistence, 12) >= 1 THEN 'explosive' WHEN round(persistence, 12) > 0.98 THEN 'near unit root' WHEN persistence IS NOT NULL THEN 'stationary' END, CASE WHEN abs(gamma) < 1e-4 THEN 'no leverage' WHEN model = 'GJR-GARCH' AND gamma > 0 OR model = 'EGARCH' AND gamma < 0 THEN 'leverage' END) AS labels FROM persist"),
+    "fit_summary": _with(BARS, PARAMETERS, then="SELECT asset, " + ", ".join(f"bool_or(converged) FILTER (model = '{m}') AS {m.lower().replace('-', '_')}" for m in ("EWMA", "GARCH", "EGARCH", "GJR-GARCH")) + ", count(CASE WHEN converged THEN 1 END)::INTEGER AS n_passed FROM judged GROUP BY asset"),
     "warm_start": _with(*V, then=f"SELECT asset, date, round(log_return, 6) AS last_return, {_r(MODEL_LIST)} FROM (SELECT *, max(t) OVER (PARTITION BY asset) AS last_t FROM paths WHERE date < {OOS}) WHERE t = last_t"),
     "ewma_oos": _with(*V, then=f"SELECT asset, date, {_r('ewma')} FROM oos"),
     "garch_oos": _with(*V, then=f"SELECT asset, date, {_r('garch')} FROM oos"),
@@ -215,11 +222,7 @@ ORACLES: dict[str, str] = {
 }
 
 #: The recursions under parameters that differ by asset.
-BY_ASSET = PATHS.replace("seeds AS (", """own AS (SELECT asset, 0.90::DOUBLE + 0.02::DOUBLE * k AS lam, 0.05::DOUBLE + 0.01::DOUBLE * k AS g0, 0.05::DOUBLE + 0.02::DOUBLE * k AS g1, 0.85::DOUBLE - 0.03::DOUBLE * k AS g2,
-    1.0::DOUBLE + 0.05::DOUBLE * k AS e0, 0.10::DOUBLE + 0.02::DOUBLE * k AS e1, -0.05::DOUBLE + 0.01::DOUBLE * k AS e2, 0.88::DOUBLE - 0.02::DOUBLE * k AS e3,
-    0.04::DOUBLE + 0.01::DOUBLE * k AS j0, 0.03::DOUBLE + 0.01::DOUBLE * k AS j1, 0.08::DOUBLE AS j2, 0.82::DOUBLE + 0.03::DOUBLE * k AS j3
-  FROM (SELECT DISTINCT asset, length(asset) % 3 AS k FROM bars)),
-seeds AS (""")
+BY_ASSET = PATHS.replace("seeds AS (", OWN + ",\nseeds AS (")
 for _old, _new in (
     ("0.94 * w.ewma + (1 - 0.94) * w.r * w.r", "q.lam * w.ewma + (1 - q.lam) * w.r * w.r"),
     ("0.05 + 0.08 * w.r * w.r + 0.90 * w.garch", "q.g0 + q.g1 * w.r * w.r + q.g2 * w.garch"),

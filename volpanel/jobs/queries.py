@@ -121,18 +121,6 @@ def fitted_parameters(spark: SparkSession, d: str) -> DataFrame:
     return fit.with_ewma(fitted(spark, d), source.event_bars(spark, d), FROZEN.lam)
 
 
-def frozen_parameters(spark: SparkSession, d: str) -> DataFrame:
-    """A parameter table with the frozen values, one row per asset and model."""
-    p = FROZEN
-    rows = F.array(
-        F.struct(F.lit("EWMA").alias("model"), *(F.lit(None).cast("double").alias(c) for c in ("omega", "alpha", "gamma", "beta")), F.lit(p.lam).alias("lambda"), F.lit(True).alias("converged")),
-        F.struct(F.lit("GARCH").alias("model"), F.lit(p.garch[0]).alias("omega"), F.lit(p.garch[1]).alias("alpha"), F.lit(None).cast("double").alias("gamma"), F.lit(p.garch[2]).alias("beta"), F.lit(None).cast("double").alias("lambda"), F.lit(True).alias("converged")),
-        F.struct(F.lit("EGARCH").alias("model"), F.lit(p.egarch[0] - fit.LN_SCALE).alias("omega"), F.lit(p.egarch[1]).alias("alpha"), F.lit(p.egarch[2]).alias("gamma"), F.lit(p.egarch[3]).alias("beta"), F.lit(None).cast("double").alias("lambda"), F.lit(True).alias("converged")),
-        F.struct(F.lit("GJR-GARCH").alias("model"), F.lit(p.gjr[0]).alias("omega"), F.lit(p.gjr[1]).alias("alpha"), F.lit(p.gjr[2]).alias("gamma"), F.lit(p.gjr[3]).alias("beta"), F.lit(None).cast("double").alias("lambda"), F.lit(True).alias("converged")),
-    )
-    return source.event_bars(spark, d).select("asset").distinct().select("asset", F.explode(rows).alias("p")).select("asset", "p.*")
-
-
 def ruled_parameters(spark: SparkSession, d: str) -> DataFrame:
     """A parameter table that differs by asset, by a rule that SQL can repeat: k is the length of the name modulo 3."""
     k = F.length("asset") % 3
@@ -150,6 +138,16 @@ def ruled_parameters(spark: SparkSession, d: str) -> DataFrame:
     return source.event_bars(spark, d).select("asset").distinct().select("asset", F.explode(rows).alias("p")).select("asset", "p.*")
 
 
+def judged_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """The ruled parameters, of which those that forget too slowly count as not converged."""
+    table = ruled_parameters(spark, d)
+    return table.withColumn("converged", F.coalesce(_persistence() < 0.92, F.lit(True)))
+
+
+def _persistence() -> F.Column:
+    return fit.persistence(F.col("model"), F.col("alpha"), F.col("gamma"), F.col("beta"))
+
+
 def paths_by_asset(spark: SparkSession, d: str) -> DataFrame:
     return recursion.fitted_paths(panel(spark, d), OOS, ruled_parameters(spark, d))
 
@@ -290,13 +288,13 @@ QUERIES: dict[str, Query] = {
     "garch_fit": lambda s, d: fitted(s, d).where("model = 'GARCH'"),
     "egarch_fit": lambda s, d: fitted(s, d).where("model = 'EGARCH'"),
     "gjr_fit": lambda s, d: fitted(s, d).where("model = 'GJR-GARCH'"),
-    "param_table": lambda s, d: rounded(frozen_parameters(s, d), 9),
-    "persistence": lambda s, d: rounded(frozen_parameters(s, d).select("asset", "model", fit.persistence(F.col("model"), F.col("alpha"), F.col("gamma"), F.col("beta")).alias("persistence"))),
+    "param_table": lambda s, d: rounded(judged_parameters(s, d), 9),
+    "persistence": lambda s, d: rounded(ruled_parameters(s, d).select("asset", "model", _persistence().alias("persistence"))),
     "info_criteria": lambda s, d: rounded(fit.information_criteria(scored_parameters(s, d)).select("asset", "log_likelihood", "aic", "bic"), 4),
-    "fit_diagnostics": lambda s, d: rounded(fit.diagnostics(frozen_parameters(s, d)).select("asset", "model", "persistence", "labels")),
-    "fit_summary": lambda s, d: fit.summary(frozen_parameters(s, d)),
+    "fit_diagnostics": lambda s, d: rounded(fit.diagnostics(ruled_parameters(s, d)).select("asset", "model", "persistence", "labels")),
+    "fit_summary": lambda s, d: fit.summary(judged_parameters(s, d)),
     "fitted_param_table": lambda s, d: fitted_parameters(s, d),
-    "fitted_persistence": lambda s, d: fitted_parameters(s, d).select("asset", "model", fit.persistence(F.col("model"), F.col("alpha"), F.col("gamma"), F.col("beta")).alias("persistence")),
+    "fitted_persistence": lambda s, d: fitted_parameters(s, d).select("asset", "model", _persistence().alias("persistence")),
     "fitted_diagnostics": lambda s, d: fit.diagnostics(fitted_parameters(s, d)).select("asset", "model", "persistence", "labels", "converged", "status"),
     "fitted_summary": lambda s, d: fit.summary(fitted_parameters(s, d)),
     # out-of-sample forecasts
