@@ -14,7 +14,7 @@ from volpanel.llm.frames import cut, discard, stored
 
 NORMALIZER = "com.ibm.icu.text.Normalizer"  # part of Spark, which uses it for collations
 FOLDER = "com.ibm.icu.lang.UCharacter"
-RANGE_ROWS = 10_000  # documents of a range of ids
+RANGE_ROWS = 1_000  # documents of a range of ids
 COARSE = 128  # ranges are found in two steps, of so many bounds at most
 SLOTS = (1 << 16, 1 << 21)  # of the filter of ids, least and most; it grows with what it holds
 
@@ -115,14 +115,21 @@ def classes(docs: DataFrame, hashed: DataFrame | None = None) -> DataFrame:
         hashed = docs.select("doc_id", h["a"].alias("a"), h["b"].alias("b"))
     hashed = hashed.where(F.col("doc_id").isNotNull())
     buckets = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where(F.col("leader") < F.col("last")).select("a", "b", "leader")
-    members = cut(hashed.join(buckets, ["a", "b"]).select("doc_id", "leader").distinct())
+    members = cut(hashed.join(buckets, ["a", "b"]).select("doc_id").distinct())
     # A filter of ids ahead of the shuffle of texts, as large as it need be, within bounds.
-    slots = min(max(4 * members.count(), SLOTS[0]), SLOTS[1])
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
-    likely = docs.join(F.broadcast(members.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
-    forms = likely.join(members, "doc_id").select("doc_id", "leader", canonical(F.col("text")).alias("form"))
-    heads = forms.where(F.col("doc_id") == F.col("leader")).groupBy("leader").agg(F.min("form").alias("head"))
-    compared = forms.join(heads, "leader").select("doc_id", "leader", F.when(F.col("form") != F.col("head"), F.sha2(F.col("form"), 256)).alias("odd"))
+    slots = min(max(16 * members.count(), SLOTS[0]), SLOTS[1])
+
+    def held(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+        return rows.join(F.broadcast(ids.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+
+    h = wide_hash(F.col("form"))
+    forms = held(docs.where(F.col("doc_id").isNotNull()), members).select("doc_id", canonical(F.col("text")).alias("form"))
+    forms = forms.select("doc_id", "form", h["a"].alias("a"), h["b"].alias("b"))
+    # The leaders' forms, found by id; so the one join by hash stands alone on its shuffle and can be split.
+    leaders = buckets.withColumnRenamed("leader", "doc_id")
+    heads = held(forms.withColumnRenamed("form", "head"), leaders).join(leaders, ["doc_id", "a", "b"]).groupBy("doc_id", "a", "b").agg(F.min("head").alias("head"))
+    compared = forms.join(heads.withColumnRenamed("doc_id", "leader"), ["a", "b"]).select("doc_id", "leader", F.when(F.col("form") != F.col("head"), F.sha2(F.col("form"), 256)).alias("odd"))
     other = compared.where(F.col("odd").isNotNull())
     apart = other.join(other.groupBy("leader", "odd").agg(F.min("doc_id").alias("class_id")), ["leader", "odd"]).select("doc_id", "class_id")
     return compared.where(F.col("odd").isNull()).select("doc_id", F.col("leader").alias("class_id")).unionByName(apart)
