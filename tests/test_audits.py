@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from volpanel.operators import features, leakage, prep, quality, recursion, research
+from volpanel.operators import ensemble, features, leakage, prep, quality, recursion, research
 from volpanel.sources import bars
 from volpanel.sources.schema import FEATURES, MODELS, Parameters
 from volpanel.streaming import bars as stream
@@ -46,6 +46,34 @@ def test_a_rerun_of_the_sink_replaces_its_partitions(spark, panel, tmp_path):
     assert back.where("category = 'b' AND log_return = 7").count() == 0
 
 
+def test_window_of_csv_files(spark, panel, tmp_path):
+    path = str(tmp_path / "bars")
+    written = panel.select("asset", "date", *(F.exp("log_return").alias(c) for c in ("open", "high", "low", "close")))
+    bars.write_bars(written, path)
+    back = bars.load_window(spark, [path, str(tmp_path / "none")], "2024-01-02 00:00:00", "2024-01-02 05:00:00")
+    want = written.where("date BETWEEN '2024-01-02' AND '2024-01-02 05:00:00'")
+    assert back.count() == 18 and back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
+    with pytest.raises(FileNotFoundError):
+        bars.load_window(spark, [str(tmp_path / "none")])
+    with pytest.raises(ValueError):
+        bars.load_window(spark, [path], "2030-01-01 00:00:00")
+
+
+def test_spaced_rows_and_their_windows(panel, paths):
+    rows = ensemble.out_of_sample(paths, OOS)
+    at = {}
+    for r in ensemble.spaced(rows).select("asset", "t").collect():
+        at.setdefault(r["asset"], []).append(r["t"])
+    first = {r["asset"]: (r["low"], r["high"]) for r in rows.groupBy("asset").agg(F.min("t").alias("low"), F.max("t").alias("high")).collect()}
+    assert {a: sorted(t) for a, t in at.items()} == {a: sorted({low + k * (high - low) // 10 for k in range(11)}) for a, (low, high) in first.items()}
+    assert ensemble.spaced(rows.where("asset = 'a'").limit(1)).count() == 1 and ensemble.spaced(rows.limit(0)).isEmpty()
+    again = features.recomputed(paths, ensemble.spaced(rows))
+    both = again.join(ensemble.trailing_rmse(paths), ["asset", "t"])
+    assert both.count() == again.count() == 33
+    for m in MODELS:
+        assert both.agg(F.max(F.abs(F.col(f"{m}_rmse_60") - F.col(f"{m}_rmse")))).first()[0] < 1e-12
+
+
 def test_required_columns(panel):
     assert quality.missing_columns(panel, ("asset", "date", "close", "volume")) == ["close", "volume"]
     assert quality.missing_columns(panel, ("asset",)) == []

@@ -333,3 +333,7 @@ ORACLES["feature_recompute"] = _with(*V, then="SELECT asset, count(*) AS n_rows,
 ORACLES["feature_three_runs"] = _with(*V, then="SELECT asset, column_name, true AS own_row_kept, true AS next_row_moved, true AS future_unseen FROM (SELECT asset FROM oos GROUP BY asset HAVING count(*) > 1), (SELECT unnest([" + ", ".join(f"'{f}'" for f in SCALED) + "]) AS column_name)")
 ORACLES["reference_check"] = "SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(date) - count(DISTINCT date) AS n_repeated, count(*) - count(reference) AS n_missing, count(CASE WHEN reference <= 0 THEN 1 END) AS n_not_positive FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS date, avg(value) AS reference FROM events GROUP BY ALL)"
 ORACLES["variance_integrity"] = _with(*V, then=" UNION ALL ".join(f"SELECT asset, '{m}' AS model, count(*) AS n_rows, count(CASE WHEN {m} IS NULL OR NOT isfinite({m}) THEN 1 END) AS n_not_finite, count(CASE WHEN {m} <= 0 THEN 1 END) AS n_not_positive, CASE WHEN count(CASE WHEN {m} IS NULL OR NOT isfinite({m}) OR {m} <= 0 THEN 1 END) = 0 THEN 'sound' ELSE 'broken' END AS label FROM paths GROUP BY asset" for m in MODELS))
+ORACLES["index_series"] = _with(*P, then="SELECT date, round(close, 6) AS market_index FROM bars WHERE asset = 'view'")
+ORACLES["loaded_window"] = _with(*P, then=f"SELECT asset, date, {_r('open high low close')} FROM bars WHERE date BETWEEN {OOS} AND TIMESTAMP '2024-01-31 23:59:59'")
+_ends = "ends AS (SELECT asset, min(t) AS low, max(t) - min(t) AS span FROM oos GROUP BY asset), spots AS (SELECT DISTINCT asset, low + (k * span) // 10 AS t FROM ends, range(11) AS r(k))"
+ORACLES["window_recheck_spaced"] = _with(*V, TRAIL, _ends, then="SELECT asset, t, " + ", ".join(f"round({m}_rmse, 6) AS {m}_rmse_60" for m in MODELS) + " FROM trail JOIN spots USING (asset, t) WHERE t > 60")

@@ -102,6 +102,13 @@ def dirty_ticks(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("seq", F.lit(1)).unionByName(again).unionByName(bad)
 
 
+def loaded_window(spark: SparkSession, d: str) -> DataFrame:
+    """Bars written as CSV, and a window of them loaded again; one of the paths is not there."""
+    folder = f"{shared_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    source.write_bars(source.event_bars(spark, d), f"{folder}/bars")
+    return source.load_window(spark, [f"{folder}/none", f"{folder}/bars"], OOS, CALENDAR.test[1])
+
+
 def raw_bars(spark: SparkSession, d: str) -> DataFrame:
     """Bars of all ticks, zero prices included, and with high and low of the following type of violation in some hours."""
     ticks = source.event_ticks(spark, d)
@@ -260,6 +267,8 @@ QUERIES: dict[str, Query] = {
     "fit_window": lambda s, d: rounded(prep.before(panel(s, d), OOS).select("asset", "date", "close", "log_return")),
     "pooled_panel": lambda s, d: rounded(prep.pooled(panel(s, d), DIMENSION).select("date", "asset", "category", "sector", "close", "log_return")),
     "reference_series": lambda s, d: rounded(prep.reference_series(source.event_ticks(s, d))),
+    "index_series": lambda s, d: rounded(prep.index_series(source.event_bars(s, d), "view", "market_index")),
+    "loaded_window": lambda s, d: rounded(loaded_window(s, d)),
     "coverage": lambda s, d: rounded(prep.coverage(panel(s, d), per_year=8760, extreme=1.0)),
     "category_counts": lambda s, d: prep.category_counts(prep.pooled(panel(s, d), DIMENSION)),
     "brand_bars": lambda s, d: rounded(source.ohlc(source.brand_ticks(s, d), "day"), 8),
@@ -328,6 +337,7 @@ QUERIES: dict[str, Query] = {
     "fitted_ensemble": lambda s, d: ensemble.inverse_rmse_ensemble(fitted_forecasts(s, d), OOS).select("asset", "date", "static_ensemble_variance", "static_ensemble_volatility"),
     "ensemble_audit": lambda s, d: ensemble.ensemble_audit(combined(s, d)),
     "window_recheck": lambda s, d: ensemble.window_recheck(affine(s, d), ensemble.out_of_sample(ensemble.trailing_rmse(affine(s, d), models=("garch",)), OOS)),
+    "window_recheck_spaced": lambda s, d: rounded((lambda p: features.recomputed(p, ensemble.spaced(ensemble.out_of_sample(p, OOS))).select("asset", "t", *(f"{m}_rmse_60" for m in MODELS)))(paths(s, d))),
     "ensemble_leakage": lambda s, d: leakage.audit(paths(s, d), lambda p: ensemble.inverse_rmse_ensemble(p, OOS), OOS, ["static_ensemble_variance", *(f"{m}_weight" for m in MODELS)], targets_only=True),
     # features
     "gating_features": lambda s, d: rounded(features.gating_features(paths(s, d), OOS).drop("t")),

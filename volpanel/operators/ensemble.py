@@ -86,6 +86,13 @@ def ensemble_audit(table: DataFrame) -> DataFrame:
     )
 
 
+def spaced(table: DataFrame, pieces: int = 10) -> DataFrame:
+    """Of each asset the first row, the last, and those at even distances between them: ``pieces`` + 1 at most."""
+    ends = table.groupBy("asset").agg(F.min("t").alias("first_t"), (F.max("t") - F.min("t")).alias("span"))
+    chosen = ends.select("asset", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(pieces)), lambda k: F.col("first_t") + F.floor(k * F.col("span") / pieces)))).alias("t"))
+    return table.join(chosen, ["asset", "t"], "left_semi")
+
+
 def window_recheck(paths: DataFrame, computed: DataFrame, every: int = 30, lookback: int = LOOKBACK, model: str = "garch") -> DataFrame:
     """Recompute sampled windows by joining rows j in [i - lookback, i - 1]; greatest difference by asset.
 

@@ -74,6 +74,11 @@ def reference_series(ticks: DataFrame, unit: str = "hour") -> DataFrame:
     return ticks.groupBy(F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("date")).agg(F.avg("price").alias("reference"), F.count("*").alias("ticks"))
 
 
+def index_series(bars: DataFrame, asset: str, name: str) -> DataFrame:
+    """One asset's closes by date as a market reference, under a name of their own."""
+    return bars.where(F.col("asset") == asset).select("date", F.col("close").alias(name))
+
+
 def window_of(panel: DataFrame, low: str | None = None, high: str | None = None) -> DataFrame:
     """Rows of an inclusive range of dates: a filter that reaches the scan."""
     if low is not None:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> SparkSession:
     The archive is made on the driver, and Spark serves it to every executor.
     """
     app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
+    with _SHIPPING:  # queries may start in several threads
+        if app in _SHIPPED:
+            return spark
         package = Path(__file__).parent
         archive = Path(tempfile.mkdtemp(prefix="spark-ship-")) / "volpanel_package.zip"
         with zipfile.ZipFile(archive, "w") as out:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volpanel.sources.schema import BAR_SCHEMA
-
+from volpanel.operators.prep import window_of
+from volpanel.sources.schema import BAR_COLUMNS, BAR_SCHEMA
 
 BAD = "bad_line"
 
@@ -35,6 +35,27 @@ def read_bars(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).csv(there, header=True)
 
 
+def write_bars(bars: DataFrame, path: str) -> None:
+    """CSV sink with a header, in order of asset and date; a rerun replaces the folder."""
+    ordered = bars.select(*BAR_COLUMNS).repartitionByRange("asset", "date").sortWithinPartitions("asset", "date")
+    ordered.write.mode("overwrite").csv(path, header=True)
+
+
+def load_window(spark: SparkSession, paths: list[str], low: str | None = None, high: str | None = None) -> DataFrame:
+    """Bars of the CSV files between two dates, both inclusive; torn lines are left out.
+
+    ``FileNotFoundError`` if none of the files is there, ``ValueError`` if no bar lies in the
+    window: one row is looked for, not all counted.  Order is left to the windows that need it.
+    """
+    bars = read_bars(spark, paths)
+    if bars is None:
+        raise FileNotFoundError(f"none of these is there: {', '.join(paths)}")
+    bars = window_of(bars.where(F.col(BAD).isNull()).select(*BAR_COLUMNS), low, high)
+    if bars.isEmpty():
+        raise ValueError(f"no bars between {low} and {high}")
+    return bars
+
+
 def write_panel(panel: DataFrame, path: str, by: str = "category") -> None:
     """Parquet sink: partitioned by a coarse column, in order of asset and date within files.
 
