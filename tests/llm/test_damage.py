@@ -1,9 +1,12 @@
 """Damaged bytes, repeated ids and clashing column names."""
 
+import os
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from volpanel.llm import language_id, mixing, mpeg_audio, secrets, warc
+from volpanel.llm import frames, language_id, mixing, mpeg_audio, secrets, warc
 
 
 def note(text: bytes, version: int) -> bytes:
@@ -45,6 +48,36 @@ def test_any_damage_to_a_chunk_is_reported_and_none_raises(spark):
     chunks.unpersist()
 
 
+def test_a_chunk_that_swells_is_damaged_and_not_inflated(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>page {i} </p>" * 9000) for i in range(4)], "page_id long, url string, html string")
+    chunks = warc.write_chunks(pages).cache()
+    head = chunks.where("page_id = 2 AND chunk_no = 0").first().data
+    gzip = zlib.compressobj(9, zlib.DEFLATED, 31)
+    gzip.compress(zlib.decompressobj(31).decompress(head))
+    gzip.flush(zlib.Z_SYNC_FLUSH)
+    bomb = gzip.compress(bytes(1 << 24)) + gzip.flush(zlib.Z_SYNC_FLUSH)
+    assert len(bomb) < 1 << 15
+    hit = (F.col("page_id") == 2) & (F.col("chunk_no") == 1)
+    rows = warc.read_chunks(chunks.withColumn("data", F.when(hit, F.lit(bomb)).otherwise(F.col("data"))).coalesce(1)).collect()
+    assert {r.page_id: r.intact for r in rows} == {i: i != 2 for i in range(4)}
+    now = {"gzip": zlib.decompressobj(31), "ok": True}
+    gzip = zlib.compressobj(9, zlib.DEFLATED, 31)
+    assert warc._inflated(now, gzip.compress(bytes(warc.CHUNK)) + gzip.flush(zlib.Z_SYNC_FLUSH), warc.CHUNK) == bytes(warc.CHUNK) and now["ok"]
+    assert warc._inflated(now, gzip.compress(bytes(warc.CHUNK + 1)) + gzip.flush(zlib.Z_SYNC_FLUSH), warc.CHUNK) == b"" and not now["ok"]
+    long = spark.createDataFrame([(1, "http://h/" + "x" * 300_000, "short")], "page_id long, url string, html string")
+    assert warc.read_chunks(warc.write_chunks(long)).first().intact
+    chunks.unpersist()
+
+
+def test_the_round_trip_leaves_no_archives(spark):
+    folder = frames.shared_dir(spark)
+    before = set(os.listdir(folder))
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "v", "same"), (3, "w", None)], "page_id long, url string, html string")
+    out = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert out == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None)}
+    assert not [f for f in set(os.listdir(folder)) - before if f.startswith("table-")]
+
+
 def test_mix_keeps_clashing_columns_and_tells_texts_of_one_id_apart(spark):
     rows = [(1, "a b c", "x", 5, 10), (1, "a b c d e f", "x", 5, 11), (2, "g h", "y", 3, 12), (2, "g h", "y", 3, 12), (None, "i j k", "y", 5, 13), (3, None, "y", 0, 14), (4, "", None, 0, 15)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, size long")

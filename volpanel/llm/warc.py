@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volpanel.llm.frames import arrow_map, cut, stored
+from volpanel.llm.frames import arrow_map, cut, discard, stored
 
 CHUNK = 1 << 16
+HEAD = 1 << 26  # plain bytes of a record's headers, a long address included
 BATCH_BYTES = 1 << 22
 LEVEL = 1
 CHUNKS = "archive int, record_id string, page_id long, chunk_no int, last boolean, sha1_so_far string, data binary"
@@ -144,14 +145,14 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now = None
             if number == 0:
                 now = {"id": record, "page": page_id, "gzip": zlib.decompressobj(31), "sha1": hashlib.sha1(), "bytes": 0, "chunks": 0, "ok": True}
-                now |= _read_header(_inflated(now, data))
+                now |= _read_header(_inflated(now, data, HEAD))
                 now["ok"] &= now["type"] is not None
             elif now is None:
                 if last:
                     out.append(_part(record))
                 continue
             else:
-                plain = _inflated(now, data)
+                plain = _inflated(now, data, CHUNK)
                 if last:
                     now["ok"] &= plain == END
                 else:
@@ -168,13 +169,19 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _record_batch([_part(now["id"])])
 
 
-def _inflated(now: dict, data: bytes) -> bytes:
-    """The plain bytes of a record's next chunk; none from the first damaged one on, which marks the record."""
+def _inflated(now: dict, data: bytes, most: int) -> bytes:
+    """The plain bytes of a record's next chunk; none from the first damaged one on, which marks the record.
+
+    A chunk that gives more than ``most`` bytes, as no writer makes it, is damaged: it is not inflated further.
+    """
     if now["gzip"] is not None:
         try:
-            return now["gzip"].decompress(data)
+            plain = now["gzip"].decompress(data, most + 1)
         except zlib.error:
-            now["gzip"], now["ok"] = None, False
+            plain = None
+        if plain is not None and len(plain) <= most:
+            return plain
+        now["gzip"], now["ok"] = None, False
     return b""
 
 
@@ -232,16 +239,18 @@ def _record(r: dict) -> tuple:
 
 
 def round_trip(pages: DataFrame, archives: int = 64) -> DataFrame:
-    """Write the archives of ``pages`` to the shared folder, read them back, resolve revisits.
+    """Write the archives of ``pages`` to the shared folder, read them back, resolve revisits, delete the archives.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, intact; a row
     with a null page_id is a response of its own.  An empty table gives an empty result.
     """
-    chunks, _ = stored(write_chunks(pages, archives))
+    chunks, path = stored(write_chunks(pages, archives))
     records = read_chunks(chunks)
     ids = records.where(F.col("record_type") == "response").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
     # Responses refer to nothing: their one null key stays out of the join.
     others = records.where(F.col("refers_to_id").isNull()).withColumn("refers_to", F.lit(None).cast("long"))
     revisits = records.where(F.col("refers_to_id").isNotNull()).join(ids, "refers_to_id", "left")
-    return others.select(*columns).unionByName(revisits.select(*columns))
+    out = cut(others.select(*columns).unionByName(revisits.select(*columns)))
+    discard(pages.sparkSession, path)
+    return out
