@@ -85,7 +85,7 @@ class Transducer:
         self.is_byte = np.array([k == "byte" for k in kinds])
         plain = [p if k == "piece" else "" for p, k in zip(self.names, kinds, strict=True)]
         self.spelling = [bytes([int(p[3:5], 16)]) if k == "byte" else q.replace(SPACE, " ").encode() for p, q, k in zip(self.names, plain, kinds, strict=True)]
-        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.inner = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
         # Chunks begin at a space after another sign; a model with a piece across such a border has one chunk a text.
         self.chunked = not any(pair[1] == SPACE != pair[0] for pair in self.inner)
         self.traces: dict[str, list | None] = {}
@@ -93,6 +93,9 @@ class Transducer:
         self.parts: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.normaliser = compile_normaliser()
+        self.space = "".join(self.normaliser[BODY][" "][0])
+        self.longest = max(map(len, self.ids), default=1)
+        self.signs = frozenset(p for p in self.ids if len(p) == 1)
         self.pieces = compile_pieces({p: i for p, i in self.ids.items() if self.trace(p) is not None})
         self.bytes = compile_bytes(self.names, kinds, self.unknown)
 
@@ -138,15 +141,21 @@ class Transducer:
     # -- composition and shortest path -----------------------------------------------------
 
     def normalised(self, text: str, state: int = START) -> str:
-        """What the normaliser writes for an input from one of its states."""
+        """What the normaliser writes for an input from one of its states.
+
+        Past its first symbol the machine only loops on BODY, whose one arc that writes is
+        that of a space: there the rest is one replacement.
+        """
+        if state == BODY:
+            return text.replace(" ", self.space)
         out: list[str] = []
-        for symbol in text:
+        for symbol in text[:1]:
             arcs = self.normaliser[state]
             written, _, state = arcs.get(symbol) or arcs[None]
             out += written
             if symbol != " ":
                 out.append(symbol)
-        return "".join(out)
+        return "".join(out) + text[1:].replace(" ", self.space)
 
     def fallback(self, character: str) -> tuple[tuple[int, ...], float]:
         """Ids and weight of the path of a character's bytes; without byte pieces, of the unknown piece."""
@@ -165,6 +174,46 @@ class Transducer:
                 self.follows[key] = known
         return known
 
+    def only_path(self, text: str) -> list[int] | None:
+        """The path of a text whose characters are all pieces, depth-first and longest arcs first.
+
+        Where no bytes are spelt, borders decide alone: a position is reached with one piece
+        at most, and one path reaches the end, which so is the shortest.  A position from
+        which it cannot be reached is entered once.
+        """
+        n, size, known, longest, root = len(text), len(self.names), self.follows.get, self.longest, self.pieces[0]
+        path, back, dead = [], [], set()
+        at, before = 0, FALLBACK
+        while at < n:
+            arcs, after, found = root, at, []
+            for symbol in text[at : at + longest]:
+                node = arcs.get(symbol)
+                if node is None:
+                    break
+                after += 1
+                arcs, piece, _ = node
+                if piece >= 0:
+                    found.append((after, piece))
+            while True:
+                fits = False
+                while found and not fits:
+                    after, piece = found.pop()
+                    if after not in dead:
+                        fits = before < 0 or known(before * size + piece)
+                        if fits is None:
+                            fits = self.fits(before, piece)
+                if fits:
+                    back.append((at, before, found))
+                    path.append(piece)
+                    at, before = after, piece
+                    break
+                if not back:
+                    return None
+                dead.add(at)
+                path.pop()
+                at, before, found = back.pop()
+        return path
+
     def shortest_path(self, text: str) -> bytes:
         """Ids of the path of least weight for one part of a normalised input.
 
@@ -174,24 +223,34 @@ class Transducer:
         the arcs into it, of the weight before and the arc's.  A character spelt in bytes
         merges with nothing.
         """
-        n, size, follows = len(text), len(self.names), self.follows
+        if self.signs.issuperset(text):
+            path = self.only_path(text)
+            if path is not None:
+                return pack(f"<{len(path)}i", *path)
+        return self.relaxed_path(text)
+
+    def relaxed_path(self, text: str) -> bytes:
+        """The same for any text, by relaxing every arc."""
+        n, size, known, ids, longest, root = len(text), len(self.names), self.follows.get, self.ids, self.longest, self.pieces[0]
         weight, came, last = [INFINITE] * (n + 1), [0] * (n + 1), [FALLBACK] * (n + 1)
         weight[0] = 0.0
         for at in range(n):
-            base, before = weight[at], last[at]
+            base = weight[at]
             if base == INFINITE:
                 continue
-            arcs = self.pieces[0]
-            for after in range(at + 1, n + 1):
-                node = arcs.get(text[after - 1])
+            before, arcs, after = last[at], root, at
+            row = before * size
+            for symbol in text[at : at + longest]:
+                node = arcs.get(symbol)
                 if node is None:
                     break
+                after += 1
                 arcs, piece, own = node
-                if piece >= 0 and base + own < weight[after]:
-                    fits = before < 0 or follows.get(before * size + piece)
+                if piece >= 0 and (total := base + own) < weight[after]:
+                    fits = before < 0 or known(row + piece)
                     if fits or fits is None and self.fits(before, piece):
-                        weight[after], came[after], last[after] = base + own, at, piece
-            if text[at] not in self.ids:
+                        weight[after], came[after], last[after] = total, at, piece
+            if text[at] not in ids:
                 total = base + self.fallback(text[at])[1]
                 if total < weight[at + 1]:
                     weight[at + 1], came[at + 1], last[at + 1] = total, at, FALLBACK
@@ -203,9 +262,10 @@ class Transducer:
         return pack(f"<{len(flat)}i", *flat)
 
     def parts_of(self, text: str) -> Iterator[str]:
-        low = 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in self.inner:
+        low, i, inner = 0, 0, self.inner
+        for pair in zip(text, text[1:], strict=False):
+            i += 1
+            if pair not in inner:
                 yield text[low:i]
                 low = i
         yield text[low:]
