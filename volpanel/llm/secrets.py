@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.llm import textkernel as K
-from volpanel.llm.frames import arrow_map, bounded_sample
+from volpanel.llm.frames import arrow_map, bounded_sample, cut
 
 # The base patterns, kind by kind, with the least length of what is kept.
 KINDS = ("assign", "access", "hex", "crf")
@@ -330,6 +330,7 @@ def fit(docs: DataFrame, max_docs: int = 12000, max_examples: int = 8000, rounds
     """
     ids = bounded_sample(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id", max_docs)
     windows = arrow_map(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text"), _examples, "data binary, sort int").distinct()
+    windows = cut(windows)  # made once: the choice by sort would else go before them, and make them for each
     order = F.xxhash64("data"), F.col("data")
     kept = [windows.where(F.col("sort") == s).orderBy(*order).limit(max_examples) for s in range(len(SORTS))]
     data = sorted(bytes(r[0]) for r in kept[0].union(kept[1]).union(kept[2]).select("data").collect())

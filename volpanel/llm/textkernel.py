@@ -17,7 +17,7 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 STEP = np.uint64(0xD6E8FEB86659FD93)
-SLICE_CHARS = 1 << 18
+SLICE_CHARS = 1 << 16
 
 
 def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
